@@ -105,6 +105,14 @@ def deal(keys: np.ndarray, n: int) -> np.ndarray:
     return ((mix(keys) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
+def by_range(keys: np.ndarray, bits: int, n: int):
+    """Yields (bucket, indices) of sorted keys of so many evenly used bits: buckets are ranges, in which steps stay small."""
+    edge = np.array([(i << bits) // n for i in range(n)], np.uint64)
+    cut = np.append(np.searchsorted(keys, edge), len(keys))
+    for i in np.flatnonzero(np.diff(cut)):
+        yield int(i), np.arange(cut[i], cut[i + 1])
+
+
 def by_bucket(keys: np.ndarray, n: int):
     """Yields (bucket, indices); the indices keep the order of the keys."""
     if not len(keys):

@@ -18,7 +18,8 @@ No list of pairs is ever made, no shingle is left out for being frequent, and th
 Nulls and ties: a null or empty text, or one without words, has an empty set and links with nothing.
 A null doc_id is allowed; it counts as larger than all others in ``component_id`` (null only if the
 class holds no id). Repeated rows are rows of their own and link. Other columns are ignored.
-Hashes of 64 bits stand for shingles; a collision (about n**2 / 2**65) could change an overlap by one.
+Hashes stand for shingles: 64 bits within a block, 48 where two sets of a class are compared; two
+different shingles of a pair of documents collide about once in 10**9 pairs.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ def _count(bits: int, n_buckets: int, n: int):
     def send(t: pa.Table) -> pa.Table:
         b = _Block(t, n)
         keys, counts = b.cut(bits)
-        out = [(s, b.block, B.pack(keys[i], np.minimum(counts[i], 1 << 30).astype(np.uint32))) for s, i in B.by_bucket(keys, n_buckets)]
+        out = [(s, b.block, B.pack(keys[i], np.minimum(counts[i], 1 << 30).astype(np.uint32))) for s, i in B.by_range(keys, bits, n_buckets)]
         return pa.table(dict(zip(("bucket", "block", "blob"), [pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[], [], []], (pa.int32(), pa.int32(), pa.binary()), strict=True)], strict=True)))
 
     return send
@@ -120,11 +121,22 @@ def _frequency(t: pa.Table) -> pa.Table:
     return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "blob": pa.array([B.pack(x) for x in np.split(size, ends)], pa.binary())})
 
 
+def _kept(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: enough to tell the shingles of a class apart."""
+    return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _set(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 FOUND = "kind string, uid long, doc_id long, n_shingles long, rep long, cand long, bucket int, blob binary"
 _FOUND = pa.schema([("kind", pa.string()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("rep", pa.int64()), ("cand", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
 
-def _prefixes(bits: int, n_buckets: int, n: int, percent: int):
+def _prefixes(bits: int, n_buckets: int, n_meet: int, n: int, percent: int):
     def find(t: pa.Table, r: pa.Table) -> pa.Table:
         if not t.num_rows:
             return _FOUND.empty_table()
@@ -132,7 +144,7 @@ def _prefixes(bits: int, n_buckets: int, n: int, percent: int):
         keys, _ = b.cut(bits)
         size = np.zeros(len(keys), np.uint8)
         answer = dict(zip(r.column("bucket").to_pylist(), r.column("blob").to_pylist(), strict=True)) if r.num_rows else {}
-        for s, i in B.by_bucket(keys, n_buckets):
+        for s, i in B.by_range(keys, bits, n_buckets):
             size[i] = B.unpack(answer[s])[0]
         base = b.block << 24
         shared, owner = [], []
@@ -159,7 +171,7 @@ def _prefixes(bits: int, n_buckets: int, n: int, percent: int):
             tok, group = tok[o], group[o]
             keep = np.concatenate([[True], (tok[1:] != tok[:-1]) | (group[1:] != group[:-1])])
             tok, group = tok[keep], group[keep] + base
-            posts = [(k, B.pack(tok[i], group[i])) for k, i in B.by_bucket(tok, n_buckets)]
+            posts = [(k, B.pack(tok[i], group[i])) for k, i in B.by_bucket(tok, n_meet)]
         d, k = len(b.docs), len(posts)
         ids = pa.concat_arrays([b.docs.doc_ids(), pa.nulls(k, pa.int64())])
         none = [None] * k
@@ -172,7 +184,7 @@ def _prefixes(bits: int, n_buckets: int, n: int, percent: int):
                 pa.array([base + x for x in b.rep] + none, pa.int64()),
                 pa.array([cand.get(i) for i in range(d)] + none, pa.int64()),
                 pa.array([None] * d + [x[0] for x in posts], pa.int32()),
-                pa.array([b.sets[i].tobytes() if i in cand else None for i in range(d)] + [x[1] for x in posts], pa.binary()),
+                pa.array([_kept(b.sets[i]) if i in cand else None for i in range(d)] + [x[1] for x in posts], pa.binary()),
             ],
             schema=_FOUND,
         )
@@ -267,7 +279,7 @@ def _search(percent: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("comp", "ascending"), ("sub", "ascending"), ("uid", "ascending")])
         comp, uid = t.column("comp").to_numpy(), t.column("uid").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("blob").to_pylist()]
+        sets = [_set(x) for x in t.column("blob").to_pylist()]
         label = np.empty(len(uid), np.int64)
         key = np.stack([comp, t.column("sub").to_numpy()], 1)
         for part in np.split(np.arange(len(uid)), np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1):
@@ -281,7 +293,7 @@ def _unify(percent: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("uid")
         uid = t.column("uid").to_numpy()
-        root = link([np.frombuffer(x, np.uint64) for x in t.column("blob").to_pylist()], percent)
+        root = link([_set(x) for x in t.column("blob").to_pylist()], percent)
         main = np.bincount(root, weights=t.column("n").to_numpy()).argmax()
         return pa.table({"comp": t.column("comp"), "label": uid, "to": uid[root], "main": root == main}, schema=pa.schema([("comp", pa.int64()), ("label", pa.int64()), ("to", pa.int64()), ("main", pa.bool_())]))
 
@@ -294,10 +306,10 @@ def _across(percent: int):
         if not part.num_rows or not ask.num_rows:
             return out.empty_table()
         uid, lab = part.column("uid").to_numpy(), part.column("label").to_numpy()
-        lists = Lists([np.frombuffer(x, np.uint64) for x in part.column("blob").to_pylist()], np.arange(len(uid)))
+        lists = Lists([_set(x) for x in part.column("blob").to_pylist()], np.arange(len(uid)))
         a, b = [], []
         for u, m, x in zip(*(ask.column(c).to_pylist() for c in ("uid", "label", "blob")), strict=True):
-            found = lists.search(np.frombuffer(x, np.uint64), percent, lab != m)
+            found = lists.search(_set(x), percent, lab != m)
             hit = np.unique(lab[found])
             a += [u] * len(hit)
             b += hit.tolist()
@@ -314,9 +326,10 @@ def classes(spark: SparkSession, docs: DataFrame, n: int = WORDS, percent: int =
     blocks, n_blocks = B.in_blocks(docs, total, block_bytes)
     bits = min(64, max(32, int(np.ceil(np.log2(max(2, total / 4)))) + 16))
     n_buckets = max(8, min(2048, n_blocks // 4))
+    n_meet = max(24, min(2048, n_blocks // 8))  # an edge may be found in each of these
     asked = blocks.groupBy("block").applyInArrow(_count(bits, n_buckets, n), "bucket int, block int, blob binary")
     told = asked.groupBy("bucket").applyInArrow(_frequency, "block int, bucket int, blob binary")
-    found = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_prefixes(bits, n_buckets, n, percent), FOUND)
+    found = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_prefixes(bits, n_buckets, n_meet, n, percent), FOUND)
     found = B.table(spark, found, "prefixes")
 
     edges = found.where("kind = 'post'").select("bucket", "blob").groupBy("bucket").applyInArrow(_meet, "a long, b long")
