@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import _blocks as B
 
 SPACE = "▁"
-GIANT, CHUNK, KEPT = 1 << 16, 1 << 14, 300_000
+GIANT, CHUNK, SHORT, KEPT = 1 << 16, 1 << 14, 64, 300_000
 NONE = float("-inf")
 
 
@@ -59,6 +59,7 @@ class Model:
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == kind.UNKNOWN)
         self.longest = max(map(len, self.id))
         self.low = min(self.score) - 10
+        self.rank = {p: self.score[i] for p, i in self.id.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.sound: dict[str, bool] = {}
         self.words: dict[str, list[int]] = {}
@@ -68,16 +69,16 @@ class Model:
 
     def merged(self, symbols: list[str]) -> list[str]:
         """What the merges make of symbols: the best scored pair first, from the left."""
-        s = list(symbols)
-        while len(s) > 1:
-            best, at = NONE, -1
-            for k in range(len(s) - 1):
-                i = self.id.get(s[k] + s[k + 1])
-                if i is not None and self.score[i] > best:
-                    best, at = self.score[i], k
-            if at < 0:
-                break
-            s[at : at + 2] = [s[at] + s[at + 1]]
+        s, rank = list(symbols), self.rank.get
+        gain = [rank(a + b, NONE) for a, b in zip(s, s[1:], strict=False)]
+        while gain and (best := max(gain)) > NONE:
+            k = gain.index(best)
+            s[k : k + 2] = [s[k] + s[k + 1]]
+            del gain[k]
+            if k:
+                gain[k - 1] = rank(s[k - 1] + s[k], NONE)
+            if k < len(gain):
+                gain[k] = rank(s[k] + s[k + 1], NONE)
         return s
 
     def arcs(self, text: str, at: int) -> list[str]:
@@ -99,9 +100,9 @@ class Model:
             return 0.0
         ok = self.pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) > 4 * KEPT:
+            if len(self.pairs) > 2 * KEPT:
                 self.pairs.clear()
-            ok = self.pairs[a, b] = self.merged(list(a + b)) == [a, b]
+            ok = self.pairs[a, b] = self.rank.get(a + b) is None and self.merged(list(a + b)) == [a, b]
         return 0.0 if ok else NONE
 
     def ids(self, pieces: list[str]) -> list[int]:
@@ -117,12 +118,12 @@ class Model:
         return out
 
     def word(self, w: str) -> list[int]:
-        """The ids of a word: one chunk with a single state on either side."""
+        """The ids of a word: one chunk with a single state on either side. In a short one the merges themselves name the one path of weight 0."""
         got = self.words.get(w)
         if got is None:
             if len(self.words) > KEPT:
                 self.words.clear()
-            got = self.words[w] = self.ids(best_path(self, w, 0, len(w), None, None))
+            got = self.words[w] = self.ids(self.merged(list(w)) if self.bpe and len(w) < SHORT else best_path(self, w, 0, len(w), None, None))
         return got
 
     def decode(self, ids: np.ndarray) -> bytes:
