@@ -64,7 +64,7 @@ def in_blocks(docs: DataFrame, total: int, block_bytes: int, carry: tuple[str, .
     return docs.select(F.pmod(key, F.lit(n)).cast("int").alias("block"), "doc_id", "text", *carry), n
 
 
-def pack(*arrays) -> bytes:
+def pack(*arrays, level: int = 1) -> bytes:
     """Arrays as compressed bytes. Sorted unsigned arrays are stored as byte planes of their steps."""
     out = []
     for a in arrays:
@@ -76,7 +76,7 @@ def pack(*arrays) -> bytes:
             out.append((a.dtype.str, a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()))
         else:
             out.append((a.dtype.str, a.tobytes()))
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(out, 5))
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(out, 5))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:

@@ -225,7 +225,7 @@ def _runs(n_shards: int, length: int, heavy: int):
             k = one[i]
             size = n[k] + length - 1
             flat = np.repeat(start[k] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            out.append((int(shard[i[0]]), block, 0, B.pack(data[flat], start[k], (start[k] - off[doc[i]]), n[k].astype(np.int32), d.ids[doc[i]], doc[i].astype(np.int32), h[k], (total[k] > heavy).astype(np.uint8))))
+            out.append((int(shard[i[0]]), block, 0, B.pack(data[flat], start[k], (start[k] - off[doc[i]]), n[k].astype(np.int32), d.ids[doc[i]], doc[i].astype(np.int32), (total[k] > heavy).astype(np.uint8), level=5)))
         return _table(names, out)
 
     return send
@@ -256,7 +256,7 @@ def windows(src: list[tuple[int, list[np.ndarray]]], length: int):
     """Of the runs in a shard: by block, the windows that repeat an earlier one; and the classes of frequent anchors."""
     block = np.repeat([b for b, _ in src], [len(x[1]) for _, x in src])
     data = np.concatenate([x[0] for _, x in src])
-    place, inner, n, ids, doc, h, hot = (np.concatenate([x[i] for _, x in src]) for i in range(1, 8))
+    place, inner, n, ids, doc, hot = (np.concatenate([x[i] for _, x in src]) for i in range(1, 7))
     size = n.astype(np.int64) + length - 1
     begin = np.cumsum(size) - size
     # the order of the runs' first windows; windows of one run follow it place by place
