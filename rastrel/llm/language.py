@@ -139,6 +139,8 @@ class Identifier:
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits per character in each language, and the number of characters, 0 if there is no letter."""
         h, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        if not self.langs:
+            return h, n
         for at, group in _pieces(texts):
             k, own = grams(group)
             letters = np.bincount(own, (k & np.uint64(0xFFFF)) != 32, len(group))

@@ -16,7 +16,8 @@ last such start of a chunk are looked up in a bounded table of words met before.
 
 Nulls: a null text has no pieces and decodes to the empty text. Characters without a piece become bytes,
 or the unknown id where the model has no byte pieces. Repeated rows are encoded again; a null doc_id is
-allowed. Other columns are passed through when named in ``carry``. Models with a normalizer of their own
+allowed. The model writes a space as U+2581, so that character itself decodes to a space and such a text is
+no round trip. Other columns are ignored. Models with a normalizer of their own
 (other than "identity") are refused.
 """
 

@@ -1,13 +1,14 @@
 """Token-ID output (operator 1): Arrow IPC files of equal-length sequences, and reading them back.
 
 A file is an Arrow IPC file (the stream format with a footer) whose batches hold two fixed-size lists
-a row: ``ids`` (uint32) and ``mask`` (uint8, 1 where an id is real). Documents follow one another; only
+a row: ``ids`` (16 bits wide where the vocabulary allows, else 32) and ``mask`` (bits, 1 where an id is real). Documents follow one another; only
 the last sequence of a file is padded. All rows have one length, so sequence i of a file is a slice of
 the memory-mapped buffer: row i % batch of batch i // batch. A second file beside it, ``.docs``, tells
 for each document its id, its first place in the file and its number of tokens.
 
 The vocabulary's pre-tokenizer never joins characters across a space, so texts are cut at spaces and
-line ends and each distinct piece is encoded once. Words are kept in a bounded table for each worker.
+line ends and each distinct piece is encoded once. Words are kept in a bounded table for each worker;
+new plain words are encoded many at a time, and told apart by the vocabulary's end-of-word marks.
 
 Order: by doc_id, nulls first, then by a hash of the text. A null text has no ids but the end id. Rows
 that repeat are written again. Other columns are ignored. An empty table writes no file. Tasks write
@@ -18,9 +19,11 @@ second attempt leaves at most an unused file.
 from __future__ import annotations
 
 import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 from . import _blocks as B
 
 SEQUENCE, BATCH, END_ID = 1024, 256, 1
-WORDS_KEPT, SLICE = 400_000, 1 << 20
+WORDS_KEPT, SLICE, TOGETHER = 800_000, 1 << 20, 200
+MARK, STOPS = "</w>", (".", ",", ";", ":", "!", "?")
 
 
 class WordEncoder:
@@ -43,13 +47,60 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        size = self.tok.get_vocab_size()
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        marked = [i for w, i in self.tok.get_vocab().items() if w.endswith(MARK)]
+        self.ends = np.zeros(size, bool) if marked else None
+        if marked:
+            self.ends[marked] = True
         self._clear()
 
     def _clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.ids = np.empty(0, np.uint32)
+        self.ids = np.empty(0, self.kind)
         self.start = np.zeros(1, np.int64)
 
+    def _plain(self, w: str) -> int:
+        """How many words of the vocabulary's pre-tokenizer a piece surely is; 0 if that takes a closer look."""
+        stem, marks = (w[:-1], 1) if w[-1:] in STOPS else (w, 0)
+        if stem.isascii():
+            return 1 + marks if stem.isalpha() else 0
+        return 1 + marks if stem.lower().isalpha() and "\u03a3" not in stem and unicodedata.is_normalized("NFC", stem) else 0
+
+    def _new(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(words)
+        odd = []
+        some: list[int] = []
+        count: list[int] = []
+
+        def together() -> None:
+            ids = self.tok.encode(" ".join([words[i] for i in some]), add_special_tokens=False).ids
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum(count)
+            if len(ends) != last[-1]:
+                odd.extend(some)
+            else:
+                cut = [0, *ends[last - 1].tolist()]
+                for i, a, z in zip(some, cut, cut[1:], strict=False):
+                    out[i] = ids[a:z]
+            some.clear()
+            count.clear()
+
+        for i, w in enumerate(words):
+            n = self._plain(w) if self.ends is not None else 0
+            if not n:
+                odd.append(i)
+                continue
+            some.append(i)
+            count.append(n)
+            if len(some) == TOGETHER:
+                together()
+        if some:
+            together()
+        for i, e in zip(odd, self.tok.encode_batch([words[i] for i in odd], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
     def pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, one after another, and the number of ids of each piece."""
         new = list(set(words).difference(self.code))
@@ -57,9 +108,9 @@ class WordEncoder:
             self._clear()
             new = list(set(words))
         if new:
-            got = [e.ids for e in self.tok.encode_batch(new, add_special_tokens=False)]
+            got = self._new(new)
             self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
-            self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint32)])
+            self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], self.kind)])
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in got])])
         code = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
         n = self.start[code + 1] - self.start[code]
@@ -77,7 +128,7 @@ class WordEncoder:
                 end = len(text) if cut < 0 else cut + 1
             out.append(self.pieces(text[at:end].replace("\n", " ").split(" "))[0])
             at = end
-        return np.concatenate(out) if out else np.empty(0, np.uint32)
+        return np.concatenate(out) if out else np.empty(0, self.kind)
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of many texts, and how many each has. Long ones are taken alone."""
@@ -104,11 +155,17 @@ class WordEncoder:
                 flush()
                 size = 0
         flush()
-        return (np.concatenate(out), np.concatenate(count)) if out else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        return (np.concatenate(out), np.concatenate(count)) if out else (np.empty(0, self.kind), np.empty(0, np.int64))
+
+
+@lru_cache(2)
+def encoder_at(path: str) -> WordEncoder:
+    """One for each worker process, so that its table of words lasts from task to task."""
+    return WordEncoder(path)
 
 
-def schema(sequence: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+def schema(sequence: int, kind: type = np.uint32) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
 
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -117,10 +174,11 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 class SequenceWriter:
     """Packs ids into equal-length sequences."""
 
-    def __init__(self, sink, sequence: int, batch: int):
+    def __init__(self, sink, sequence: int, batch: int, kind: type = np.uint32):
         self.sequence, self.batch, self.rest, self.n = sequence, batch, [], 0
-        self.held = 0
-        self.out = pa.ipc.new_file(sink, schema(sequence))
+        self.held, self.kind = 0, kind
+        self.schema = schema(sequence, kind)
+        self.out = pa.ipc.new_file(sink, self.schema)
 
     def write(self, ids: np.ndarray) -> None:
         self.rest.append(ids)
@@ -135,14 +193,14 @@ class SequenceWriter:
             self.held = len(self.rest[0])
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(ids)) < real).astype(np.uint8)
+        mask = np.arange(len(ids)) < real
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (ids, mask)]
-        self.out.write_batch(pa.record_batch(lists, schema=schema(self.sequence)))
+        self.out.write_batch(pa.record_batch(lists, schema=self.schema))
 
     def close(self) -> None:
-        ids = np.concatenate(self.rest) if self.rest else np.empty(0, np.uint32)
+        ids = np.concatenate(self.rest) if self.rest else np.empty(0, self.kind)
         if len(ids):
-            self._batch(np.append(ids, np.zeros(-len(ids) % self.sequence, np.uint32)).astype(np.uint32), len(ids))
+            self._batch(np.append(ids, np.zeros(-len(ids) % self.sequence, self.kind)).astype(self.kind), len(ids))
         self.out.close()
 
 
@@ -156,10 +214,11 @@ class SequenceFile:
         self.batch = self.reader.get_batch(0).num_rows if self.reader.num_record_batches else 1
         self.sequence = self.reader.schema.field("ids").type.list_size
 
-    def sequences(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequences(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """ids and mask of sequence i, without a copy."""
         b, k = self.reader.get_batch(i // self.batch), i % self.batch
-        return tuple(b.column(c).flatten().to_numpy(zero_copy_only=True)[k * self.sequence : (k + 1) * self.sequence] for c in (0, 1))
+        ids, mask = (b.column(c).flatten().slice(k * self.sequence, self.sequence) for c in (0, 1))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """The n ids from a place of the file on."""
@@ -184,18 +243,18 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str | None
             if not b.num_rows:
                 continue
             if encoder is None:
-                encoder = WordEncoder(tokenizer)
+                encoder = encoder_at(tokenizer)
                 part = TaskContext.get().partitionId()
                 fs, root = pa.fs.FileSystem.from_uri(path)
                 fs.create_dir(root, recursive=True)
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.arrow"
                 sink = fs.open_output_stream(f"{root}/{name}")
-                out = SequenceWriter(sink, sequence, batch)
+                out = SequenceWriter(sink, sequence, batch, encoder.kind)
             texts = [(x or b"").decode("utf-8", "replace") for x in b.column("text").to_pylist()]
             ids, n = encoder.encode_all(texts)
             ends = np.cumsum(n)
             if end_id is not None:
-                ids = np.insert(ids, ends, np.uint32(end_id))
+                ids = np.insert(ids, ends, end_id)
                 n = n + 1
             out.write(ids)
             index.append(pa.record_batch([b.column("doc_id"), pa.array(place + np.cumsum(n) - n), pa.array(n.astype(np.int64))], schema=DOCS))
