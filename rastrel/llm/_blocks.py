@@ -48,6 +48,14 @@ def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(spark: SparkSession, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """Like ``table``, with the rows of a key together in one of n buckets: joins by the key don't move them again."""
+    path = shared_dir(spark, name)
+    made = f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(made)
+    return spark.table(made)
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text as UTF-8 bytes; other columns, whatever their names, are left out."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))

@@ -132,8 +132,8 @@ def _set(x: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-FOUND = "kind string, uid long, doc_id long, n_shingles long, rep long, cand long, bucket int, blob binary"
-_FOUND = pa.schema([("kind", pa.string()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("rep", pa.int64()), ("cand", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
+FOUND = "block int, kind string, uid long, doc_id long, n_shingles long, rep long, cand long, bucket int, blob binary"
+_FOUND = pa.schema([("block", pa.int32()), ("kind", pa.string()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("rep", pa.int64()), ("cand", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
 
 def _prefixes(bits: int, n_buckets: int, n_meet: int, n: int, percent: int):
@@ -177,6 +177,7 @@ def _prefixes(bits: int, n_buckets: int, n_meet: int, n: int, percent: int):
         none = [None] * k
         return pa.table(
             [
+                pa.array([b.block] * (d + k), pa.int32()),
                 pa.array(["doc"] * d + ["post"] * k),
                 pa.array([base + i for i in range(d)] + none, pa.int64()),
                 ids,
@@ -272,7 +273,8 @@ def link(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return label
 
 
-_LABEL = pa.schema([("uid", pa.int64()), ("comp", pa.int64()), ("sub", pa.int32()), ("parts", pa.int32()), ("label", pa.int64())])
+LABEL = "uid long, comp long, sub int, parts int, label long, blob binary"
+_LABEL = pa.schema([("uid", pa.int64()), ("comp", pa.int64()), ("sub", pa.int32()), ("parts", pa.int32()), ("label", pa.int64()), ("blob", pa.binary())])
 
 
 def _search(percent: int):
@@ -284,7 +286,9 @@ def _search(percent: int):
         key = np.stack([comp, t.column("sub").to_numpy()], 1)
         for part in np.split(np.arange(len(uid)), np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1):
             label[part] = uid[part[link([sets[i] for i in part], percent)]]
-        return t.select(["uid", "comp", "sub", "parts"]).append_column("label", pa.array(label)).cast(_LABEL)
+        large = t.column("parts").to_pylist()
+        blob = pa.array([x if n > 1 else None for x, n in zip(t.column("blob").to_pylist(), large, strict=True)], pa.binary())
+        return t.select(["uid", "comp", "sub", "parts"]).append_column("label", pa.array(label)).append_column("blob", blob).cast(_LABEL)
 
     return run
 
@@ -302,16 +306,17 @@ def _unify(percent: int):
 
 def _across(percent: int):
     def run(part: pa.Table, ask: pa.Table) -> pa.Table:
+        # links between labels
         out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         if not part.num_rows or not ask.num_rows:
             return out.empty_table()
-        uid, lab = part.column("uid").to_numpy(), part.column("label").to_numpy()
-        lists = Lists([_set(x) for x in part.column("blob").to_pylist()], np.arange(len(uid)))
+        lab = part.column("label").to_numpy()
+        lists = Lists([_set(x) for x in part.column("blob").to_pylist()], np.arange(len(lab)))
         a, b = [], []
-        for u, m, x in zip(*(ask.column(c).to_pylist() for c in ("uid", "label", "blob")), strict=True):
+        for m, x in zip(*(ask.column(c).to_pylist() for c in ("label", "blob")), strict=True):
             found = lists.search(_set(x), percent, lab != m)
             hit = np.unique(lab[found])
-            a += [u] * len(hit)
+            a += [m] * len(hit)
             b += hit.tolist()
         return pa.table({"a": a, "b": b}, schema=out)
 
@@ -324,46 +329,41 @@ def classes(spark: SparkSession, docs: DataFrame, n: int = WORDS, percent: int =
     docs = B.documents(docs)
     total = B.text_bytes(docs)
     blocks, n_blocks = B.in_blocks(docs, total, block_bytes)
-    bits = min(64, max(32, int(np.ceil(np.log2(max(2, total / 4)))) + 16))
+    bits = min(64, max(32, int(np.ceil(np.log2(max(2, total / 4)))) + 13))
     n_buckets = max(8, min(2048, n_blocks // 4))
     n_meet = max(24, min(2048, n_blocks // 8))  # an edge may be found in each of these
     asked = blocks.groupBy("block").applyInArrow(_count(bits, n_buckets, n), "bucket int, block int, blob binary")
     told = asked.groupBy("bucket").applyInArrow(_frequency, "block int, bucket int, blob binary")
     found = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_prefixes(bits, n_buckets, n_meet, n, percent), FOUND)
-    found = B.table(spark, found, "prefixes")
+    found = B.bucketed(spark, found, "prefixes", "block", max(8, n_blocks // 4))
 
     edges = found.where("kind = 'post'").select("bucket", "blob").groupBy("bucket").applyInArrow(_meet, "a long, b long")
     group = components(edges)
-    cand = found.where("kind = 'doc' AND cand IS NOT NULL").select("uid", "cand", "blob")
-    slim = cand.select("uid", "cand").join(group.withColumnRenamed("node", "cand"), "cand", "left").select("uid", F.coalesce("label", "cand").alias("comp"))
+    cand = found.where("kind = 'doc' AND cand IS NOT NULL")
+    slim = cand.select("block", "uid", "cand").join(group.withColumnRenamed("node", "cand"), "cand", "left").select("block", "uid", F.coalesce("label", "cand").alias("comp"))
     many = slim.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1")
-    parts = F.ceil(F.col("size") / part).cast("int")
-    slim = slim.join(many, "comp").select("uid", "comp", parts.alias("parts"))
-    sub = F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")
-    n_bins = max(12, n_blocks)
-    slim = slim.select("uid", "comp", "parts", sub.alias("sub"))
-    slim = B.table(spark, slim, "candidates")
-    dealt = cand.select("uid", "blob").join(slim, "uid")
-    bin_ = F.when(F.col("parts") > 1, F.xxhash64("comp", "sub")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(n_bins)))
-    done = dealt.withColumn("bin", bin_).groupBy("bin").applyInArrow(_search(percent), "uid long, comp long, sub int, parts int, label long")
-    done = B.table(spark, done, "parts")
-    links = done.select(F.col("uid").alias("a"), F.col("label").alias("b"))
+    slim = slim.join(many, "comp").select("block", "uid", "comp", F.ceil(F.col("size") / part).cast("int").alias("parts"))
+    # the sets stay where they are; where each one goes is told to its block
+    told = slim.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("uid", F.struct("comp", "parts")))).alias("to"))
+    dealt = cand.select("block", "uid", "blob").join(told, "block").withColumn("t", F.try_element_at("to", F.col("uid"))).where("t IS NOT NULL")
+    dealt = dealt.select("uid", "t.comp", "t.parts", F.pmod(F.xxhash64("uid"), F.col("t.parts")).cast("int").alias("sub"), "blob")
+    bin_ = F.when(F.col("parts") > 1, F.xxhash64("comp", "sub")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(max(12, n_blocks))))
+    done = B.table(spark, dealt.withColumn("bin", bin_).groupBy("bin").applyInArrow(_search(percent), LABEL), "parts")
+    label = done.select(F.col("uid").alias("rep"), "label")
 
     large = done.where("parts > 1")
     if large.limit(1).count():
-        heads = large.groupBy("comp", "sub", "label").agg(F.count("*").alias("n")).groupBy("comp", "sub").agg(F.max_by("label", F.struct("n", "label")).alias("uid"), F.max("n").alias("n"))
-        heads = heads.join(cand.select("uid", "blob"), "uid")
+        count = large.groupBy("comp", "sub", "label").agg(F.count("*").alias("n")).groupBy("comp", "sub").agg(F.max_by("label", F.struct("n", "label")).alias("uid"), F.max("n").alias("n"))
+        heads = large.where("uid = label").select("comp", "sub", "uid", "blob").join(count, ["comp", "sub", "uid"])
         one = B.table(spark, heads.groupBy("comp").applyInArrow(_unify(percent), "comp long, label long, to long, main boolean"), "heads")
-        links = links.union(one.select(F.col("label").alias("a"), F.col("to").alias("b")))
-        now = large.join(one, ["comp", "label"], "left").select("uid", "comp", "sub", "parts", F.coalesce("to", "label").alias("label"), F.coalesce("main", F.lit(False)).alias("main"))
-        outside = now.where("NOT main").join(cand.select("uid", "blob"), "uid").select("uid", "comp", "label", "blob", F.explode(F.expr("sequence(0, parts - 1)")).alias("sub"))
-        inside = now.join(cand.select("uid", "blob"), "uid").select("uid", "comp", "sub", "label", "blob")
-        inside, outside = (x.toDF(*x.columns) for x in (inside, outside))  # told apart by name
-        links = links.union(inside.groupBy("comp", "sub").cogroup(outside.groupBy("comp", "sub")).applyInArrow(_across(percent), "a long, b long"))
-
-    rows = found.where("kind = 'doc'").select("uid", "doc_id", "n_shingles", "rep")
-    links = links.union(rows.where("uid <> rep").select(F.col("uid").alias("a"), F.col("rep").alias("b")))
-    label = components(links)
-    rows = rows.join(label.withColumnRenamed("node", "uid"), "uid", "left").select("doc_id", "n_shingles", F.coalesce("label", "uid").alias("label"), F.col("label").isNotNull().alias("linked"))
-    least = rows.where("linked").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        now = large.join(one, ["comp", "label"], "left").select("comp", "sub", "parts", F.coalesce("to", "label").alias("label"), F.coalesce("main", F.lit(False)).alias("main"), "blob")
+        outside = now.where("NOT main").select("comp", "label", "blob", F.explode(F.expr("sequence(0, parts - 1)")).alias("sub"))
+        inside, outside = (x.toDF(*x.columns) for x in (now, outside))  # told apart by name
+        across = inside.groupBy("comp", "sub").cogroup(outside.groupBy("comp", "sub")).applyInArrow(_across(percent), "a long, b long")
+        joined = components(one.select(F.col("label").alias("a"), F.col("to").alias("b")).union(across)).toDF("label", "end")
+        label = label.join(joined, "label", "left").select("rep", F.coalesce("end", "label").alias("label"))
+
+    # equal sets of a block share the label of their first
+    rows = found.where("kind = 'doc'").select("doc_id", "n_shingles", "rep").join(label, "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("label"))
+    least = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "label").select("doc_id", "n_shingles", "component_id")
