@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import _blocks as B
 
 SEQUENCE, BATCH, END_ID = 1024, 256, 1
-WORDS_KEPT, SLICE, TOGETHER = 800_000, 1 << 20, 200
+WORDS_KEPT, SLICE, TOGETHER = 1_600_000, 3 << 20, 200
 MARK, STOPS = "</w>", (".", ",", ";", ":", "!", "?")
 
 
@@ -53,6 +53,7 @@ class WordEncoder:
         self.ends = np.zeros(size, bool) if marked else None
         if marked:
             self.ends[marked] = True
+        self.stops = {c: self.tok.encode(c, add_special_tokens=False).ids for c in STOPS}
         self._clear()
 
     def _clear(self) -> None:
@@ -69,35 +70,29 @@ class WordEncoder:
 
     def _new(self, words: list[str]) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(words)
-        odd = []
-        some: list[int] = []
-        count: list[int] = []
-
-        def together() -> None:
-            ids = self.tok.encode(" ".join([words[i] for i in some]), add_special_tokens=False).ids
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum(count)
-            if len(ends) != last[-1]:
-                odd.extend(some)
-            else:
-                cut = [0, *ends[last - 1].tolist()]
-                for i, a, z in zip(some, cut, cut[1:], strict=False):
-                    out[i] = ids[a:z]
-            some.clear()
-            count.clear()
-
+        odd, some, count = [], [], []
         for i, w in enumerate(words):
             n = self._plain(w) if self.ends is not None else 0
             if not n:
                 odd.append(i)
+            elif n == 2 and (k := self.code.get(w[:-1])) is not None:
+                out[i] = [*self.ids[self.start[k] : self.start[k + 1]].tolist(), *self.stops[w[-1]]]
+            else:
+                some.append(i)
+                count.append(n)
+        groups = [some[k : k + TOGETHER] for k in range(0, len(some), TOGETHER)]
+        got = self.tok.encode_batch_fast([" ".join([words[i] for i in g]) for g in groups], add_special_tokens=False)
+        for k, (g, e) in enumerate(zip(groups, got, strict=True)):
+            ids = e.ids
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum(count[k * TOGETHER : k * TOGETHER + len(g)])
+            if len(ends) != last[-1]:
+                odd += g
                 continue
-            some.append(i)
-            count.append(n)
-            if len(some) == TOGETHER:
-                together()
-        if some:
-            together()
-        for i, e in zip(odd, self.tok.encode_batch([words[i] for i in odd], add_special_tokens=False), strict=True):
+            cut = [0, *ends[last - 1].tolist()]
+            for i, a, z in zip(g, cut, cut[1:], strict=False):
+                out[i] = ids[a:z]
+        for i, e in zip(odd, self.tok.encode_batch_fast([words[i] for i in odd], add_special_tokens=False), strict=True):
             out[i] = e.ids
         return out
 
