@@ -8,6 +8,8 @@ is one entry a block, whatever the number of its rows, so no bucket gathers the
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import os
 import pickle
 import tempfile
@@ -99,6 +101,23 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def trimmed(f):
+    """f, giving memory back to the system after each call: a worker process lives on, and its free memory counts as used."""
+
+    def call(*tables):
+        out = f(*tables)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        return out
+
+    if len(inspect.signature(f).parameters) == 2:
+        return lambda a, b: call(a, b)
+    return lambda a: call(a)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Scramble uint64 keys."""
     h = h ^ (h >> np.uint64(33))

@@ -332,9 +332,9 @@ def classes(spark: SparkSession, docs: DataFrame, n: int = WORDS, percent: int =
     bits = min(64, max(32, int(np.ceil(np.log2(max(2, total / 4)))) + 13))
     n_buckets = max(8, min(2048, n_blocks // 4))
     n_meet = max(24, min(2048, n_blocks // 8))  # an edge may be found in each of these
-    asked = blocks.groupBy("block").applyInArrow(_count(bits, n_buckets, n), "bucket int, block int, blob binary")
-    told = asked.groupBy("bucket").applyInArrow(_frequency, "block int, bucket int, blob binary")
-    found = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_prefixes(bits, n_buckets, n_meet, n, percent), FOUND)
+    asked = blocks.groupBy("block").applyInArrow(B.trimmed(_count(bits, n_buckets, n)), "bucket int, block int, blob binary")
+    told = asked.groupBy("bucket").applyInArrow(B.trimmed(_frequency), "block int, bucket int, blob binary")
+    found = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(B.trimmed(_prefixes(bits, n_buckets, n_meet, n, percent)), FOUND)
     found = B.bucketed(spark, found, "prefixes", "block", max(8, n_blocks // 4))
 
     edges = found.where("kind = 'post'").select("bucket", "blob").groupBy("bucket").applyInArrow(_meet, "a long, b long")
@@ -348,7 +348,7 @@ def classes(spark: SparkSession, docs: DataFrame, n: int = WORDS, percent: int =
     dealt = cand.select("block", "uid", "blob").join(told, "block").withColumn("t", F.try_element_at("to", F.col("uid"))).where("t IS NOT NULL")
     dealt = dealt.select("uid", "t.comp", "t.parts", F.pmod(F.xxhash64("uid"), F.col("t.parts")).cast("int").alias("sub"), "blob")
     bin_ = F.when(F.col("parts") > 1, F.xxhash64("comp", "sub")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(max(12, n_blocks))))
-    done = B.table(spark, dealt.withColumn("bin", bin_).groupBy("bin").applyInArrow(_search(percent), LABEL), "parts")
+    done = B.table(spark, dealt.withColumn("bin", bin_).groupBy("bin").applyInArrow(B.trimmed(_search(percent)), LABEL), "parts")
     label = done.select(F.col("uid").alias("rep"), "label")
 
     large = done.where("parts > 1")

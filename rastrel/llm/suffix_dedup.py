@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import _blocks as B
 
 LENGTH, K = 100, 24
-BLOCK, SHARD, HEAVY = 2 << 20, 2 << 20, 2048
+BLOCK, SHARD, HEAVY = 4 << 20, 3 << 19, 2048
 CHUNK = 1 << 17
 
 
@@ -380,12 +380,12 @@ def spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, block_byte
     blocks, n_blocks = B.in_blocks(docs, total, block_bytes)
     n_buckets = max(8, min(2048, n_blocks // 8))
     n_shards = max(8, -(-total // shard_bytes))
-    sent = blocks.groupBy("block").applyInArrow(_hashes(n_buckets, length), "bucket int, block int, blob binary")
-    told = sent.groupBy("bucket").applyInArrow(_repeated, "block int, blob binary")
-    runs = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_runs(n_shards, length, heavy), "shard int, block int, known int, blob binary")
-    found = runs.groupBy("shard").applyInArrow(_shard(length, n_shards), "kind string, block int, merge long, shard int, blob binary")
+    sent = blocks.groupBy("block").applyInArrow(B.trimmed(_hashes(n_buckets, length)), "bucket int, block int, blob binary")
+    told = sent.groupBy("bucket").applyInArrow(B.trimmed(_repeated), "block int, blob binary")
+    runs = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(B.trimmed(_runs(n_shards, length, heavy)), "shard int, block int, known int, blob binary")
+    found = runs.groupBy("shard").applyInArrow(B.trimmed(_shard(length, n_shards)), "kind string, block int, merge long, shard int, blob binary")
     found = B.table(spark, found, "windows")
-    merged = found.where("kind = 'open'").select("merge", "shard", "blob").groupBy("merge").applyInArrow(_merge, "block int, blob binary")
+    merged = found.where("kind = 'open'").select("merge", "shard", "blob").groupBy("merge").applyInArrow(B.trimmed(_merge), "block int, blob binary")
     return blocks, found.where("kind = 'hit'").select("block", "blob").union(merged)
 
 
@@ -419,4 +419,4 @@ def dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH, digest: bo
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 or, without digest, the kept bytes of every row."""
     blocks, hits = spans(spark, docs, length, **sizes)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary")
-    return blocks.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_cut(length, digest), schema)
+    return blocks.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(B.trimmed(_cut(length, digest)), schema)
