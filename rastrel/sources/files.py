@@ -27,7 +27,10 @@ def extension(path: Column) -> Column:
 
 
 def listing(spark: SparkSession, src: str, recursive: bool = True, images: bool = True) -> DataFrame:
-    """path, modificationTime, length, content of PNGs, or of all image files; the content is only read where it is used."""
+    """path, modificationTime, length, content of PNGs, or of all image files; the content is only read where it is used.
+
+    Spark passes over files of no bytes; the source ``imagecorpus`` lists them too.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(src)
     ext = extension(F.col("path"))
     return files.where((ext == ".png") | (ext.isin(EXTENSIONS) if images else F.lit(False)))
