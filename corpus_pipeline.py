@@ -31,7 +31,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the smallest id."""
+    """One document of each class of near copies: the one with the smallest id.
+
+    Rows that share a doc_id stay or go together; rows without one stay.
+    """
     got = ngram_join.classes(spark, docs)
     copies = got.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
