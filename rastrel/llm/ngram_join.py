@@ -61,8 +61,19 @@ def words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.diff(np.searchsorted(start, off))
 
 
-def shingle_sets(raw: list[bytes], n: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text. Long texts are taken alone, the others together."""
+def shingle_sets(raw: list[bytes], n: int = WORDS, piece: int = 1 << 20) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text, worked out for about piece bytes of whole texts at a time."""
+    out, group, size = [], [], 0
+    for x in raw:
+        group.append(x)
+        size += len(x)
+        if size > piece:
+            out += _sets(group, n)
+            group, size = [], 0
+    return out + (_sets(group, n) if group else [])
+
+
+def _sets(raw: list[bytes], n: int) -> list[np.ndarray]:
     h, count = words(raw)
     s = np.zeros(max(0, len(h) - n + 1), np.uint64)
     for k in range(n):

@@ -52,26 +52,25 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     starts as far on as is known to agree.
     """
     n = len(data)
+    place = np.int32 if n < 1 << 31 else np.int64
     key = _words(np.concatenate([data, np.zeros(8, np.uint8)]), n)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key, kind="stable").astype(place)
     key = key[sa]
-    # zero bytes behind the end would tie with zero bytes in the text: shorter suffixes come first
-    tail = np.maximum(0, 8 - (n - sa))
     new = np.concatenate([[True], key[1:] != key[:-1]])
-    if tail.any():
-        group = np.cumsum(new)
-        sa = sa[np.lexsort((-tail, group))]
+    del key
+    if not data.all():
+        # zero bytes behind the end would tie with zero bytes in the text: shorter suffixes come first
+        tail = np.maximum(0, 8 - (n - sa))
+        sa = sa[np.lexsort((-tail, np.cumsum(new)))]
         tail = np.maximum(0, 8 - (n - sa))
         new |= np.concatenate([[True], tail[1:] != tail[:-1]])
-    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n + 1, np.int64)
-    rank[sa], rank[n] = start + 1, 0
+    rank = np.empty(n + 1, place)
+    rank[sa], rank[n] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=place), place(0))) + 1, 0
     h = 8
-    alone = new & np.append(new[1:], True)
-    idx = np.flatnonzero(~alone)
+    idx = np.flatnonzero(~(new & np.append(new[1:], True))).astype(place)
     while len(idx):
         s = sa[idx]
-        k = (rank[s] << 32) | rank[np.minimum(s + h, n)]
+        k = (rank[s].astype(np.int64) << 32) | rank[np.minimum(s.astype(np.int64) + h, n)]
         o = np.argsort(k, kind="stable")
         s, k = s[o], k[o]
         sa[idx] = s
@@ -91,7 +90,7 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, start: np.ndarray, most: i
     n = len(data)
     wide = np.concatenate([data, np.zeros(most + 16, np.uint8)])
     word = np.lib.stride_tricks.as_strided(wide, (n + most + 8, 8), (1, 1))
-    phi = np.empty(n, np.int64)
+    phi = np.empty(n, sa.dtype)
     phi[sa[1:]], phi[sa[0]] = sa[:-1], -1
     out = np.zeros(n, np.int32)
     size = np.diff(np.append(start, n))
@@ -101,7 +100,7 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, start: np.ndarray, most: i
     for step in range(int(size[0]) if len(size) else 0):
         live = int(np.searchsorted(-size, -step, side="left"))
         at, h, size = at[:live], h[:live], size[:live]
-        p = phi[at]
+        p = phi[at].astype(np.int64)
         h = np.where(p >= 0, np.maximum(h - 1, 0), 0)
         go = np.flatnonzero((p >= 0) & (h < most))
         while len(go):
@@ -397,12 +396,13 @@ def _cut(length: int, digest: bool):
             return out.empty_table()
         d = B.Docs(t)
         data, off = d.joined()
-        change = np.zeros(len(data) + 1, np.int64)
+        change = np.zeros(len(data) + 1, np.int32)
         for x in r.column("blob").to_pylist() if r.num_rows else []:
             place, n = B.unpack(x)
             np.add.at(change, place, 1)
             np.add.at(change, place + n + length - 1, -1)
-        gone = np.cumsum(change[:-1]) > 0
+        gone = np.cumsum(change[:-1], dtype=np.int32) > 0
+        del change
         first = gone.copy()
         first[1:] &= ~gone[:-1]
         first[off[:-1][np.diff(off) > 0]] = gone[off[:-1][np.diff(off) > 0]]
