@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import color, containers, lossless, png, vp8
+from ..functions import color, containers, formats, lossless, png, vp8
 from ..plans.batching import batches
 from ..sources.files import format_of, header, out_path
 
@@ -25,12 +25,14 @@ OUTCOME = "rel string, out_path string, status string, note string, psnr double,
 
 
 def read_any(data: bytes) -> tuple[np.ndarray, dict]:
-    """RGBA and metadata of a PNG, or of a WebP made by this engine."""
-    kind = containers.sniff(data)
+    """RGBA and metadata of a PNG, a simple raster format, or a WebP made by this engine."""
+    kind = containers.sniff(data) or ("pnm" if data[:1] == b"P" and data[1:2] in b"123456" else "tga" if data[2:3] in (b"\2", b"\3") else None)
     if kind == "png":
         return png.decode(data), containers.png_meta(data)
     if kind == "webp":
         return decode_webp(data), containers.webp_meta(data)
+    if kind in formats.READERS:
+        return formats.READERS[kind](data), {"texts": [], "phys_raw": None, "exif_raw": None, "icc_raw": None, "xmp_raw": None}
     raise ValueError(f"format {kind}")
 
 
