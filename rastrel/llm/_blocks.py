@@ -151,6 +151,13 @@ def by_bucket(keys: np.ndarray, n: int):
         yield int(b[part[0]]), part
 
 
+def slices(batches, n: int = 1024):
+    """The rows of Arrow batches, n at a time: texts are long, and a worker should hold few of them at once."""
+    for b in batches:
+        for lo in range(0, b.num_rows, n):
+            yield b.slice(lo, n)
+
+
 class Docs:
     """The documents of a block in an order that any run repeats: by doc_id, nulls first, then by text."""
 

@@ -197,7 +197,7 @@ def find(spark: SparkSession, docs: DataFrame, items: DataFrame, rate: float = R
 
     def scan(chunk: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in B.slices(batches):
                 ids = b.column("doc_id")
                 for at, group in _pieces(b.column("text").to_pylist()):
                     hits = chunk.matches(group)
@@ -218,7 +218,7 @@ def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, rate: float =
         chunk = Items(ids, texts, rate)
 
         def run(batches: Iterator[pa.RecordBatch], chunk: Items = chunk) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in B.slices(batches):
                 texts = [t.encode() if isinstance(t, str) else t for t in b.column(text_col).to_pylist()]
                 bad = {at[h[0]] for at, group in _pieces(texts) for h in chunk.matches(group)}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))

@@ -176,7 +176,7 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list] = {}
     part = 0
-    for b in batches:
+    for b in B.slices(batches, 4096):
         lang = np.array(b.column("lang").to_pylist(), object)
         texts = [(t or b"").decode("utf-8", "replace") for t in b.column("text").to_pylist()]
         part = b.column("part")[0].as_py() if b.num_rows else part
@@ -216,7 +216,7 @@ def train(spark: SparkSession, docs: DataFrame, lang_col: str = "lang", folds: i
 
 def _entropy(model: Identifier):
     def run(batches):
-        for b in batches:
+        for b in B.slices(batches):
             lang = b.column("lang").to_pylist()
             h, n = model.entropies([(t or b"").decode("utf-8", "replace") for t in b.column("text").to_pylist()])
             j = [model.langs.index(x) if x in model.langs else -1 for x in lang]
@@ -231,7 +231,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Identifier) -> DataFra
     B.ready(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in B.slices(batches):
             lang, score, out = model.predict([None if t is None else t.decode("utf-8", "replace") for t in b.column("text").to_pylist()])
             yield pa.record_batch({"doc_id": b.column("doc_id"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "rejected": pa.array(out)})
 

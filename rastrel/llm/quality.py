@@ -195,7 +195,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
     texts = B.documents(docs).join(F.broadcast(known), "doc_id").select("quality", "text")  # at most max_rows ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in B.slices(batches):
             x = features([t or b"" for t in b.column("text").to_pylist()])
             yield pa.record_batch({"quality": b.column("quality").cast(pa.int32()), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
@@ -213,7 +213,7 @@ def score(spark: SparkSession, docs: DataFrame, model: AdditiveModel, carry: tup
     wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text__"), *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in B.slices(batches):
             s = model.score(features([t or b"" for t in b.column("text__").to_pylist()]))
             yield pa.record_batch([b.column("doc_id"), pa.array(s), *(b.column(2 + i) for i in range(len(carry)))], names=["doc_id", "score", *carry])
 

@@ -234,7 +234,7 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str | None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, out, index, place = None, None, [], 0
-        for b in batches:
+        for b in B.slices(batches):
             if not b.num_rows:
                 continue
             if encoder is None:
