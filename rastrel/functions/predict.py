@@ -8,16 +8,13 @@ DC, TM, VERTICAL, HORIZONTAL = range(4)
 ABOVE_FRAME, LEFT_OF_FRAME = 127, 129
 
 
-def whole(top: np.ndarray, left: np.ndarray, corner: np.ndarray, has_top: bool, has_left: bool) -> np.ndarray:
-    """The four predictions (..., 4, n, n) from top (..., n), left (..., n) and corner (...)."""
+def whole(top: np.ndarray, left: np.ndarray, corner: np.ndarray, has_top, has_left) -> np.ndarray:
+    """The four predictions (..., 4, n, n) from top (..., n), left (..., n) and corner (...); has_top and has_left: bools or (...)."""
     n = top.shape[-1]
     bits = n.bit_length() - 1
-    if has_top and has_left:
-        dc = (top.sum(-1) + left.sum(-1) + n) >> (bits + 1)
-    elif has_top or has_left:
-        dc = ((top if has_top else left).sum(-1) + n // 2) >> bits
-    else:
-        dc = np.full(top.shape[:-1], 128)
+    t, lf = top.sum(-1), left.sum(-1)
+    one = (np.where(has_top, t, lf) + n // 2) >> bits
+    dc = np.where(np.logical_and(has_top, has_left), (t + lf + n) >> (bits + 1), np.where(np.logical_or(has_top, has_left), one, 128))
     shape = (*top.shape[:-1], n, n)
     rows, cols = np.broadcast_to(left[..., :, None], shape), np.broadcast_to(top[..., None, :], shape)
     tm = np.clip(rows + cols - corner[..., None, None], 0, 255)
@@ -93,11 +90,27 @@ def fours(edge: np.ndarray) -> np.ndarray:
     return np.stack(out, -3)
 
 
-def edges(plane: np.ndarray, y: int, x: int, width: int, top_right: np.ndarray | None = None) -> np.ndarray:
-    """The 13 edge pixels of the 4x4 block at (y, x) of planes (..., H + 1, W + 1) with a border row and column."""
-    left = plane[..., y + 4 : y : -1, x]
-    top = plane[..., y, x : x + 5]
-    right = top_right if top_right is not None else plane[..., y, np.minimum(np.arange(x + 5, x + 9), width)]
+def cut(p: np.ndarray, i: np.ndarray, y: np.ndarray, x: np.ndarray, h: int, w: int) -> np.ndarray:
+    """(k, h, w): from planes (B, H, W), the part of plane i from (y, x) on, for each of k places."""
+    return p[i[:, None, None], y[:, None, None] + np.arange(h)[:, None], x[:, None, None] + np.arange(w)]
+
+
+def put(p: np.ndarray, i: np.ndarray, y: np.ndarray, x: np.ndarray, v: np.ndarray) -> None:
+    p[i[:, None, None], y[:, None, None] + np.arange(v.shape[1])[:, None], x[:, None, None] + np.arange(v.shape[2])] = v
+
+
+def block(p: np.ndarray, i: np.ndarray, r: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """The four predictions of the n x n blocks at rows r and columns c of bordered planes."""
+    y, x = r * n, c * n
+    top, left = cut(p, i, y, x + 1, 1, n)[:, 0], cut(p, i, y + 1, x, n, 1)[..., 0]
+    return whole(top, left, p[i, y, x], r > 0, c > 0)
+
+
+def edges(p: np.ndarray, i: np.ndarray, y: np.ndarray, x: np.ndarray, right_row: np.ndarray) -> np.ndarray:
+    """(k, 13): the edge pixels of the 4x4 blocks at (y, x) of bordered planes; the right part of the top is taken from right_row."""
+    left = cut(p, i, y + 1, x, 4, 1)[:, ::-1, 0]
+    top = cut(p, i, y, x, 1, 5)[:, 0]
+    right = p[i[:, None], right_row[:, None], np.minimum(x[:, None] + np.arange(5, 9), p.shape[-1] - 1)]
     return np.concatenate([left, top, right], -1)
 
 

@@ -123,49 +123,62 @@ def decide(y: np.ndarray, u: np.ndarray, v: np.ndarray, index: int, t: Tables) -
     batch, mh, mw = y.shape[0], y.shape[1] // 16, y.shape[2] // 16
     planes = [predict.bordered(p) for p in (y, u, v)]
     shape = (batch, mh, mw)
-    luma, chroma, score = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, np.int64)
-    for r in range(mh):
-        for c in range(mw):
-            cost = []
-            for p, n in zip(planes, (16, 8, 8), strict=True):
-                a, b = r * n, c * n
-                options = predict.whole(p[:, a, b + 1 : b + n + 1], p[:, a + 1 : a + n + 1, b], p[:, a, b], r > 0, c > 0)
-                own = p[:, None, a + 1 : a + n + 1, b + 1 : b + n + 1]
-                cost.append(((own - options) ** 2).sum((-1, -2)))
-            full = cost[0] * WEIGHT_SSE + np.array(COST_16) * WEIGHT_16
-            luma[:, r, c], score[:, r, c] = full.argmin(1), full.min(1)
-            chroma[:, r, c] = ((cost[1] + cost[2]) * WEIGHT_SSE + np.array(COST_UV) * WEIGHT_UV).argmin(1)
-    # errors of all ten modes for all 4x4 blocks at once; the right part of the top edge is that of the row above the macroblock
+    i, r, c = (x.ravel() for x in np.indices(shape))
+    luma, chroma, score = (np.zeros(len(i), np.int64) for _ in range(3))
+    for at in np.array_split(np.arange(len(i)), -(-len(i) // 1024)):
+        ii, rr, cc = i[at], r[at], c[at]
+        cost = []
+        for p, n in zip(planes, (16, 8, 8), strict=True):
+            own = predict.cut(p, ii, rr * n + 1, cc * n + 1, n, n)[:, None]
+            cost.append(((own - predict.block(p, ii, rr, cc, n)) ** 2).sum((-1, -2)))
+        full = cost[0] * WEIGHT_SSE + np.array(COST_16) * WEIGHT_16
+        luma[at], score[at] = full.argmin(1), full.min(1)
+        chroma[at] = ((cost[1] + cost[2]) * WEIGHT_SSE + np.array(COST_UV) * WEIGHT_UV).argmin(1)
+    luma, chroma, score = (x.reshape(shape) for x in (luma, chroma, score))
+    # errors of all ten modes; the right part of the top edge is that of the row above the macroblock
     p, h, w = planes[0], y.shape[1], y.shape[2]
-    by, bx = np.arange(0, h, 4)[:, None], np.arange(0, w, 4)[None, :]
-    left = np.stack([p[:, by + 4 - k, np.broadcast_to(bx, (h // 4, w // 4))] for k in range(4)], -1)
-    top = np.stack([p[:, np.broadcast_to(by, (h // 4, w // 4)), bx + k] for k in range(5)], -1)
-    row = np.where(bx % 16 == 12, by // 16 * 16, by)
-    right = np.stack([p[:, row, np.minimum(bx + k, w)] for k in range(5, 9)], -1)
-    sse = ((_blocks(y)[..., None, :, :] - predict.fours(np.concatenate([left, top, right], -1))) ** 2).sum((-1, -2))
+    sse = np.empty((batch, h // 4, w // 4, 10), np.int64)
+    bi, by, bx = (x.ravel() for x in np.indices((batch, h // 4, w // 4)))
+    for at in np.array_split(np.arange(len(bi)), -(-len(bi) // 8192)):
+        yy, xx = 4 * by[at], 4 * bx[at]
+        guess = predict.fours(predict.edges(p, bi[at], yy, xx, np.where(xx % 16 == 12, yy // 16 * 16, yy)))
+        own = predict.cut(p, bi[at], yy + 1, xx + 1, 4, 4)
+        sse[bi[at], by[at], bx[at]] = ((own[:, None] - guess) ** 2).sum((-1, -2))
     costs = mode_costs(t) * WEIGHT_4
-    small, fours = np.zeros(shape, bool), np.zeros((batch, mh, mw, 16), np.int64)
-    above = np.zeros((batch, w // 4), np.int64)
+    small, fours = np.zeros(shape, bool), np.zeros((*shape, 16), np.int64)
+    above, beside = np.zeros((batch, w // 4), np.int64), np.zeros((batch, h // 4), np.int64)
     start = PENALTY_4 * quant.matrices(index)["y1"].mean ** 2
-    who = np.arange(batch)
-    for r in range(mh):
-        beside = np.zeros((batch, 4), np.int64)
-        for c in range(mw):
-            total, up, lf = np.full(batch, start), above[:, 4 * c : 4 * c + 4].copy(), beside.copy()
-            for k in range(16):
-                i, j = divmod(k, 4)
-                cost = sse[:, 4 * r + i, 4 * c + j] * WEIGHT_SSE + costs[up[:, j], lf[:, i]]
-                m = cost.argmin(1)
-                total += cost[who, m]
-                up[:, j] = lf[:, i] = fours[:, r, c, k] = m
-            small[:, r, c] = total < score[:, r, c]
-            whole = luma[:, r, c, None]
-            fours[:, r, c] = np.where(small[:, r, c, None], fours[:, r, c], whole)
-            above[:, 4 * c : 4 * c + 4] = np.where(small[:, r, c, None], up, whole)
-            beside = np.where(small[:, r, c, None], lf, whole)
+    four = np.arange(4)
+    for i, r, c in waves(batch, mh, mw, 1):
+        cols, rows = 4 * c[:, None] + four, 4 * r[:, None] + four
+        total, up, lf = np.full(len(i), start), above[i[:, None], cols], beside[i[:, None], rows]
+        own, who = np.empty((len(i), 16), np.int64), np.arange(len(i))
+        for k in range(16):
+            a, b = divmod(k, 4)
+            cost = sse[i, 4 * r + a, 4 * c + b] * WEIGHT_SSE + costs[up[:, b], lf[:, a]]
+            m = cost.argmin(1)
+            total += cost[who, m]
+            up[:, b] = lf[:, a] = own[:, k] = m
+        better = total < score[i, r, c]
+        whole = luma[i, r, c, None]
+        small[i, r, c] = better
+        fours[i, r, c] = np.where(better[:, None], own, whole)
+        above[i[:, None], cols], beside[i[:, None], rows] = np.where(better[:, None], up, whole), np.where(better[:, None], lf, whole)
     return Modes(small, luma, chroma, fours)
 
 
+def waves(batch: int, mh: int, mw: int, lag: int):
+    """(picture, row, column) of macroblocks that don't wait for one another: the sum of column and lag times row is equal.
+
+    With lag 1 a macroblock comes after those to its left and above, with lag 2 also after the one above to the right.
+    """
+    r, c = (x.ravel() for x in np.indices((mh, mw)))
+    key = c + lag * r
+    order = np.argsort(key, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        yield np.repeat(np.arange(batch), len(at)), np.tile(r[at], batch), np.tile(c[at], batch)
+
+
 def trellis(coeffs: np.ndarray, s: quant.Steps, first: int, weight: float) -> np.ndarray:
     """Levels of (N, 16) raster coefficients by rate and error: each is rounded or one smaller, whichever path costs least.
 
@@ -233,51 +246,55 @@ def _luma_levels(d: np.ndarray, s: quant.Steps, first: int, strength: float) ->
 def code_loop(y: np.ndarray, u: np.ndarray, v: np.ndarray, modes: Modes, index: int, strength: float = 0.0) -> tuple[Levels, list[np.ndarray]]:
     """The closed loop over planes (B, H, W): predict from what the decoder will have, transform, quantise, restore."""
     batch, mh, mw = modes.luma.shape
-    m = quant.matrices(index)
     out = Levels(*(np.zeros((batch, mh, mw, *s), np.int64) for s in ((16,), (16, 16), (8, 16))))
-    planes = [predict.bordered(np.zeros_like(p)) for p in (y, u, v)]
-    for r in range(mh):
-        for c in range(mw):
-            for whole in (True, False):
-                who = np.flatnonzero(modes.small[:, r, c] != whole)
-                if len(who):
-                    source = y[who, 16 * r : 16 * r + 16, 16 * c : 16 * c + 16].astype(np.int64)
-                    (_code_whole if whole else _code_small)(source, planes[0], modes, out, m, who, r, c, strength)
-            who = np.arange(batch)
-            for k, (p, src) in enumerate(zip(planes[1:], (u, v), strict=True)):
-                a, b = 8 * r, 8 * c
-                guess = predict.whole(p[:, a, b + 1 : b + 9], p[:, a + 1 : a + 9, b], p[:, a, b], r > 0, c > 0)[who, modes.chroma[:, r, c]]
-                d = transform.fdct(_blocks(src[:, a : a + 8, b : b + 8].astype(np.int64) - guess)).reshape(batch, 4, 16)
-                out.uv[:, r, c, 4 * k : 4 * k + 4] = lv = quant.quantize(d, m["uv"])
-                res = transform.idct(quant.dequantize(lv, m["uv"]).reshape(batch, 2, 2, 4, 4))
-                p[:, a + 1 : a + 9, b + 1 : b + 9] = np.clip(guess + _join(res), 0, 255)
-    return out, [p[:, 1:, 1:] for p in planes]
-
-
-def _code_whole(source, p, modes, out, m, who, r, c, strength) -> None:
-    a, b = 16 * r, 16 * c
-    q = p[who]
-    guess = predict.whole(q[:, a, b + 1 : b + 17], q[:, a + 1 : a + 17, b], q[:, a, b], r > 0, c > 0)[np.arange(len(who)), modes.luma[who, r, c]]
-    d = transform.fdct(_blocks(source - guess)).reshape(len(who), 16, 16)
-    y2 = quant.quantize(transform.fwht(d[..., 0].reshape(-1, 4, 4)).reshape(-1, 16), m["y2"])
-    ac = _luma_levels(d, m["y1"], 1, strength)
-    ac[..., 0] = 0
-    out.y2[who, r, c], out.y[who, r, c] = y2, ac
-    p[who, a + 1 : a + 17, b + 1 : b + 17] = np.clip(guess + _join(_restore_luma(ac, y2, m).reshape(-1, 4, 4, 4, 4)), 0, 255)
-
-
-def _code_small(source, p, modes, out, m, who, r, c, strength) -> None:
-    width = p.shape[-1] - 1
+    return out, _loop(modes, index, out, [p.astype(np.int64) for p in (y, u, v)], strength)
+
+
+def _loop(modes: Modes, index: int, lv: Levels, sources: list[np.ndarray] | None, strength: float = 0.0) -> list[np.ndarray]:
+    """Restores planes from levels, wave by wave; with sources, finds the levels first."""
+    batch, mh, mw = modes.luma.shape
+    m = quant.matrices(index)
+    planes = [predict.bordered(np.zeros((batch, mh * n, mw * n), np.int64)) for n in (16, 8, 8)]
+    for i, r, c in waves(batch, mh, mw, 2):
+        small = modes.small[i, r, c]
+        for whole in (True, False):
+            k = np.flatnonzero(small != whole)
+            if len(k):
+                (_whole if whole else _small)(planes[0], sources and sources[0], modes, lv, m, i[k], r[k], c[k], strength)
+        for n, p in enumerate(planes[1:]):
+            a, b = 8 * r, 8 * c
+            guess = predict.block(p, i, r, c, 8)[np.arange(len(i)), modes.chroma[i, r, c]]
+            at = slice(4 * n, 4 * n + 4)
+            if sources:
+                d = transform.fdct(_blocks(predict.cut(sources[n + 1], i, a, b, 8, 8) - guess)).reshape(len(i), 4, 16)
+                lv.uv[i, r, c, at] = quant.quantize(d, m["uv"])
+            res = transform.idct(quant.dequantize(lv.uv[i, r, c, at], m["uv"]).reshape(-1, 2, 2, 4, 4))
+            predict.put(p, i, a + 1, b + 1, np.clip(guess + _join(res), 0, 255))
+    return [p[:, 1:, 1:] for p in planes]
+
+
+def _whole(p, source, modes, lv, m, i, r, c, strength) -> None:
+    """Macroblocks with one luma mode."""
+    guess = predict.block(p, i, r, c, 16)[np.arange(len(i)), modes.luma[i, r, c]]
+    if source is not None:
+        d = transform.fdct(_blocks(predict.cut(source, i, 16 * r, 16 * c, 16, 16) - guess)).reshape(len(i), 16, 16)
+        lv.y2[i, r, c] = quant.quantize(transform.fwht(d[..., 0].reshape(-1, 4, 4)).reshape(-1, 16), m["y2"])
+        ac = _luma_levels(d, m["y1"], 1, strength)
+        ac[..., 0] = 0
+        lv.y[i, r, c] = ac
+    res = _restore_luma(lv.y[i, r, c], lv.y2[i, r, c], m).reshape(-1, 4, 4, 4, 4)
+    predict.put(p, i, 16 * r + 1, 16 * c + 1, np.clip(guess + _join(res), 0, 255))
+
+
+def _small(p, source, modes, lv, m, i, r, c, strength) -> None:
+    """Macroblocks with sixteen luma modes."""
     for k in range(16):
-        i, j = divmod(k, 4)
-        a, b = 16 * r + 4 * i, 16 * c + 4 * j
-        q = p[who]
-        e = predict.edges(q, a, b, width, q[:, 16 * r, np.minimum(np.arange(b + 5, b + 9), width)] if j == 3 else None)
-        guess = predict.fours(e)[np.arange(len(who)), modes.fours[who, r, c, k]]
-        d = transform.fdct(source[:, 4 * i : 4 * i + 4, 4 * j : 4 * j + 4] - guess).reshape(-1, 16)
-        lv = _luma_levels(d, m["y1"], 0, strength)
-        out.y[who, r, c, k] = lv
-        p[who, a + 1 : a + 5, b + 1 : b + 5] = np.clip(guess + transform.idct(quant.dequantize(lv, m["y1"]).reshape(-1, 4, 4)), 0, 255)
+        a, b = 16 * r + k // 4 * 4, 16 * c + k % 4 * 4
+        guess = predict.fours(predict.edges(p, i, a, b, 16 * r if k % 4 == 3 else a))[np.arange(len(i)), modes.fours[i, r, c, k]]
+        if source is not None:
+            lv.y[i, r, c, k] = _luma_levels(transform.fdct(predict.cut(source, i, a, b, 4, 4) - guess).reshape(-1, 16), m["y1"], 0, strength)
+        res = transform.idct(quant.dequantize(lv.y[i, r, c, k], m["y1"]).reshape(-1, 4, 4))
+        predict.put(p, i, a + 1, b + 1, np.clip(guess + res, 0, 255))
 
 
 def _walk_block(code, p: list, ctx: int, first: int, levels: list[int] | None, tally=None) -> tuple[int, list[int]]:
@@ -474,36 +491,16 @@ def read_frame(data: bytes, t: Tables | None = None) -> tuple[np.ndarray, np.nda
     probs, got = _walk_header(head, None, t, None, None)
     modes, skip = _walk_modes(head, t, None, None, got.get("skip"), mh, mw)
     levels = _walk_tokens(boolcoder.Reader(data[10 + size :]).code, probs.tolist(), modes.small, skip, None)
-    planes = _restore(modes, levels, got["index"], mh, mw)
+    planes = _restore(modes, levels, got["index"])
     if got["level"]:
         _filter(planes[0], modes, levels, got["level"])
     return (*planes, h, w)
 
 
-def _restore(modes: Modes, levels: Levels, index: int, mh: int, mw: int) -> list[np.ndarray]:
-    m = quant.matrices(index)
-    planes = [predict.bordered(np.zeros((mh * n, mw * n), np.int64)) for n in (16, 8, 8)]
-    y, width = planes[0], 16 * mw
-    for r in range(mh):
-        for c in range(mw):
-            if modes.small[r, c]:
-                for k in range(16):
-                    a, b = 16 * r + k // 4 * 4, 16 * c + k % 4 * 4
-                    beyond = y[16 * r, np.minimum(np.arange(b + 5, b + 9), width)] if k % 4 == 3 else None
-                    guess = predict.fours(predict.edges(y, a, b, width, beyond))[modes.fours[r, c, k]]
-                    res = transform.idct(quant.dequantize(levels.y[r, c, k], m["y1"]).reshape(4, 4))
-                    y[a + 1 : a + 5, b + 1 : b + 5] = np.clip(guess + res, 0, 255)
-            else:
-                a, b = 16 * r, 16 * c
-                guess = predict.whole(y[a, b + 1 : b + 17], y[a + 1 : a + 17, b], y[a, b], r > 0, c > 0)[modes.luma[r, c]]
-                res = _restore_luma(levels.y[r, c][None], levels.y2[r, c][None], m).reshape(4, 4, 4, 4)
-                y[a + 1 : a + 17, b + 1 : b + 17] = np.clip(guess + _join(res), 0, 255)
-            for n, p in enumerate(planes[1:]):
-                a, b = 8 * r, 8 * c
-                guess = predict.whole(p[a, b + 1 : b + 9], p[a + 1 : a + 9, b], p[a, b], r > 0, c > 0)[modes.chroma[r, c]]
-                res = transform.idct(quant.dequantize(levels.uv[r, c, 4 * n : 4 * n + 4], m["uv"]).reshape(2, 2, 4, 4))
-                p[a + 1 : a + 9, b + 1 : b + 9] = np.clip(guess + _join(res), 0, 255)
-    return [p[1:, 1:].copy() for p in planes]
+def _restore(modes: Modes, levels: Levels, index: int) -> list[np.ndarray]:
+    """The planes of one picture."""
+    one = Modes(*(x[None] for x in (modes.small, modes.luma, modes.chroma, modes.fours)))
+    return [p[0].copy() for p in _loop(one, index, Levels(levels.y2[None], levels.y[None], levels.uv[None]), None)]
 
 
 def _filter(y: np.ndarray, modes: Modes, levels: Levels, level: int) -> None:

@@ -132,7 +132,7 @@ def test_decoder_sees_the_encoders_pixels():
     levels, rebuilt = vp8.code_loop(*planes, modes, index)
     one = vp8.Modes(*(x[0] for x in (modes.small, modes.luma, modes.chroma, modes.fours)))
     lv = vp8.Levels(levels.y2[0], levels.y[0], levels.uv[0])
-    back = vp8._restore(one, lv, index, 4, 6)
+    back = vp8._restore(one, lv, index)
     assert all((x[0] == y).all() for x, y in zip(rebuilt, back, strict=True))
 
 
