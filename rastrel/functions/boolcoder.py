@@ -37,6 +37,31 @@ class Writer:
         self.low &= (1 << (24 + over)) - 1
         self.room += 8
 
+    def run(self, bits: list[int], probs: list[int]) -> None:
+        """Many bits at once, as ``code`` would write them."""
+        low, rng, room, out = self.low, self.range, self.room, self.out
+        for bit, prob in zip(bits, probs, strict=True):
+            split = 1 + ((rng - 1) * prob >> 8)
+            if bit:
+                low += split
+                rng -= split
+            else:
+                rng = split
+            if rng < 128:
+                n = 8 - rng.bit_length()
+                rng <<= n
+                low <<= n
+                room -= n
+                if room <= 0:
+                    top = low >> (24 - room)
+                    if top > 255:
+                        self._carry()
+                        top &= 255
+                    out.append(top)
+                    low &= (1 << (24 - room)) - 1
+                    room += 8
+        self.low, self.range, self.room = low, rng, room
+
     def _carry(self) -> None:
         i = len(self.out) - 1
         while self.out[i] == 255:

@@ -297,18 +297,15 @@ def _small(p, source, modes, lv, m, i, r, c, strength) -> None:
         predict.put(p, i, a + 1, b + 1, np.clip(guess + res, 0, 255))
 
 
-def _walk_block(code, p: list, ctx: int, first: int, levels: list[int] | None, tally=None) -> tuple[int, list[int]]:
+def _walk_block(code, p: list, ctx: int, first: int, levels: list[int] | None) -> tuple[int, list[int]]:
     """One block in scan order; returns whether it has a level, and the levels."""
     out = [0] * 16
     last = max((i for i in range(first, 16) if levels[i]), default=-1) if levels is not None else 16
     i, q, free = first, p[BANDS[first]][ctx], False
 
     def bit(b, node):
-        if tally is not None:
-            tally(slot, node, b)
         return code(b, q[node])
 
-    slot = (BANDS[first], ctx)
     while i < 16:
         if not free and not bit(i <= last, 0):
             break
@@ -316,8 +313,7 @@ def _walk_block(code, p: list, ctx: int, first: int, levels: list[int] | None, t
         a = abs(v)
         if not bit(a != 0, 1):
             i, free = i + 1, True
-            slot = (BANDS[i], 0)
-            q = p[slot[0]][0]
+            q = p[BANDS[i]][0]
             continue
         nxt = 2
         if not bit(a > 1, 2):
@@ -336,12 +332,11 @@ def _walk_block(code, p: list, ctx: int, first: int, levels: list[int] | None, t
             a = base + sum(code(rest >> (n - 1 - k) & 1, x) << (n - 1 - k) for k, x in enumerate(probs))
         out[i] = -a if code(v < 0, 128) else a
         i, free = i + 1, False
-        slot = (BANDS[i], nxt)
-        q = p[slot[0]][nxt]
+        q = p[BANDS[i]][nxt]
     return int(any(out)), out
 
 
-def _walk_tokens(code, probs: list, small: np.ndarray, skip: np.ndarray, given: Levels | None, tally=None) -> Levels:
+def _walk_tokens(code, probs: list, small: np.ndarray, skip: np.ndarray, given: Levels | None) -> Levels:
     """All blocks of a frame; small and skip: (mh, mw)."""
     mh, mw = small.shape
     out = Levels(*(np.zeros((mh, mw, *s), np.int64) for s in ((16,), (16, 16), (8, 16))))
@@ -358,8 +353,7 @@ def _walk_tokens(code, probs: list, small: np.ndarray, skip: np.ndarray, given:
                 continue
 
             def walk(kind, first, target, source, a, b):
-                seen = None if tally is None else lambda slot, node, bit: tally(kind, slot, node, bit)
-                nz, lv = _walk_block(code, probs[kind], up[a] + lf[b], first, None if source is None else source[ZIG].tolist(), seen)
+                nz, lv = _walk_block(code, probs[kind], up[a] + lf[b], first, None if source is None else source[ZIG].tolist())
                 target[ZIG] = lv
                 up[a] = lf[b] = nz
 
@@ -418,37 +412,48 @@ def fit_probabilities(n0: np.ndarray, n1: np.ndarray, old: np.ndarray, update: n
     return new, (n >= 24) & (bits(old) - bits(new) > np.maximum(14, send))
 
 
-def write_frame(h: int, w: int, modes: Modes, levels: Levels, index: int, t: Tables | None = None, adapt: bool = True) -> bytes:
-    """One image's key frame. With adapt, fitted probabilities are sent if the frame gets smaller so."""
-    t = t or _plain()
-    frames = [_frame(h, w, modes, levels, index, t, None)]
-    if adapt:
-        n = np.zeros((2, 4, 8, 3, 11), np.int64)
-
-        def tally(kind, slot, node, bit):
-            n[int(bit), kind, slot[0], slot[1], node] += 1
+#: Places in the list of probabilities that a recorded walk refers to: below 256 the probability itself, then one for each slot.
+SLOTS = (256 + np.arange(4 * 8 * 3 * 11)).reshape(4, 8, 3, 11)
 
-        _walk_tokens(lambda b, _p: int(b), t.coeff.tolist(), modes.small, levels.empty(), levels, tally)
-        frames.append(_frame(h, w, modes, levels, index, t, fit_probabilities(n[0], n[1], t.coeff, t.update)))
-    return min(frames, key=len)
 
+def write_frame(h: int, w: int, modes: Modes, levels: Levels, index: int, t: Tables | None = None, adapt: bool = True) -> bytes:
+    """One image's key frame. With adapt, fitted probabilities are sent if the frame gets smaller so.
 
-def _frame(h, w, modes, levels, index, t, fitted) -> bytes:
+    The tokens are walked once, as bits with the slots of their probabilities; counts by slot give the fitted
+    probabilities and the bits that either choice takes.
+    """
+    t = t or _plain()
     mh, mw = modes.luma.shape
-    head = boolcoder.Writer()
     skip = levels.empty()
-    full = int((~skip).sum())
-    prob = full * 255 // skip.size
+    prob = int((~skip).sum()) * 255 // skip.size
     prob_skip = prob if prob < 250 and skip.any() else None
     if prob_skip is None:
         skip = np.zeros_like(skip)
+    bits, slots = [], []
+
+    def record(bit, slot):
+        bits.append(int(bit))
+        slots.append(slot)
+        return bit
+
+    _walk_tokens(record, SLOTS.tolist(), modes.small, skip, levels)
+    at, one = np.array(slots, np.int64), np.array(bits, bool)
+    n1 = np.bincount(at[one], minlength=256 + SLOTS.size)[256:].reshape(SLOTS.shape)
+    n0 = np.bincount(at, minlength=256 + SLOTS.size)[256:].reshape(SLOTS.shape) - n1
+    fitted = None
+    if adapt:
+        new, send = fit_probabilities(n0, n1, t.coeff, t.update)
+        cost = lambda p: -(n0 * np.log2(p / 256) + n1 * np.log2(1 - p / 256)).sum()
+        flags = np.where(send, 8 - np.log2(1 - t.update / 256), 0).sum() + np.log2(t.update / 256)[send].sum()
+        if cost(np.where(send, new, t.coeff)) + flags < cost(t.coeff):
+            fitted = new, send
+    head, body = boolcoder.Writer(), boolcoder.Writer()
     probs, _ = _walk_header(head, index, t, fitted, prob_skip)
     _walk_modes(head, t, modes, skip, prob_skip, mh, mw)
-    body = boolcoder.Writer()
-    _walk_tokens(body.code, probs.tolist(), modes.small, skip, levels)
-    one, two = head.finish(), body.finish()
-    tag = (1 << 4) | (len(one) << 5)
-    out = tag.to_bytes(3, "little") + START + (w & 0x3FFF).to_bytes(2, "little") + (h & 0x3FFF).to_bytes(2, "little") + one + two
+    body.run(bits, np.concatenate([np.arange(256), probs.ravel()])[at].tolist())
+    first, second = head.finish(), body.finish()
+    tag = (1 << 4) | (len(first) << 5)
+    out = tag.to_bytes(3, "little") + START + (w & 0x3FFF).to_bytes(2, "little") + (h & 0x3FFF).to_bytes(2, "little") + first + second
     return out + bytes(len(out) % 2)
 
 
