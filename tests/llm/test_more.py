@@ -51,9 +51,24 @@ def test_words_encode_as_whole_texts(word_tok, corpus):
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_no_documents_no_files(spark, empty):
+    files = token_files.write(spark, empty, P.path("word_bpe_49k.json"))
+    assert files.collect() == [] and token_files.read(spark, files).collect() == []
+
+
 # --- op 4
 
 
+def test_no_rows(spark, empty):
+    assert sharding.assign(spark, empty).collect() == []
+
+
+def test_shards_as_folders(spark, docs, tmp_path):
+    sharding.write(docs.drop("shard"), str(tmp_path / "out"), weights=[1.0, 1.0, 3.0])
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == docs.count() and {r.shard for r in back.select("shard").distinct().collect()} <= {0, 1, 2}
+
+
 def test_shards(spark, docs, corpus):
     got = sharding.assign(spark, docs, shards=7, rows_per_bucket=5).collect()
     assert len(got) == len(corpus)
