@@ -286,13 +286,12 @@ def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, min_
     Returns doc_id, n_lines, n_dropped and kept_sha256 or, without digest, doc_id, text and the carried columns.
     """
     B.ready(spark)
-    plain = B.documents(docs)
-    total = B.text_bytes(plain)
-    blocks, n = B.in_blocks(plain, total, block_bytes)
-    wide = B.in_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *carry), total, block_bytes, carry)[0] if carry else blocks
+    total = B.text_bytes(B.documents(docs))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *carry)
+    blocks, n = B.in_blocks(plain, total, block_bytes, carry)
     msgs = blocks.groupBy("block").applyInArrow(_messages(max(8, min(2048, n // 8)), min_chars), "shard int, block int, blob binary")
     replies = msgs.groupBy("shard").applyInArrow(_replies(min_docs), "block int, blob binary")
-    fields = [f for f in wide.schema if f.name in carry]
+    fields = [f for f in blocks.schema if f.name in carry]
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" if digest else "doc_id long, text string" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def finish(t: pa.Table, r: pa.Table) -> pa.Table:
@@ -316,7 +315,7 @@ def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, min_
             return pa.table({"doc_id": d.doc_ids(), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]})
         return pa.table({"doc_id": d.doc_ids(), "text": pa.array([None if no else x for x, no in zip(kept, d.no_text, strict=True)], pa.binary()).cast(pa.string()), **{c: d.table.column(c) for c in carry}})
 
-    return wide.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
 
 
 def _empty(digest: bool, t: pa.Table, carry: tuple[str, ...]) -> pa.Table:
