@@ -9,6 +9,7 @@ is one entry a block, whatever the number of its rows, so no bucket gathers the
 from __future__ import annotations
 
 import ctypes
+import gc
 import inspect
 import os
 import pickle
@@ -50,6 +51,12 @@ def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more, instead of when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucketed(spark: SparkSession, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
     """Like ``table``, with the rows of a key together in one of n buckets: joins by the key don't move them again."""
     path = shared_dir(spark, name)

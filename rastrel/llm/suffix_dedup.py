@@ -384,6 +384,7 @@ def spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, block_byte
     runs = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(B.trimmed(_runs(n_shards, length, heavy)), "shard int, block int, known int, blob binary")
     found = runs.groupBy("shard").applyInArrow(B.trimmed(_shard(length, n_shards)), "kind string, block int, merge long, shard int, blob binary")
     found = B.table(spark, found, "windows")
+    B.release(spark)  # the runs are through
     merged = found.where("kind = 'open'").select("merge", "shard", "blob").groupBy("merge").applyInArrow(B.trimmed(_merge), "block int, blob binary")
     return blocks, found.where("kind = 'hit'").select("block", "blob").union(merged)
 
