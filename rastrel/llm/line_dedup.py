@@ -247,26 +247,33 @@ def _replies(min_docs: int):
     return answer
 
 
-def index(spark: SparkSession, docs: DataFrame, n_shards: int = 16, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK, n_blocks: int | None = None) -> DataFrame:
-    """The state of every shard after inserting docs. Keep n_shards and n_blocks for later inserts and deletions."""
-    return _update(docs, None, "insert", n_shards, min_chars, block_bytes, n_blocks)
+def index(docs: DataFrame, n_blocks: int, state: DataFrame | None = None, batch: int = 0, n_shards: int = 16, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The state of every shard after inserting docs, into ``state`` if given.
+
+    Every insert has a batch number of its own: references are (key, batch and block). Keep n_shards and
+    the batch's n_blocks for later deletions.
+    """
+    return _update(_numbered(docs, n_blocks), state, "insert", batch, n_shards, min_chars)
 
 
-def insert(docs: DataFrame, state: DataFrame, n_shards: int = 16, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK, n_blocks: int | None = None) -> DataFrame:
-    """The states after inserting further documents. Sources are told apart by batch: their ids must not be in the index yet."""
-    return _update(docs, state, "insert", n_shards, min_chars, block_bytes, n_blocks)
+def delete(gone: DataFrame, rest: DataFrame, state: DataFrame, n_blocks: int, batch: int = 0, n_shards: int = 16, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The states after deleting the documents ``gone`` of a batch; ``rest``: its other documents.
+
+    The references of the blocks that lose documents are taken back and those of what is left are put in.
+    """
+    gone, rest = _numbered(gone, n_blocks), _numbered(rest, n_blocks)
+    rest = rest.join(gone.select("block").distinct(), "block", "left_semi").select("block", "doc_id", "text")
+    state = _update(gone.union(rest), state, "delete", batch, n_shards, min_chars)
+    return _update(rest, state, "insert", batch, n_shards, min_chars)
 
 
-def delete(docs: DataFrame, state: DataFrame, n_shards: int = 16, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK, n_blocks: int | None = None) -> DataFrame:
-    """The states after deleting documents that came in one insert: all blocks of that insert that hold them go whole."""
-    return _update(docs, state, "delete", n_shards, min_chars, block_bytes, n_blocks)
+def _numbered(docs: DataFrame, n_blocks: int) -> DataFrame:
+    return B.in_blocks(B.documents(docs), n_blocks, 1)[0]
 
 
-def _update(docs, state, what, n_shards, min_chars, block_bytes, n_blocks) -> DataFrame:
-    spark = docs.sparkSession
+def _update(blocks: DataFrame, state: DataFrame | None, what: str, batch: int, n_shards: int, min_chars: int) -> DataFrame:
+    spark = blocks.sparkSession
     B.ready(spark)
-    docs = B.documents(docs)
-    blocks, _ = B.in_blocks(docs, (n_blocks or 1) if n_blocks else B.text_bytes(docs), 1 if n_blocks else block_bytes)
     msgs = blocks.groupBy("block").applyInArrow(_messages(n_shards, min_chars), "shard int, block int, blob binary")
     state = state if state is not None else spark.createDataFrame([], "shard int, state binary")
 
@@ -274,12 +281,25 @@ def _update(docs, state, what, n_shards, min_chars, block_bytes, n_blocks) -> Da
         shard = LineShard.of(old.column("state")[0].as_py()) if old.num_rows else LineShard()
         if new.num_rows:
             src, hi, lo, n, top = _gathered(new)
-            getattr(shard, what)(src, hi, lo, n, top)
+            getattr(shard, what)(src + (batch << 32), hi, lo, n, top)
         return B.rows(STATE, [[(old if old.num_rows else new).column("shard")[0].as_py()], [shard.state()]])
 
+    state = state.toDF(*state.columns)
     return state.groupBy("shard").cogroup(msgs.groupBy("shard")).applyInArrow(both, "shard int, state binary")
 
 
+def frequent(state: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """hi, lo and keeper (the largest doc_id) of the keys that at least so many documents hold."""
+
+    def run(batches):
+        for b in batches:
+            for s in b.column("state").to_pylist():
+                hi, lo, top = LineShard.of(s).frequent(min_docs)
+                yield pa.record_batch({"hi": pa.array(hi.view(np.int64)), "lo": pa.array(lo.view(np.int64)), "keeper": pa.array(top)})
+
+    return state.mapInArrow(run, "hi long, lo long, keeper long")
+
+
 def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, block_bytes: int = BLOCK, carry: tuple[str, ...] = (), digest: bool = True) -> DataFrame:
     """Drops frequent lines in all documents but the one with the largest id.
 
