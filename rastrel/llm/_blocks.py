@@ -14,6 +14,7 @@ import inspect
 import os
 import pickle
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -53,8 +54,10 @@ def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that nothing refers to any more, instead of when the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python's references to the JVM end a moment after their collection
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
 
 
 def bucketed(spark: SparkSession, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
