@@ -179,7 +179,7 @@ def waves(batch: int, mh: int, mw: int, lag: int):
         yield np.repeat(np.arange(batch), len(at)), np.tile(r[at], batch), np.tile(c[at], batch)
 
 
-def trellis(coeffs: np.ndarray, s: quant.Steps, first: int, weight: float) -> np.ndarray:
+def trellis(coeffs: np.ndarray, s: quant.Steps, first: int, weight: float | np.ndarray) -> np.ndarray:
     """Levels of (N, 16) raster coefficients by rate and error: each is rounded or one smaller, whichever path costs least.
 
     States: whether the level before was 0, 1 or more; the rate of a level is about its bits after such a state.
@@ -236,31 +236,36 @@ def _restore_luma(levels: np.ndarray, y2: np.ndarray, m: dict[str, quant.Steps])
     return transform.idct(c.reshape(*c.shape[:-1], 4, 4))
 
 
-def _luma_levels(d: np.ndarray, s: quant.Steps, first: int, strength: float) -> np.ndarray:
-    if not strength:
+def _luma_levels(d: np.ndarray, s: quant.Steps, first: int, strength: np.ndarray) -> np.ndarray:
+    """Levels of the blocks d (N, ..., 16); strength: of each of the N."""
+    if not strength.any():
         return quant.quantize(d, s)
-    weight = strength * (7 * s.mean**2 / 8 if first == 0 else s.mean**2 / 4)
-    return trellis(d.reshape(-1, 16), s, first, max(1.0, weight)).reshape(d.shape)
+    weight = np.maximum(1.0, strength * (7 * s.mean**2 / 8 if first == 0 else s.mean**2 / 4))
+    out = trellis(d.reshape(-1, 16), s, first, np.repeat(weight, d[0].size // 16)).reshape(d.shape)
+    if (plain := strength == 0).any():
+        out[plain] = quant.quantize(d[plain], s)
+    return out
 
 
-def code_loop(y: np.ndarray, u: np.ndarray, v: np.ndarray, modes: Modes, index: int, strength: float = 0.0) -> tuple[Levels, list[np.ndarray]]:
+def code_loop(y: np.ndarray, u: np.ndarray, v: np.ndarray, modes: Modes, index: int, strength: float | np.ndarray = 0.0) -> tuple[Levels, list[np.ndarray]]:
     """The closed loop over planes (B, H, W): predict from what the decoder will have, transform, quantise, restore."""
     batch, mh, mw = modes.luma.shape
     out = Levels(*(np.zeros((batch, mh, mw, *s), np.int64) for s in ((16,), (16, 16), (8, 16))))
     return out, _loop(modes, index, out, [p.astype(np.int64) for p in (y, u, v)], strength)
 
 
-def _loop(modes: Modes, index: int, lv: Levels, sources: list[np.ndarray] | None, strength: float = 0.0) -> list[np.ndarray]:
+def _loop(modes: Modes, index: int, lv: Levels, sources: list[np.ndarray] | None, strength: float | np.ndarray = 0.0) -> list[np.ndarray]:
     """Restores planes from levels, wave by wave; with sources, finds the levels first."""
     batch, mh, mw = modes.luma.shape
     m = quant.matrices(index)
+    strength = np.broadcast_to(np.asarray(strength, float), batch)
     planes = [predict.bordered(np.zeros((batch, mh * n, mw * n), np.int64)) for n in (16, 8, 8)]
     for i, r, c in waves(batch, mh, mw, 2):
         small = modes.small[i, r, c]
         for whole in (True, False):
             k = np.flatnonzero(small != whole)
             if len(k):
-                (_whole if whole else _small)(planes[0], sources and sources[0], modes, lv, m, i[k], r[k], c[k], strength)
+                (_whole if whole else _small)(planes[0], sources and sources[0], modes, lv, m, i[k], r[k], c[k], strength[i[k]])
         for n, p in enumerate(planes[1:]):
             a, b = 8 * r, 8 * c
             guess = predict.block(p, i, r, c, 8)[np.arange(len(i)), modes.chroma[i, r, c]]
@@ -533,8 +538,8 @@ def _filter(y: np.ndarray, modes: Modes, levels: Levels, level: int) -> None:
                     s[1], s[2] = smooth(*s.copy(), 2 * level + level + 4 * (z == a))
 
 
-def encode_rgb(images: list[np.ndarray], quality: float = 90, t: Tables | None = None, adapt: bool = True, strength: float = 0.0) -> list[tuple[bytes, float]]:
-    """Frames of images (h, w, 3) of one macroblock grid, and the PSNR of each one's planes before the loop filter."""
+def encode_rgb(images: list[np.ndarray], quality: float = 90, t: Tables | None = None, adapt: bool = True, strength: float | np.ndarray = 0.0) -> list[tuple[bytes, float]]:
+    """Frames of images (h, w, 3) of one macroblock grid, and the PSNR of each one's planes before the loop filter. strength: one, or one for each image."""
     t = t or _plain()
     index = quant.quality_index(quality)
     y, u, v = (np.stack(p) for p in zip(*(color.yuv420(i) for i in images), strict=True))

@@ -163,19 +163,21 @@ def quarantine(outcomes: DataFrame, files: DataFrame) -> DataFrame:
 def two_pass(files: DataFrame, target: float, quality: float = 90, cap: int = CAP) -> DataFrame:
     """rel, strength, size and PSNR of the smaller of two encodings, the second with levels as coarse as the target allows."""
     images = decoded(files).where("status IS NULL")
-    good = batches(images, ["mb_h", "mb_w"], "rel", cap)
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    good = batches(images, ["mb_h", "mb_w"], "rel", cap).repartition(n, "mb_h", "mb_w", "batch_id")  # little data, much work: not to be coalesced by bytes
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rgb = [np.frombuffer(r.rgba, np.uint8).reshape(int(r.h), int(r.w), 4)[..., :3] for r in pdf.itertuples()]
+        tries = [[(0.0, *t)] for t in vp8.encode_rgb(rgb, quality)]
+        again = [i for i, t in enumerate(tries) if t[0][2] > target + 0.15]
+        s = [scale(tries[i][0][2], target) for i in again]
+        if again:
+            for i, x, t in zip(again, s, vp8.encode_rgb([rgb[i] for i in again], quality, strength=np.array(s) / 8), strict=True):
+                tries[i].append((x, *t))
         out = []
-        for r in pdf.itertuples():
-            x = np.frombuffer(r.rgba, np.uint8).reshape(int(r.h), int(r.w), 4)[..., :3]
-            tries = [(0.0, *vp8.encode_rgb([x], quality)[0])]
-            if tries[0][2] > target + 0.15:
-                s = scale(tries[0][2], target)
-                tries.append((s, *vp8.encode_rgb([x], quality, strength=s / 8)[0]))
-            good = [t for t in tries if t[2] >= target] or tries[:1]
-            s, data, p = min(good, key=lambda t: len(t[1]))
-            out.append((r.rel, s, len(tries[0][1]), len(data), p))
+        for rel, own in zip(pdf["rel"], tries, strict=True):
+            x, data, p = min([t for t in own if t[2] >= target] or own[:1], key=lambda t: len(t[1]))
+            out.append((rel, x, len(own[0][1]), len(data), p))
         return pd.DataFrame(out, columns=["rel", "strength", "plain_bytes", "bytes", "psnr"])
 
     return good.groupBy("mb_h", "mb_w", "batch_id").applyInPandas(run, "rel string, strength double, plain_bytes long, bytes long, psnr double")
