@@ -6,8 +6,10 @@ arrays, found by binary search. The text gets the language of the least cross-en
 
 Texts are lower-cased; every run of characters that are not letters is one space. Code points above
 16 bits are folded into 16. ``rejected`` tells that the cross-entropy is higher than almost all
-(``quantile``) held-back training texts of that language have, times ``margin``; the score, the share of
-the chosen language among all by likelihood of up to ``MOST`` characters, is halved then.
+(``quantile``) held-back training texts of that language have, by models without them, times ``margin``.
+A language whose training rows are all in one of ``PARTS`` parts by doc_id can hold none back and has no
+such limit. The score, the share of the chosen language among all by likelihood of up to ``MOST``
+characters, is halved for rejected texts.
 
 A null text, or one without a letter, is ``und`` with score 0. Rows without a language or id train nothing. Without
 training rows all texts are ``und``. Counts are taken from all training rows; what reaches the driver
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from . import _blocks as B
 from .quality import fold
 
-ORDER, FOLDS, HELD, CALIBRATE = 4, 3, 1, 2000
+ORDER, FOLDS, HELD, PARTS = 4, 3, 1, 16
 QUANTILE, MARGIN, MOST = 0.995, 1.15, 40
 PIECE, KEPT = 1 << 20, 3_000_000
 LETTER = np.uint16(0)
@@ -165,7 +167,7 @@ class Identifier:
         return lang, np.where(none, 0.0, np.where(high, share / 2, share)), high | none
 
 
-COUNTS = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("blob", pa.binary())])
+COUNTS = pa.schema([("lang", pa.string()), ("aside", pa.bool_()), ("part", pa.int32()), ("blob", pa.binary())])
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,44 +176,52 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list] = {}
+    held: dict[tuple[str, bool], list] = {}
     part = 0
     for b in B.slices(batches, 4096):
-        lang = np.array(b.column("lang").to_pylist(), object)
+        key = list(zip(b.column("lang").to_pylist(), b.column("aside").to_pylist(), strict=True))
         texts = [(t or b"").decode("utf-8", "replace") for t in b.column("text").to_pylist()]
         part = b.column("part")[0].as_py() if b.num_rows else part
-        for x in sorted(set(lang)):
-            for _, group in _pieces([t for t, own in zip(texts, lang, strict=True) if own == x]):
+        for x in sorted(set(key)):
+            for _, group in _pieces([t for t, own in zip(texts, key, strict=True) if own == x]):
                 u, n = np.unique(grams(group)[0], return_counts=True)
                 held.setdefault(x, []).append((u, n))
                 if len(held[x]) > 16:
                     held[x] = [_merge(held[x])]
     for x, parts in held.items():
-        yield B.rows(COUNTS, [[x], [part], [B.pack(*_merge(parts))]]).to_batches()[0]
+        yield B.rows(COUNTS, [[x[0]], [x[1]], [part], [B.pack(*_merge(parts))]]).to_batches()[0]
 
 
 def _sum(t: pa.Table) -> pa.Table:
-    return B.rows(COUNTS, [[t.column("lang")[0].as_py()], [0], [B.pack(*_merge([tuple(B.unpack(x)) for x in t.column("blob").to_pylist()]))]])
+    return B.rows(COUNTS, [[t.column("lang")[0].as_py()], [t.column("aside")[0].as_py()], [0], [B.pack(*_merge([tuple(B.unpack(x)) for x in t.column("blob").to_pylist()]))]])
 
 
-def train(spark: SparkSession, docs: DataFrame, lang_col: str = "lang", folds: int = FOLDS, held: int = HELD, calibrate: int = CALIBRATE) -> Identifier:
-    """Models of all languages of the training rows; about one in 16 of those, calibrate at most, sets the limits of rejection."""
+def train(spark: SparkSession, docs: DataFrame, lang_col: str = "lang", folds: int = FOLDS, held: int = HELD) -> Identifier:
+    """Models of all languages, counted from all training rows.
+
+    The limits of rejection come from about one in PARTS of each language's rows, all of them, and the models of the
+    others. Those rows are the first part by a hash of doc_id that the language has.
+    """
     B.ready(spark)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(folds) != held))
-    aside = F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0
-    schema = "lang string, part int, blob binary"
-    counts = known.where(~aside).select("lang", "text", F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).mapInArrow(_count, schema)
-    counts = counts.groupBy("lang", "part").applyInArrow(_sum, schema).groupBy("lang").applyInArrow(_sum, schema)
-    rows = sorted((r.lang, *B.unpack(bytes(r.blob))) for r in counts.collect())  # one row for each language
-    if not rows:
+    known = known.withColumn("of", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    first = known.groupBy("lang").agg(F.min("of").alias("first"), F.max("of").alias("last"))
+    known = known.join(F.broadcast(first), "lang").select("lang", "text", ((F.col("of") == F.col("first")) & (F.col("first") < F.col("last"))).alias("aside"))
+    schema = "lang string, aside boolean, part int, blob binary"
+    counts = known.select("lang", "aside", "text", F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).mapInArrow(_count, schema)
+    counts = counts.groupBy("lang", "aside", "part").applyInArrow(_sum, schema).groupBy("lang", "aside").applyInArrow(_sum, schema)
+    found: dict[str, list] = {}
+    for r in counts.collect():  # at most two rows for each language
+        found.setdefault(r.lang, []).append((r.aside, tuple(B.unpack(bytes(r.blob)))))
+    if not found:
         return Identifier([], [])
-    alphabet = len(np.unique(np.concatenate([np.unique(k & np.uint64(0xFFFF)) for _, k, _ in rows]))) + 1
-    model = Identifier([r[0] for r in rows], [KneserNey(k, n, alphabet) for _, k, n in rows])
-    sample = known.where(aside).select("doc_id", "lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(calibrate)
-    sample = known.where(aside).join(F.broadcast(sample.select("doc_id").distinct()), "doc_id").select("lang", "text")  # at most calibrate ids
-    bits = sample.mapInArrow(_entropy(model), "lang string, bits double").toPandas()
-    model.limit = {x: float(np.quantile(g, QUANTILE)) * MARGIN for x, g in bits.groupby("lang")["bits"]}
-    return model
+    alphabet = len(np.unique(np.concatenate([np.unique(k & np.uint64(0xFFFF)) for own in found.values() for _, (k, _) in own]))) + 1
+    without = [(x, c) for x, own in sorted(found.items()) for aside, c in own if not aside]
+    part = Identifier([x for x, _ in without], [KneserNey(*c, alphabet) for _, c in without])
+    bits = known.where("aside").mapInArrow(_entropy(part), "lang string, bits double")
+    limit = {r.lang: r.limit * MARGIN for r in bits.groupBy("lang").agg(F.percentile("bits", F.lit(QUANTILE)).alias("limit")).collect()}
+    del without, part
+    return Identifier(sorted(found), [KneserNey(*_merge([c for _, c in found[x]]), alphabet) for x in sorted(found)], limit)
 
 
 def _entropy(model: Identifier):
