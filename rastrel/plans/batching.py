@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,23 +94,71 @@ def raw_size(w: Column, h: Column, depth: Column, color: Column, interlace: Colu
     return F.when(interlace == 1, seven).otherwise(one(0, 0, 1, 1)).cast("long")
 
 
+def _ends(sizes: np.ndarray, room: int) -> np.ndarray:
+    """What a greedy scan does in a slice, by the row (up to the first that can be it) where its first new group starts.
+
+    Three rows: the bytes before it, the groups begun from there on, the bytes held at the slice's end. Before them
+    all stands a column for a scan that arrives with nothing: its first new group's place, the bytes of the slice.
+    """
+    n = len(sizes)
+    total = np.concatenate([[0.0], np.cumsum(sizes)])
+    known = (~np.isnan(total)).sum() - 1  # from the first row of unknown size on no group begins
+    over = np.searchsorted(total, total + room, "right")  # the first row that doesn't fit is the one before
+    full = np.searchsorted(total, total, "right")  # a group takes rows of no bytes and one more, whatever its size
+    after = np.maximum(over - 1, full)
+    after[after >= known] = n
+    begun, last = np.zeros(n + 1), np.full(n + 1, n)
+    for j in range(n - 1, -1, -1):
+        k = after[j]
+        begun[j], last[j] = begun[k] + 1, last[k] if k < n else j
+    e = after[0] + 2
+    return np.concatenate([[[after[0]], [total[-1]], [n]], np.stack([total[:e], begun[:e], (total[-1] - total[last])[:e]])], 1)
+
+
+def _through(ends: np.ndarray, room: int, held: float) -> tuple[int, float]:
+    """The groups begun in a slice by a scan that arrives with held bytes, and the bytes it leaves with."""
+    (first, whole, n), (total, begun, left) = ends[:, 0], ends[:, 1:]
+    if held:
+        first = max(np.searchsorted(total, room - held, "right") - 1, 0)
+        if first >= (~np.isnan(total)).sum() - 1:
+            first = n
+    return (0, held + whole) if first >= n else (int(begun[int(first)]), left[int(first)])
+
+
 def byte_groups(df: DataFrame, keys: list[str], order: str, size: str, room: int = ROOM, slack: int = SLACK, run: int = 1 << 14) -> DataFrame:
-    """Adds group_id: rows of a key in order, a new group whenever the next row would not fit into room.
+    """Adds group_id: rows of a key in order (no two alike), a new group whenever the next row would not fit into room.
 
-    The cut is greedy, so it is a scan; runs of at most ``run`` rows of a key are scanned by themselves.
+    The cut is greedy, so it is a scan. Slices of ``run`` rows of a key tell where a scan would leave them, by
+    where its first new group starts; put together in order, that gives the state each slice is scanned from.
     """
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+    of = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    sizes = lambda pdf: pdf.sort_values(order)[size].to_numpy(float, na_value=np.nan) + slack
+
+    def tell(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[[*keys, "batch_id"]].head(1).assign(ends=[_ends(sizes(pdf), room).tobytes()])
+
+    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("batch_id")
+        group, held, out = 0, 0.0, []
+        for raw in pdf["ends"]:
+            out.append((held, group))
+            begun, held = _through(np.frombuffer(raw).reshape(3, -1), room, held)
+            group += begun
+        return pdf[[*keys, "batch_id"]].assign(held=[x[0] for x in out], group=[x[1] for x in out])
+
+    def cut(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        group, held, out = 0, 0, []
-        for s in pdf[size].to_numpy() + slack:
+        group, held, out = int(state["group"].iloc[0]), float(state["held"].iloc[0]), []
+        for s in sizes(pdf):
             if held and held + s > room:
                 group, held = group + 1, 0
             held += s
             out.append(group)
-        return pdf.assign(group_id=out)
+        return pdf.drop(columns="batch_id").assign(group_id=out)
 
     ranked = batches(df, keys, order, run)
-    got = ranked.groupBy(*keys, "batch_id").applyInPandas(cut, f"{kinds}, batch_id long, group_id long")
-    return got
+    at = [*keys, "batch_id"]
+    ends = ranked.select(*dict.fromkeys([*at, order, size])).groupBy(*at).applyInPandas(tell, f"{of}, batch_id long, ends binary")
+    states = ends.groupBy(*keys).applyInPandas(enter, f"{of}, batch_id long, held double, `group` long")
+    return ranked.groupBy(*at).cogroup(states.groupBy(*at)).applyInPandas(cut, f"{kinds}, group_id long")

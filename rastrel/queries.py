@@ -216,7 +216,7 @@ def bucket_plan(spark: SparkSession, sf: str) -> DataFrame:
 def byte_groups(spark: SparkSession, sf: str) -> DataFrame:
     """A5: pages in greedy groups of at most 64 KB for each host key."""
     p = inputs(spark, sf).select((F.col("page_id") % 3).cast("int").alias("k"), "page_id", "size")
-    return batching.byte_groups(p, ["k"], "page_id", "size", 1 << 16, 0).groupBy("k", "batch_id", "group_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    return batching.byte_groups(p, ["k"], "page_id", "size", 1 << 16, 0).groupBy("k", F.lit(0).cast("long").alias("batch_id"), "group_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
 def size_gates(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rastrel import queries
 from rastrel.functions import vp8
 from rastrel.llm import language
+from rastrel.plans import batching
 from rastrel.tables import pictures
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +49,34 @@ def test_languages_are_counted_from_all_training_rows(spark):
     assert model.limit["en"] == pytest.approx(np.quantile(h[:, 0], language.QUANTILE) * language.MARGIN)
     got = {r.doc_id: r.lang_pred for r in language.identify(spark, docs, model).collect()}
     assert all(got[i] == x for i, x, _ in rows if x == "zz")
+
+
+def greedy(sizes, room):
+    group, held, out = 0, 0, []
+    for s in sizes:
+        if held and held + s > room:
+            group, held = group + 1, 0
+        held += s
+        out.append(group)
+    return out
+
+
+def test_slices_tell_how_a_scan_leaves_them():
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        room, held = int(rng.integers(1, 12)), int(rng.choice([0, 1, 4, 9, 30]))
+        sizes = rng.choice([0, 0, 1, 2, 5, 11, 25, np.nan], int(rng.integers(1, 9)), p=[0.2, 0.1, 0.2, 0.2, 0.1, 0.1, 0.07, 0.03])
+        want = greedy([held, *sizes], room)
+        mine = [s for s, g in zip([held, *sizes], want, strict=True) if g == want[-1]]
+        begun, left = batching._through(batching._ends(sizes, room), room, held)
+        assert begun == want[-1] and left == pytest.approx(sum(mine), nan_ok=True), (room, held, sizes)
+
+
+def test_greedy_groups_go_on_through_slices(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, i, int(s)) for k, n in ((0, 500), (1, 37), (2, 1)) for i, s in enumerate(rng.choice([0, 1, 3, 8, 40], n))]
+    df = spark.createDataFrame(rows, "k int, n int, size long").repartition(5)
+    want = {(k, i): g for k in range(3) for i, g in enumerate(greedy([s for own, _, s in rows if own == k], 20))}
+    for run in (1, 7, 1000):
+        got = batching.byte_groups(df, ["k"], "n", "size", 20, 0, run).collect()
+        assert len(got) == len(rows) and {(r.k, r.n): r.group_id for r in got} == want
