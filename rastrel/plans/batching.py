@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import png
 
 BATCH, TAIL, GAIN, MOST_BUCKETS = 64, 24, 0.15, 3
+MAX_H, MAX_W = 1536, 1920
 ROOM, SLACK = 1 << 30, 65536
 
 
@@ -34,7 +35,7 @@ def batches(df: DataFrame, keys: list[str], order: str = "rel", cap: int = BATCH
     return out.withColumn("batch_id", F.floor((F.col("before_") + F.col("in_") - 1) / cap).cast("long")).drop("slice_", "in_", "before_")
 
 
-def plan_buckets(histogram: list[tuple[int, int, int]], cap: int = BATCH, max_h: int = 1536, max_w: int = 1920) -> dict[tuple[int, int], tuple[int, int]]:
+def plan_buckets(histogram: list[tuple[int, int, int]], cap: int = BATCH, max_h: int = MAX_H, max_w: int = MAX_W) -> dict[tuple[int, int], tuple[int, int]]:
     """For rare sizes (h, w, count) the padded size they are batched at.
 
     Sizes in the tail (few pictures, multiples of 16, not too large, not the commonest size) are taken by
@@ -68,15 +69,17 @@ def plan_buckets(histogram: list[tuple[int, int, int]], cap: int = BATCH, max_h:
     return out
 
 
-def bucketed(df: DataFrame, cap: int = BATCH, max_sizes: int = 100_000) -> DataFrame:
+def bucketed(df: DataFrame, cap: int = BATCH) -> DataFrame:
     """Adds bucket_h and bucket_w, null where a picture keeps its own size.
 
-    The plan is made on the driver from the counts of distinct sizes, of which max_sizes at most (the
-    commonest) are looked at; the map that is joined back is no larger.
+    The plan is made on the driver from the counts of the sizes that may be padded (multiples of 16 up to
+    MAX_H x MAX_W: at most 11,520) and of the commonest size; the map that is joined back is no larger.
     """
     spark = df.sparkSession
-    counts = df.groupBy("h", "w").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "h", "w").limit(max_sizes).collect()
-    plan = plan_buckets([(r.h, r.w, r.n) for r in counts], cap)
+    counts = df.where("h IS NOT NULL AND w IS NOT NULL").groupBy("h", "w").agg(F.count("*").alias("n"))
+    common = counts.orderBy(F.col("n").desc(), F.col("h").desc(), F.col("w").desc()).limit(1)
+    may = counts.where((F.col("h") % 16 == 0) & (F.col("w") % 16 == 0) & (F.col("h") <= MAX_H) & (F.col("w") <= MAX_W))
+    plan = plan_buckets([(r.h, r.w, r.n) for r in may.union(common).distinct().collect()], cap)
     table = spark.createDataFrame([(*k, *v) for k, v in plan.items()], "h int, w int, bucket_h int, bucket_w int")
     return df.join(F.broadcast(table), ["h", "w"], "left")
 

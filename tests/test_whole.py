@@ -80,3 +80,11 @@ def test_greedy_groups_go_on_through_slices(spark):
     for run in (1, 7, 1000):
         got = batching.byte_groups(df, ["k"], "n", "size", 20, 0, run).collect()
         assert len(got) == len(rows) and {(r.k, r.n): r.group_id for r in got} == want
+
+
+def test_rare_sizes_are_planned_behind_many_others(spark):
+    odd = spark.range(110_000).selectExpr("cast(1 + id % 1000 * 2 AS int) AS h", "cast(1 + id div 1000 * 2 AS int) AS w")  # none may be padded
+    odd = odd.union(odd).union(odd).union(odd)  # each is commoner than the rare ones
+    rare = spark.createDataFrame([(1024, 512)] * 3 + [(1040, 512), (1, 1)], "h int, w int")
+    got = batching.bucketed(odd.union(rare)).where("bucket_h IS NOT NULL").groupBy("h", "w", "bucket_h", "bucket_w").count().collect()
+    assert {tuple(r) for r in got} == {(1024, 512, 1040, 512, 3), (1040, 512, 1040, 512, 1)}
