@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import png
+from ..shared import table
 
 BATCH, TAIL, GAIN, MOST_BUCKETS = 64, 24, 0.15, 3
 MAX_H, MAX_W = 1536, 1920
@@ -25,14 +28,17 @@ def batches(df: DataFrame, keys: list[str], order: str = "rel", cap: int = BATCH
 
     A size may hold most of the pictures. Ranks are therefore taken in slices of about ``part`` rows: the
     rows are cut into ranges of the order, each range is numbered by itself, and its numbers are shifted by
-    the count of the ranges before.
+    the count of the ranges before. Range bounds are sampled, so the numbered slices are written once, to the
+    shared folder, and everything else is read from there. Give slim rows: all columns are written.
     """
+    spark = df.sparkSession
     spread = df.repartitionByRange(max(1, -(-df.count() // part)), *keys, order).withColumn("slice_", F.spark_partition_id())
-    spread = spread.withColumn("in_", F.row_number().over(Window.partitionBy("slice_", *keys).orderBy(order)))
+    spread = table(spark, spread.withColumn("in_", F.row_number().over(Window.partitionBy("slice_", *keys).orderBy(order))), "slices")
     counts = spread.groupBy("slice_", *keys).agg(F.count("*").alias("n_"))
     before = counts.withColumn("before_", F.coalesce(F.sum("n_").over(Window.partitionBy(*keys).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_")
-    out = spread.join(before, ["slice_", *keys])
-    return out.withColumn("batch_id", F.floor((F.col("before_") + F.col("in_") - 1) / cap).cast("long")).drop("slice_", "in_", "before_")
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ["slice_", *keys]]
+    out = spread.alias("s").join(before.alias("b"), reduce(Column.__and__, same))
+    return out.select("s.*", F.floor((F.col("before_") + F.col("in_") - 1) / cap).cast("long").alias("batch_id")).drop("slice_", "in_")
 
 
 def plan_buckets(histogram: list[tuple[int, int, int]], cap: int = BATCH, max_h: int = MAX_H, max_w: int = MAX_W) -> dict[tuple[int, int], tuple[int, int]]:

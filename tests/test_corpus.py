@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +154,16 @@ def test_bucket_plan():
     assert batching.plan_buckets([]) == {}
 
 
+def test_no_row_is_lost_in_many_slices(spark):
+    df = spark.range(300_000).select(F.concat(F.lit("p"), F.xxhash64("id")).alias("rel"), (F.pmod(F.xxhash64("id"), F.lit(10)) > 6).cast("int").alias("w"))
+    df = df.mapInPandas(lambda it: (p.assign(more=p["rel"] * 2) for p in it), "rel string, w int, more string")
+    got = batching.batches(df, ["w"], "rel", 16).groupBy("w", "batch_id").agg(F.count("*").alias("n"), F.min("rel").alias("a"), F.max("rel").alias("z")).toPandas().sort_values(["w", "batch_id"])
+    assert got["n"].sum() == 300_000 and got["n"].max() == 16
+    for _, g in got.groupby("w"):
+        assert (g["n"].iloc[:-1] == 16).all() and g["batch_id"].tolist() == list(range(len(g)))
+        assert (g["z"].iloc[:-1].to_numpy() < g["a"].iloc[1:].to_numpy()).all()
+
+
 def test_greedy_groups(spark):
     df = spark.createDataFrame([(0, i, s) for i, s in enumerate([5, 5, 5, 20, 1, 9, 1])], "k int, n int, size long")
     got = batching.byte_groups(df, ["k"], "n", "size", 10, 0).orderBy("n").collect()
