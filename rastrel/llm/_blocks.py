@@ -9,13 +9,8 @@ is one entry a block, whatever the number of its rows, so no bucket gathers the
 from __future__ import annotations
 
 import ctypes
-import gc
 import inspect
-import os
 import pickle
-import tempfile
-import time
-import uuid
 from pathlib import Path
 
 import numpy as np
@@ -24,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import bucketed, new_path, table  # noqa: F401
+
 ROOT = str(Path(__file__).resolve().parents[2])
 LEAST = -(1 << 63)
 #: The order of a null doc_id: before all others.
@@ -36,45 +33,17 @@ def ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "rastrel-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more, instead of when the driver happens to collect its garbage."""
-    for _ in range(2):  # Python's references to the JVM end a moment after their collection
-        gc.collect()
-        time.sleep(0.5)
-        spark.sparkContext._jvm.System.gc()
-
-
-def bucketed(spark: SparkSession, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-    """Like ``table``, with the rows of a key together in one of n buckets: joins by the key don't move them again."""
-    path = shared_dir(spark, name)
-    made = f"{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(made)
-    return spark.table(made)
-
-
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text as UTF-8 bytes; other columns, whatever their names, are left out."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
+#: What a row counts for besides its text, so that many short texts fill blocks too.
+ROW_BYTES = 64
+
+
 def text_bytes(docs: DataFrame) -> int:
-    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES)).first()[0] or 0
 
 
 def in_blocks(docs: DataFrame, total: int, block_bytes: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
@@ -84,6 +53,11 @@ def in_blocks(docs: DataFrame, total: int, block_bytes: int, carry: tuple[str, .
     return docs.select(F.pmod(key, F.lit(n)).cast("int").alias("block"), "doc_id", "text", *carry), n
 
 
+def wide(df: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """doc_id and text as ``documents`` gives them, and the carried columns as c0, c1 and so on."""
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)))
+
+
 def pack(*arrays, level: int = 1) -> bytes:
     """Arrays as compressed bytes. Sorted unsigned arrays are stored as byte planes of their steps."""
     out = []
@@ -178,6 +152,7 @@ class Docs:
         self.ids = np.asarray(ids.fill_null(LEAST)).astype(np.int64)
         raw = [x or b"" for x in texts.to_pylist()]
         order = sorted(range(len(raw)), key=lambda i: (self.ids[i], not self.null[i], raw[i])) if len(set(self.ids.tolist())) < len(raw) else np.argsort(self.ids, kind="stable").tolist()
+        self.order = np.asarray(order, np.int64)
         self.raw = [raw[i] for i in order]
         self.ids, self.null = self.ids[order], self.null[order]
 

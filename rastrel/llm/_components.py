@@ -9,24 +9,35 @@ from pyspark.sql import functions as F
 from . import _blocks as B
 
 
+def look_up(rows: DataFrame, values: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
+    """rows joined with values, which has one row a key and, as n, how many of the (at most total) rows have it.
+
+    A key with more than a share of all rows is looked up in a broadcast table, which therefore has fewer
+    than ``share`` rows; all others meet by the key, of which no task gets more than that share.
+    """
+    hot, cold = (values.where(f"n * {share} {how} {total}").drop("n") for how in (">", "<="))
+    few = F.broadcast(hot)
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(cold, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node on an edge (a, b); the label is the component's smallest node.
 
     Each round is a few joins and sums by node; it is written to the shared folder, so lineage stays
-    short. Nothing is collected but two numbers a round.
+    short. Nodes with many edges are looked up by ``look_up``. Nothing is collected but two numbers a round.
     """
     spark = edges.sparkSession
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = B.table(spark, e, "stars")
-    mark = None
+    n, mark = e.count(), None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
+        large = look_up(both.where("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = look_up(large, least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = B.table(spark, small.union(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        n, *now = e.agg(F.count("*"), F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now

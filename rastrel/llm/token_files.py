@@ -228,7 +228,7 @@ class SequenceFile:
 def write(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str | None = None, sequence: int = SEQUENCE, batch: int = BATCH, end_id: int | None = END_ID) -> DataFrame:
     """Writes the files and returns their list: part, path, n_docs, n_tokens, base (ids in the files before)."""
     B.ready(spark)
-    path = path or B.shared_dir(spark, "tokens")
+    path = path or B.new_path(spark, "tokens")
     docs = B.documents(docs).withColumn("h", F.xxhash64("text"))
     docs = docs.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
 

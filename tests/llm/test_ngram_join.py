@@ -71,3 +71,51 @@ def test_components(spark):
         for a, b in e:
             lab[a] = lab[b] = min(lab[a], lab[b])
     assert got == {k: v for k, v in lab.items() if any(k in p and p[0] != p[1] for p in e)}
+
+
+def test_large_class_without_links_and_with_few(spark):
+    """A chain of texts that share a few rare words each: one candidate class, of which only some pairs link."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    texts = [[word() for _ in range(30)] for _ in range(240)]
+    for a, b in zip(texts, texts[1:], strict=False):
+        b[:6] = a[-6:]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(1000 + i, " ".join([*texts[i], word()])) for i in range(0, 240, 17)]  # these link with their originals
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert sorted(map(tuple, J.classes(spark, df, block_bytes=5000, part=8).collect()), key=str) == want
+    kept = {r.doc_id for r in J.representatives(spark, df, block_bytes=5000, part=8).collect()}
+    assert kept == {c for _, _, c in want}
+
+
+def test_main_groups_are_found_in_levels(spark):
+    """Near copies in more parts than one task takes."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(200):
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(80)] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.classes(spark, df, block_bytes=3000, part=4).collect()), key=str) == brute(rows)
+
+
+def test_representatives(spark, docs, corpus, empty):
+    got = J.representatives(spark, docs, carry=("lang", "block", "shard"), block_bytes=6000)
+    assert got.columns == ["doc_id", "text", "lang", "block", "shard"]
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    groups = {}
+    sets = [shingles(r[1]) for r in corpus]
+    comp = list(range(len(corpus)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    for i, r in enumerate(corpus):
+        groups.setdefault(comp[i], []).append(r)
+    assert len(kept) == len(groups)
+    assert sorted(str(k[0]) for k in kept) == sorted(str(min((r[0] for r in g if r[0] is not None), default=None)) for g in groups.values())
+    assert J.representatives(spark, empty).collect() == []
