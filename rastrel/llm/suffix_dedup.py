@@ -18,7 +18,9 @@ piece of text of length .. length + 76 bytes.
 
 Order: by doc_id (nulls first), then by text bytes among rows with the same doc_id, then by start; so
 of two equal rows the later one goes, even when both have no doc_id. Null or empty texts, and texts
-under ``length`` bytes, lose nothing. Other columns are ignored.
+under ``length`` bytes, lose nothing. Very long texts are whole: a text's runs go to many shards. An empty
+table gives an empty result. Other columns are ignored. ``block_bytes`` and ``shard_bytes`` say how many
+blocks and shards there are; a message goes from each block to each shard, so both grow with the input.
 """
 
 from __future__ import annotations
@@ -311,29 +313,20 @@ def windows(src: list[tuple[int, list[np.ndarray]]], length: int):
     return hits, (key, (ids[i], block[i].astype(np.int64), doc[i].astype(np.int64), inner[i] + o2, place[i] + o2))
 
 
+_CLASS = np.dtype([("hi", np.uint64), ("lo", np.uint64)])
+
+
 def _merge(t: pa.Table) -> pa.Table:
-    """Classes that several shards hold: sorted lists are merged by binary search; all but the first of a class repeat."""
-    lists = [B.unpack(x) for x in t.sort_by("shard").column("blob").to_pylist()]
-    kind = np.dtype([("hi", np.uint64), ("lo", np.uint64)])
-    best: list[np.ndarray] | None = None
-    keys = np.empty(0, kind)
+    """Classes that several shards hold: sorted lists are merged, two and two, by binary search; all but the first of a class repeat."""
+    lists = []
+    for x in t.column("blob").to_pylist():
+        hi, lo, *rest = B.unpack(x)
+        k = np.empty(len(hi), _CLASS)
+        k["hi"], k["lo"] = hi, lo
+        lists.append((k, np.stack(rest, 1)))
     hits: list[np.ndarray] = []
-    for x in lists:
-        k = np.empty(len(x[0]), kind)
-        k["hi"], k["lo"] = x[0], x[1]
-        rest = np.stack(x[2:], 1)
-        if best is None:
-            keys, best = k, rest
-            continue
-        at = _find(keys, k)
-        old = at >= 0
-        mine, theirs = np.flatnonzero(old), at[old]
-        earlier = _before(rest[mine], best[theirs])
-        hits.append(np.where(earlier[:, None], best[theirs], rest[mine]))
-        best[theirs[earlier]] = rest[mine[earlier]]
-        new = ~old
-        into = _at(keys, k[new])
-        keys, best = np.insert(keys, into, k[new]), np.insert(best, into, rest[new], axis=0)
+    while len(lists) > 1:
+        lists = [_merged(*lists[i : i + 2], hits) if i + 1 < len(lists) else lists[i] for i in range(0, len(lists), 2)]
     out = []
     if hits:
         x = np.concatenate(hits)
@@ -343,6 +336,20 @@ def _merge(t: pa.Table) -> pa.Table:
     return _table(("block", "blob"), out)
 
 
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], hits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Both lists as one; of a class in both the earlier window stays and the later one is a hit."""
+    (keys, best), (k, rest) = a, b
+    at = _find(keys, k)
+    old = at >= 0
+    mine, theirs = np.flatnonzero(old), at[old]
+    earlier = _before(rest[mine], best[theirs])
+    hits.append(np.where(earlier[:, None], best[theirs], rest[mine]))
+    best = best.copy()
+    best[theirs[earlier]] = rest[mine[earlier]]
+    into = _at(keys, k[~old])
+    return np.insert(keys, into, k[~old]), np.insert(best, into, rest[~old], axis=0)
+
+
 def _at(keys: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Where each of k goes into the sorted keys; binary search by the high half, then on among equal ones."""
     at = np.searchsorted(keys["hi"], k["hi"])
@@ -377,14 +384,13 @@ def spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, block_byte
     docs = B.documents(docs)
     total = B.text_bytes(docs)
     blocks, n_blocks = B.in_blocks(docs, total, block_bytes)
-    n_buckets = max(8, min(2048, n_blocks // 8))
+    n_buckets = max(8, n_blocks // 8)
     n_shards = max(8, -(-total // shard_bytes))
     sent = blocks.groupBy("block").applyInArrow(B.trimmed(_hashes(n_buckets, length)), "bucket int, block int, blob binary")
     told = sent.groupBy("bucket").applyInArrow(B.trimmed(_repeated), "block int, blob binary")
     runs = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(B.trimmed(_runs(n_shards, length, heavy)), "shard int, block int, known int, blob binary")
     found = runs.groupBy("shard").applyInArrow(B.trimmed(_shard(length, n_shards)), "kind string, block int, merge long, shard int, blob binary")
-    found = B.table(spark, found, "windows")
-    B.release(spark)  # the runs are through
+    found = B.table(spark, found, "windows")  # the shuffled texts and runs go once it is written
     merged = found.where("kind = 'open'").select("merge", "shard", "blob").groupBy("merge").applyInArrow(B.trimmed(_merge), "block int, blob binary")
     return blocks, found.where("kind = 'hit'").select("block", "blob").union(merged)
 
