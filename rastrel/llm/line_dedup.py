@@ -1,16 +1,25 @@
 """Line dedup (operator 2): sharded cuckoo filters backed by exact reference-count tables.
 
 Lines are keyed by the 128-bit xxh3 hash of the line, stripped of ASCII white space at both ends and
-with A-Z lower-cased. Every block of documents sends each key once, with the number of its documents
-that hold the line and the largest of their ids; a shard of keys holds a reference for each (key,
-block). The cuckoo filter of a shard answers "never seen" without touching the table; whatever may
-have been seen is looked up exactly, so a false positive costs time and never a line. References can
-be taken back: ``delete`` restores the state before the ``insert`` of the same references.
+with A-Z lower-cased.
+
+* ``dedup`` (all at once): every block of documents sends each key once, with the number of its documents
+  that hold the line and the largest of their ids. A shard of keys passes them through its cuckoo filter:
+  a key that the filter has not seen, of too few documents by itself, only goes into the filter. Keys met
+  again are suspects; the references (key, block, documents, largest id) of those alone are put into the
+  exact table and counted. A false positive is one more suspect and changes no result.
+* ``index``, ``delete`` and ``frequent`` (incremental): a shard holds a reference for each (key, document).
+  The filter answers "never seen" without touching the table; whatever may have been seen is looked up
+  exactly. Deleting a document takes back its references, which must be there, and so restores the state
+  before it came, keepers included. The references of one key are spread over ``spread`` shards, so a line
+  that very many documents hold doesn't fill one.
 
 Nulls and ties: a null text is one empty line; a null doc_id counts as smaller than all others and
 each such row is a document of its own; rows that share a doc_id are one document for counting, and
-all of them keep the line if that doc_id is the largest. Other columns are passed through when named
-in ``carry`` and are never read. An empty table gives an empty result.
+all of them keep the line if that doc_id is the largest. The index takes documents with an id only; rows
+of one doc_id go in, and come out, together. Very long texts are split whole, line by line, in the block
+they are in. Other columns are passed through when named in ``carry``, whatever their names, and are never
+read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +36,7 @@ from . import _blocks as B
 
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
-BLOCK = 2 << 20
+BLOCK, SHARD, SPREAD = 2 << 20, 16 << 20, 8
 
 
 class CuckooFilter:
@@ -94,7 +103,7 @@ class CuckooFilter:
 
 
 class LineShard:
-    """References (key, source, documents, largest id) of a shard, with the filter of the keys it holds."""
+    """References (key, source, documents, largest id) of a shard, with the filter of the keys it holds. A source is a block or a document."""
 
     def __init__(self):
         self.hi = self.lo = np.empty(0, np.uint64)
@@ -144,29 +153,41 @@ class LineShard:
                 return
             size *= 2
 
-    def delete(self, src: np.ndarray, hi: np.ndarray, lo: np.ndarray, n: np.ndarray, top: np.ndarray) -> None:
-        """Takes references back: n documents less; top is the source's largest id after that."""
+    def delete(self, src: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> None:
+        """Takes references back; each must be there."""
         at = self._find(hi, lo)
-        hi, lo, src, n, top, at = (x[at >= 0] for x in (hi, lo, src, n, top, at))
-        while (wrong := self.src[np.minimum(at, len(self.src) - 1)] != src).any():
-            at = at + wrong
-            if (at >= len(self.src)).any():
+        if (at < 0).any():
+            raise KeyError("a line that was never inserted")
+        if not len(at):
+            return
+        while True:
+            ok = (at < len(self.src)) & (self.hi[np.minimum(at, len(self.hi) - 1)] == hi) & (self.lo[np.minimum(at, len(self.lo) - 1)] == lo)
+            if not ok.all():
                 raise KeyError("a reference that was never inserted")
-        self.n[at] -= n
-        self.top[at] = top
-        keep = self.n > 0
+            wrong = self.src[at] != src
+            if not wrong.any():
+                break
+            at = at + wrong
+        if len(np.unique(at)) < len(at):
+            raise KeyError("a reference that is taken back twice")
+        keep = np.ones(len(self.hi), bool)
+        keep[at] = False
         before = self.hi ^ self.lo
         self._sorted(*(x[keep] for x in (self.hi, self.lo, self.src, self.n, self.top)))
-        gone = np.setdiff1d(before[~keep], self.hi ^ self.lo)
-        self.filter.delete(gone)
+        self.filter.delete(np.setdiff1d(before[~keep], self.hi ^ self.lo))
 
-    def frequent(self, least: int) -> tuple[np.ndarray, ...]:
-        """hi, lo and the largest id of the keys that at least so many documents hold."""
+    def counts(self) -> tuple[np.ndarray, ...]:
+        """hi, lo, the number of documents and the largest id of every key."""
         at = self._first()
         if not len(at):
-            return self.hi, self.lo, self.top
-        many = np.add.reduceat(self.n, at) >= least
-        return self.hi[at][many], self.lo[at][many], np.maximum.reduceat(self.top, at)[many]
+            return self.hi, self.lo, self.n, self.top
+        return self.hi[at], self.lo[at], np.add.reduceat(self.n, at), np.maximum.reduceat(self.top, at)
+
+    def frequent(self, least: int) -> tuple[np.ndarray, ...]:
+        """hi, lo and the largest id of the keys that at least so many documents hold."""
+        hi, lo, n, top = self.counts()
+        many = n >= least
+        return hi[many], lo[many], top[many]
 
     def state(self) -> bytes:
         return B.pack(self.hi, self.lo, self.src, self.n, self.top, self.filter.slots.ravel())
@@ -198,21 +219,26 @@ REPLY = pa.schema([("block", pa.int32()), ("blob", pa.binary())])
 STATE = pa.schema([("shard", pa.int32()), ("state", pa.binary())])
 
 
+def _keys(t: pa.Table, min_chars: int) -> tuple[B.Docs, np.ndarray, np.ndarray]:
+    """The documents of a block, and the distinct (key, document) of all their lines, sorted."""
+    d = B.Docs(t)
+    keys = [line_keys(x, min_chars)[2] for x in d.raw]
+    doc = np.repeat(np.arange(len(d)), [len(k) for k in keys])
+    k = np.concatenate(keys) if keys else np.empty((0, 2), np.uint64)
+    # rows with one doc_id are one document; those without are told apart
+    own = np.where(d.null, np.arange(len(d)), np.searchsorted(d.ids, d.ids))[doc]
+    o = np.lexsort((own, k[:, 1], k[:, 0]))
+    k, own = k[o], own[o]
+    new = np.concatenate([[True], (k[1:] != k[:-1]).any(1) | (own[1:] != own[:-1])])[: len(k)]
+    return d, k[new], own[new]
+
+
 def _messages(n_shards: int, min_chars: int):
     def send(t: pa.Table) -> pa.Table:
-        d = B.Docs(t)
         block = t.column("block")[0].as_py()
-        keys = [line_keys(x, min_chars)[2] for x in d.raw]
-        doc = np.repeat(np.arange(len(d)), [len(k) for k in keys])
-        k = np.concatenate(keys) if keys else np.empty((0, 2), np.uint64)
-        # rows with one doc_id are one document; those without are told apart
-        own = np.where(d.null, np.arange(len(d)), np.searchsorted(d.ids, d.ids))[doc]
-        o = np.lexsort((own, k[:, 1], k[:, 0]))
-        k, own = k[o], own[o]
-        new_key = np.concatenate([[True], (k[1:] != k[:-1]).any(1)])[: len(k)]
-        new_doc = new_key | np.concatenate([[True], own[1:] != own[:-1]])[: len(k)]
-        at = np.flatnonzero(new_key)
-        n = np.add.reduceat(new_doc.astype(np.int64), at) if len(at) else np.empty(0, np.int64)
+        d, k, own = _keys(t, min_chars)
+        at = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(1)])[: len(k)])
+        n = np.diff(np.append(at, len(k)))
         top = np.maximum.reduceat(d.ids[own], at) if len(at) else np.empty(0, np.int64)
         k = k[at]
         out = [(s, block, B.pack(k[i, 0], k[i, 1], n[i], top[i])) for s, i in B.by_bucket(k[:, 0], n_shards)]
@@ -221,16 +247,33 @@ def _messages(n_shards: int, min_chars: int):
     return send
 
 
-def _gathered(t: pa.Table) -> tuple[np.ndarray, ...]:
-    parts = [(b, *B.unpack(x)) for b, x in zip(t.column("block").to_pylist(), t.column("blob").to_pylist(), strict=True)]
-    src = np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])
-    return src, *(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
+def suspects(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], least: int) -> np.ndarray:
+    """Of the keys (hi, lo) of many sources, each with its number of documents, those that may be in enough: met before, or enough in one source. Sorted hi ^ lo."""
+    room = sum(len(p[0]) for p in parts)
+    while True:
+        seen, again = CuckooFilter(room), [np.empty(0, np.uint64)]
+        for hi, lo, n in parts:
+            k = hi ^ lo
+            known = seen.contains(k)
+            again.append(k[known | (n >= least)])
+            if not seen.insert(k[~known]):
+                break
+        else:
+            return np.unique(np.concatenate(again))
+        room *= 2
 
 
 def _replies(min_docs: int):
     def answer(t: pa.Table) -> pa.Table:
+        parts = [(b, *B.unpack(x)) for b, x in zip(t.column("block").to_pylist(), t.column("blob").to_pylist(), strict=True)]
+        often = suspects([p[1:4] for p in parts], min_docs)
+        refs = []
+        for block, hi, lo, n, top in parts:
+            k = hi ^ lo
+            hit = often[np.minimum(np.searchsorted(often, k), len(often) - 1)] == k if len(often) else np.zeros(len(k), bool)
+            refs.append((np.full(int(hit.sum()), block, np.int64), hi[hit], lo[hit], n[hit], top[hit]))
+        refs = [np.concatenate(x) for x in zip(*refs, strict=True)]
         shard = LineShard()
-        refs = _gathered(t)
         shard.insert(*refs)
         hi, lo, top = shard.frequent(min_docs)
         known = LineShard()
@@ -247,43 +290,40 @@ def _replies(min_docs: int):
     return answer
 
 
-def index(docs: DataFrame, n_blocks: int, state: DataFrame | None = None, batch: int = 0, n_shards: int = 16, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The state of every shard after inserting docs, into ``state`` if given.
-
-    Every insert has a batch number of its own: references are (key, batch and block). Keep n_shards and
-    the batch's n_blocks for later deletions.
-    """
-    return _update(_numbered(docs, n_blocks), state, "insert", batch, n_shards, min_chars)
-
-
-def delete(gone: DataFrame, rest: DataFrame, state: DataFrame, n_blocks: int, batch: int = 0, n_shards: int = 16, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The states after deleting the documents ``gone`` of a batch; ``rest``: its other documents.
-
-    The references of the blocks that lose documents are taken back and those of what is left are put in.
-    """
-    gone, rest = _numbered(gone, n_blocks), _numbered(rest, n_blocks)
-    rest = rest.join(gone.select("block").distinct(), "block", "left_semi").select("block", "doc_id", "text")
-    state = _update(gone.union(rest), state, "delete", batch, n_shards, min_chars)
-    return _update(rest, state, "insert", batch, n_shards, min_chars)
+def index(docs: DataFrame, state: DataFrame | None = None, n_shards: int = 16, spread: int = SPREAD, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK) -> DataFrame:
+    """The state of every shard after inserting docs, into ``state`` if given. Keep n_shards and spread for all later calls."""
+    return _update(docs, state, "insert", n_shards, spread, min_chars, block_bytes)
 
 
-def _numbered(docs: DataFrame, n_blocks: int) -> DataFrame:
-    return B.in_blocks(B.documents(docs), n_blocks, 1)[0]
+def delete(docs: DataFrame, state: DataFrame, n_shards: int = 16, spread: int = SPREAD, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK) -> DataFrame:
+    """The states after deleting docs (as they were inserted): no other document is read."""
+    return _update(docs, state, "delete", n_shards, spread, min_chars, block_bytes)
 
 
-def _update(blocks: DataFrame, state: DataFrame | None, what: str, batch: int, n_shards: int, min_chars: int) -> DataFrame:
-    spark = blocks.sparkSession
+def _update(docs: DataFrame, state: DataFrame | None, what: str, n_shards: int, spread: int, min_chars: int, block_bytes: int) -> DataFrame:
+    spark = docs.sparkSession
     B.ready(spark)
-    msgs = blocks.groupBy("block").applyInArrow(_messages(n_shards, min_chars), "shard int, block int, blob binary")
+    plain = B.documents(docs).where("doc_id IS NOT NULL")
+    blocks = B.in_blocks(plain, B.text_bytes(plain), block_bytes)[0]
     state = state if state is not None else spark.createDataFrame([], "shard int, state binary")
 
+    def send(t: pa.Table) -> pa.Table:
+        d, k, own = _keys(t, min_chars)
+        turn = B.mix(d.ids[own].view(np.uint64)) % np.uint64(spread)
+        out = [(s, 0, B.pack(k[i, 0], k[i, 1], d.ids[own[i]])) for s, i in B.by_bucket(k[:, 0] + turn * np.uint64(0x9E3779B97F4A7C15), n_shards)]
+        return B.rows(MESSAGE, list(zip(*out, strict=True)) or [[], [], []])
+
     def both(old: pa.Table, new: pa.Table) -> pa.Table:
         shard = LineShard.of(old.column("state")[0].as_py()) if old.num_rows else LineShard()
         if new.num_rows:
-            src, hi, lo, n, top = _gathered(new)
-            getattr(shard, what)(src + (batch << 32), hi, lo, n, top)
+            hi, lo, ids = (np.concatenate(x) for x in zip(*(B.unpack(x) for x in new.column("blob").to_pylist()), strict=True))
+            if what == "insert":
+                shard.insert(ids, hi, lo, np.ones(len(ids), np.int64), ids)
+            else:
+                shard.delete(ids, hi, lo)
         return B.rows(STATE, [[(old if old.num_rows else new).column("shard")[0].as_py()], [shard.state()]])
 
+    msgs = blocks.groupBy("block").applyInArrow(send, "shard int, block int, blob binary")
     state = state.toDF(*state.columns)
     return state.groupBy("shard").cogroup(msgs.groupBy("shard")).applyInArrow(both, "shard int, state binary")
 
@@ -294,30 +334,31 @@ def frequent(state: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     def run(batches):
         for b in batches:
             for s in b.column("state").to_pylist():
-                hi, lo, top = LineShard.of(s).frequent(min_docs)
-                yield pa.record_batch({"hi": pa.array(hi.view(np.int64)), "lo": pa.array(lo.view(np.int64)), "keeper": pa.array(top)})
+                hi, lo, n, top = LineShard.of(s).counts()
+                yield pa.record_batch({"hi": pa.array(hi.view(np.int64)), "lo": pa.array(lo.view(np.int64)), "n": pa.array(n), "keeper": pa.array(top)})
 
-    return state.mapInArrow(run, "hi long, lo long, keeper long")
+    got = state.mapInArrow(run, "hi long, lo long, n long, keeper long").groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+    return got.where(F.col("n") >= min_docs).select("hi", "lo", "keeper")
 
 
-def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, block_bytes: int = BLOCK, carry: tuple[str, ...] = (), digest: bool = True) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, block_bytes: int = BLOCK, shard_bytes: int = SHARD, carry: tuple[str, ...] = (), digest: bool = True) -> DataFrame:
     """Drops frequent lines in all documents but the one with the largest id.
 
     Returns doc_id, n_lines, n_dropped and kept_sha256 or, without digest, doc_id, text and the carried columns.
+    There is a shard for every ``shard_bytes`` of text; a message goes from each block to each shard, so both sizes grow with the input.
     """
     B.ready(spark)
     total = B.text_bytes(B.documents(docs))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *carry)
-    blocks, n = B.in_blocks(plain, total, block_bytes, carry)
-    msgs = blocks.groupBy("block").applyInArrow(_messages(max(8, min(2048, n // 8)), min_chars), "shard int, block int, blob binary")
+    plain = B.wide(docs, carry)
+    extra = tuple(plain.columns[2:])
+    blocks, _ = B.in_blocks(plain, total, block_bytes, extra)
+    msgs = blocks.groupBy("block").applyInArrow(_messages(max(8, total // shard_bytes), min_chars), "shard int, block int, blob binary")
     replies = msgs.groupBy("shard").applyInArrow(_replies(min_docs), "block int, blob binary")
-    fields = [f for f in blocks.schema if f.name in carry]
-    schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" if digest else "doc_id long, text string" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
+    kinds = {f.name: f.dataType.simpleString() for f in plain.schema}
+    schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" if digest else "doc_id long, text string" + "".join(f", {c} {kinds[c]}" for c in extra)
 
     def finish(t: pa.Table, r: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return _empty(digest, t, carry)
-        d = _Carried(t) if carry else B.Docs(t)
+        d = B.Docs(t)
         known = LineShard()
         if r.num_rows:
             hi, lo, top = (np.concatenate(x) for x in zip(*(B.unpack(x) for x in r.column("blob").to_pylist()), strict=True))
@@ -332,25 +373,11 @@ def dedup(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, min_
             n_dropped.append(len(drop))
             kept.append(b"\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else raw)
         if digest:
-            return pa.table({"doc_id": d.doc_ids(), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]})
-        return pa.table({"doc_id": d.doc_ids(), "text": pa.array([None if no else x for x, no in zip(kept, d.no_text, strict=True)], pa.binary()).cast(pa.string()), **{c: d.table.column(c) for c in carry}})
-
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
-
-
-def _empty(digest: bool, t: pa.Table, carry: tuple[str, ...]) -> pa.Table:
-    if digest:
-        return pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())]).empty_table()
-    return pa.schema([("doc_id", pa.int64()), ("text", pa.string()), *((c, t.schema.field(c).type) for c in carry)]).empty_table()
-
-
-class _Carried(B.Docs):
-    """The documents of a block with their other columns."""
-
-    def __init__(self, t: pa.Table):
-        ids = t.column("doc_id").combine_chunks()
-        self.table = t
-        self.null = np.asarray(ids.is_null())
-        self.ids = np.asarray(ids.fill_null(B.LEAST)).astype(np.int64)
-        self.raw = [x or b"" for x in t.column("text").to_pylist()]
-        self.no_text = np.asarray(t.column("text").combine_chunks().is_null())
+            return pa.table({"doc_id": d.doc_ids(), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())})
+        rest = t.select(list(extra)).take(pa.array(d.order))
+        no_text = t.column("text").combine_chunks().is_null().take(pa.array(d.order)).to_pylist()
+        text = pa.array([None if no else x for x, no in zip(kept, no_text, strict=True)], pa.binary()).cast(pa.string())
+        return pa.table([d.doc_ids(), text, *rest.columns], names=["doc_id", "text", *extra])
+
+    out = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
+    return out if digest else out.select("doc_id", "text", *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)))
