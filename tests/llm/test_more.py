@@ -1,4 +1,4 @@
-"""Token files, sharding, top-k, quality, language, decontamination and pieces against brute force."""
+"""Token files, sharding, quality, language, decontamination and pieces against brute force."""
 
 import random
 import zlib
@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from rastrel.llm import decontaminate, language, pieces, quality, sharding, token_files, top_k
+from rastrel.llm import decontaminate, language, pieces, quality, sharding, token_files
 
 P = pytest.importorskip("public_tokenizers")
 ODD = ["", " ", "  a", "a  b   c ", "\n\n x\ty", "▁▁", "日本語 😀 é é", "a" * 40, "a\x00b", "it's don't I'LL", "<|endoftext|> a", "ΑΣ Σ İ", "a b　c\x1cd\x85e"]
@@ -88,32 +88,6 @@ def test_weights(spark):
     assert abs(share[1] - 0.5) < 0.02 and abs(share[0] - 0.25) < 0.02
 
 
-# --- op 10
-
-
-def brute_top(rows, k):
-    q = [(i, np.floor(64 * np.array(v, float))) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = []
-    for n, (i, a) in enumerate(q):
-        if i is not None and i % 20 == 0:
-            s = sorted(((-int(a @ b), float("inf") if j is None else j) for m, (j, b) in enumerate(q) if m != n and len(a) == len(b)))[:k]
-            out += [(i, r + 1, None if j == float("inf") else j, -x) for r, (x, j) in enumerate(s)]
-    return sorted(out, key=str)
-
-
-def test_top_k(spark):
-    rng = np.random.default_rng(0)
-    base = rng.normal(0, 0.2, 8)
-    rows = [(i, (base if i % 3 == 0 else np.round(rng.normal(0, 0.2, 8), 1)).tolist()) for i in range(300)]
-    rows += [(300, None), (301, [float("nan")] * 8), (302, [None] + [0.1] * 7), (303, [float("inf")] * 8), (None, base.tolist()), (320, [0.5] * 3), (340, [0.25] * 3), rows[20], rows[40]]
-    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, label int, shard string")
-    rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
-    for shard_rows, block in ((10_000, 1000), (40, 3)):
-        got = top_k.search(spark, df, shard_rows=shard_rows, block_rows=block)
-        assert sorted(map(tuple, got.collect()), key=str) == brute_top(rows, 20)
-    assert top_k.search(spark, df.limit(0)).collect() == []
-
-
 # --- op 6
 
 
