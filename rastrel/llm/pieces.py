@@ -24,7 +24,7 @@ no round trip. Other columns are ignored. Models with a normalizer of their own
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,10 +35,18 @@ from pyspark.sql import functions as F
 from . import _blocks as B
 
 SPACE = "▁"
-GIANT, CHUNK, SHORT, KEPT = 1 << 16, 1 << 14, 64, 300_000
+GIANT, CHUNK, KEPT = 1 << 16, 1 << 14, 300_000
 NONE = float("-inf")
 
 
+PART, UNSEEN, PIECE = 0, 1, 2
+
+
+def starts(pieces: Iterable[str], bpe: bool) -> dict[str, int]:
+    """For all prefixes of pieces: PART, or PIECE for a piece; in a BPE model UNSEEN, as only those count that the merges make of their characters."""
+    return {p[:n]: PART for p in pieces for n in range(1, len(p))} | dict.fromkeys(pieces, UNSEEN if bpe else PIECE)
+
+
 class Model:
     """Pieces of a SentencePiece model file and the weights between them."""
 
@@ -62,7 +70,8 @@ class Model:
         self.low = min(self.score) - 10
         self.rank = {p: self.score[i] for p, i in self.id.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.sound: dict[str, bool] = {}
+        self.after: dict[str, dict[str, bool]] = {}
+        self.known = starts(self.id, self.bpe)
         self.words: dict[str, list[int]] = {}
         raw = [bytes([int(p.piece[3:5], 16)]) if p.type == kind.BYTE else b"" if p.type in (kind.CONTROL, kind.UNKNOWN) else p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
@@ -84,13 +93,19 @@ class Model:
 
     def arcs(self, text: str, at: int) -> list[str]:
         """The pieces that start at a place; a character without one stands for itself."""
-        found = [p for n in range(1, min(self.longest, len(text) - at) + 1) if (p := text[at : at + n]) in self.id and (not self.bpe or n == 1 or self._sound(p))]
-        return found if found and len(found[0]) == 1 else [text[at], *found]
-
-    def _sound(self, piece: str) -> bool:
-        if piece not in self.sound:
-            self.sound[piece] = self.merged(list(piece)) == [piece]
-        return self.sound[piece]
+        out, known, n = [text[at]], self.known.get, len(text)
+        end = at + 1
+        p = text[at]
+        while (kind := known(p)) is not None:
+            if kind == UNSEEN:
+                kind = self.known[p] = PIECE if self.merged(list(p)) == [p] else PART
+            if kind == PIECE and end > at + 1:
+                out.append(p)
+            end += 1
+            if end > n:
+                break
+            p = text[at:end]
+        return out
 
     def step(self, a: str | None, b: str) -> float:
         """The weight of piece b after piece a (None: at a word's start, where nothing is joined)."""
@@ -103,9 +118,13 @@ class Model:
         if ok is None:
             if len(self.pairs) > 2 * KEPT:
                 self.pairs.clear()
-            ok = self.pairs[a, b] = self.rank.get(a + b) is None and self.merged(list(a + b)) == [a, b]
+            ok = self.pairs[a, b] = self.open(a, b)
         return 0.0 if ok else NONE
 
+    def open(self, a: str, b: str) -> bool:
+        """Whether the merges leave two pieces as they are side by side."""
+        return a + b not in self.rank and self.merged(list(a + b)) == [a, b]
+
     def ids(self, pieces: list[str]) -> list[int]:
         out = []
         for p in pieces:
@@ -119,12 +138,12 @@ class Model:
         return out
 
     def word(self, w: str) -> list[int]:
-        """The ids of a word: one chunk with a single state on either side. In a short one the merges themselves name the one path of weight 0."""
+        """The ids of a word: the path through its part of the lattice, which has a single state on either side."""
         got = self.words.get(w)
         if got is None:
             if len(self.words) > KEPT:
                 self.words.clear()
-            got = self.words[w] = self.ids(self.merged(list(w)) if self.bpe and len(w) < SHORT else best_path(self, w, 0, len(w), None, None))
+            got = self.words[w] = self.ids(only_path(self, w) if self.bpe else best_path(self, w, 0, len(w), None, None))
         return got
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -183,6 +202,39 @@ def best_path(m: Model, text: str, a: int, z: int, left: State | None, right: St
         end, piece = source
 
 
+def only_path(m: Model, text: str) -> list[str]:
+    """``best_path`` of a whole word in a BPE model, whose weights are 0 or minus infinity.
+
+    The encoding of every prefix is one path, so from a single state at most one piece that ends at a place is open:
+    a place needs no more than that piece's row of weights.
+    """
+    n = len(text)
+    ends: list[str | None] = [None] * (n + 1)
+    for i in range(n):
+        a = ends[i]
+        if a is None:
+            if not i:
+                for b in m.arcs(text, 0):
+                    ends[len(b)] = b
+            continue
+        row = m.after.get(a)
+        if row is None:
+            if len(m.after) > KEPT:
+                m.after.clear()
+            row = m.after[a] = {}
+        for b in m.arcs(text, i):
+            ok = row.get(b)
+            if ok is None:
+                ok = row[b] = m.open(a, b)
+            if ok:
+                ends[i + len(b)] = b
+    out, i = [], n
+    while i:
+        out.append(ends[i])
+        i -= len(ends[i])
+    return out[::-1]
+
+
 def words(text: str) -> list[str]:
     """Cut before every space that follows another character."""
     out = text.replace(SPACE, "\0" + SPACE).split("\0") if "\0" not in text else None
