@@ -6,19 +6,23 @@ the last sequence of a file is padded. All rows have one length, so sequence i o
 the memory-mapped buffer: row i % batch of batch i // batch. A second file beside it, ``.docs``, tells
 for each document its id, its first place in the file and its number of tokens.
 
-The vocabulary's pre-tokenizer never joins characters across a space, so texts are cut at spaces and
-line ends and each distinct piece is encoded once. Words are kept in a bounded table for each worker;
-new plain words are encoded many at a time, and told apart by the vocabulary's end-of-word marks.
+Where a tokenizer never joins characters across white space (``cuts_at_spaces`` reads that from its file),
+texts are cut at spaces and line ends and each distinct piece is encoded once. Words are kept in a bounded
+table for each worker; new plain words are encoded many at a time, and told apart by the vocabulary's
+end-of-word marks. With any other tokenizer the library encodes every whole text.
 
 Order: by doc_id, nulls first, then by a hash of the text. A null text has no ids but the end id. Rows
-that repeat are written again. Other columns are ignored. An empty table writes no file. Tasks write
-to names of their own and only files named by tasks that succeeded are read, so a lost executor or a
-second attempt leaves at most an unused file.
+that repeat are written again. Very long texts are whole: with the table they are worked through slice by
+slice, cut at spaces. Other columns are ignored. An empty table writes no file. Tasks write to names of
+their own and only files named by tasks that succeeded are read, so a lost executor or a second attempt
+leaves at most an unused file.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import unicodedata
 import uuid
 import zlib
@@ -39,14 +43,41 @@ WORDS_KEPT, SLICE, TOGETHER = 1_600_000, 3 << 20, 200
 MARK, STOPS = "</w>", (".", ",", ";", ":", "!", "?")
 
 
+def _members(part: dict | None, name: str) -> list[dict]:
+    return [] if part is None else [y for x in part[name] for y in _members(x, name)] if part["type"] == "Sequence" else [part]
+
+
+def cuts_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer (its JSON) encodes a text as the pieces between its white space, one after another."""
+    for n in _members(spec.get("normalizer"), "normalizers"):
+        blank = n["type"] == "Replace" and n["pattern"].get("Regex") == r"\s+" and n["content"] == " "
+        if n["type"] not in ("NFC", "NFD", "Lowercase", "StripAccents") and not blank:
+            return False
+    steps = _members(spec.get("pre_tokenizer"), "pretokenizers")
+    if not steps:
+        return False
+    first, *rest = steps
+    if first["type"] == "Split":
+        # only matches are kept: none may hold white space
+        rule = re.sub(r"\[\^[^\]]*\\s[^\]]*\]", "", first["pattern"].get("Regex", " "))
+        if first["behavior"] != "Removed" or not first["invert"] or re.search(r"[ .]|\\[sSDWPZ]|\[\^", rule):
+            return False
+    elif first["type"] not in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer"):
+        return False
+    if any(x.get("add_prefix_space") for x in rest) or any(" " in t["content"] for t in spec.get("added_tokens", [])):
+        return False
+    return spec["model"]["type"] in ("BPE", "WordPiece", "WordLevel") and not spec["model"].get("dropout")
+
+
 class WordEncoder:
-    """Ids of whole texts, by a table of the pieces between spaces."""
+    """Ids of whole texts, by a table of the pieces between spaces where the tokenizer allows it."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.by_words = cuts_at_spaces(json.loads(self.tok.to_str()))
         size = self.tok.get_vocab_size()
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
         marked = [i for w, i in self.tok.get_vocab().items() if w.endswith(MARK)]
@@ -127,6 +158,9 @@ class WordEncoder:
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of many texts, and how many each has. Long ones are taken alone."""
+        if not self.by_words:
+            got = [np.array(e.ids, self.kind) for x in texts for e in self.tok.encode_batch_fast([x], add_special_tokens=False)]
+            return (np.concatenate(got), np.array([len(x) for x in got])) if got else (np.empty(0, self.kind), np.empty(0, np.int64))
         out, count, group = [], [], []
 
         def flush() -> None:

@@ -51,6 +51,29 @@ def test_words_encode_as_whole_texts(word_tok, corpus):
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer_gives_the_ids_of_the_library(corpus, name):
+    from tokenizers import Tokenizer
+
+    enc, tok = token_files.WordEncoder(P.path(name)), Tokenizer.from_file(P.path(name))
+    assert enc.by_words == (name == "word_bpe_49k.json")
+    texts = ODD + [r[1] or "" for r in corpus]
+    ids, n = enc.encode_all(texts)
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert [len(x) for x in enc.encode_all([])] == [0, 0]
+
+
+def test_very_long_texts_are_encoded_in_slices(word_tok):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    text = " ".join(rng.choice(words) + rng.choice(["", ",", "\n", "  "]) for _ in range(700_000))
+    assert len(text) > token_files.SLICE
+    ids, n = token_files.WordEncoder(P.path("word_bpe_49k.json")).encode_all(["a", text, "b"])
+    want = word_tok.encode(text, add_special_tokens=False).ids
+    assert n[1] == len(want) and ids[1:-1].tolist() == want
+
+
 def test_no_documents_no_files(spark, empty):
     files = token_files.write(spark, empty, P.path("word_bpe_49k.json"))
     assert files.collect() == [] and token_files.read(spark, files).collect() == []
@@ -219,7 +242,7 @@ def test_max_plus_finds_the_best_unigram_path():
     m.text = ["?", *sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(20)} | {"a", "b"})]
     m.score = [-20.0, *(-rng.random() * 5 for _ in m.text[1:])]
     m.id = {p: i for i, p in enumerate(m.text) if i}
-    m.longest, m.low = 4, -30.0
+    m.longest, m.low, m.known = 4, -30.0, pieces.starts(m.id, False)
     for _ in range(20):
         t = "".join(rng.choice("ab") for _ in range(60))
         best = [0.0] + [-1e9] * len(t)
