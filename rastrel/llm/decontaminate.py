@@ -6,8 +6,11 @@ counted in bands of diagonals that overlap by e, bands with enough are kept, and
 against the text of the band, within the band, decides.
 
 The edit budget is ``rate`` (0.1) of the item's length, less for short items so that the bound stays
-above zero. Letters are compared in lower case and white space as spaces. Items under ``MIN_CHARS``
-characters are too short to tell and match nothing, as do null items. Null or empty texts match nothing.
+above zero. Letters are compared in lower case and white space as spaces. An item under ``MIN_CHARS``
+characters has no budget and must stand between word borders; one under Q characters has no q-gram, matches
+nothing and is listed by ``too_short``. Null items match nothing. Null or empty texts match nothing. Very long
+texts are whole: their q-grams are taken at one go. Of several places of an item in a text the one with the
+least edits is told, then the first; ``begin`` and ``end`` are where its alignment begins and ends.
 
 The items are the small side. They are read in chunks of at most ``max_item_bytes`` (8 MB) and each chunk
 goes through all texts, so what a worker holds is bounded whatever the size of the benchmark. Repeated
@@ -62,18 +65,20 @@ def _grams(cp: np.ndarray) -> np.ndarray:
 
 def budget(m: int, rate: float = RATE) -> int:
     """Edits allowed in an item of m characters."""
-    return max(0, min(int(rate * m), (m - Q) // Q))
+    return max(0, min(int(rate * m), (m - Q) // Q)) if m >= MIN_CHARS else 0
 
 
-def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int]:
-    """The least edits of the item against a stretch of the text whose diagonals lie in low..high, and where it ends.
+def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int]:
+    """The least edits of the item against a stretch of the text whose diagonals lie in low..high, and where that begins and ends.
 
-    Over most: (most + 1, -1). Row i holds the costs at diagonals low..high after i characters of the item.
+    Over most: (most + 1, -1, -1). Row i holds the costs at diagonals low..high after i characters of the item, and
+    beside them where the best alignment begins.
     """
     width = high - low + 1
     far = most + 1
     d = np.arange(low, high + 1)
     row = np.where((d >= 0) & (d <= len(text)), 0, far)
+    start = d.copy()
     step = np.arange(width)
     for i, c in enumerate(item.tolist()):
         at = d + i  # the text character that diagonal d meets
@@ -81,13 +86,18 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
         hit = np.zeros(width, bool)
         hit[ok] = text[at[ok]] == c
         new = np.minimum(row + ~hit, far)  # take both
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)  # leave out the item's character
+        less = row[1:] + 1 < new[:-1]  # leave out the item's character
+        new[:-1] = np.where(less, row[1:] + 1, new[:-1])
+        start[:-1] = np.where(less, start[1:], start[:-1])
         new[(at + 1 < 0) | (at + 1 > len(text))] = far
-        row = np.minimum(np.minimum.accumulate(new - step) + step, far)  # leave out characters of the text
+        # leave out characters of the text: the least so far, and from where
+        best = np.minimum.accumulate((new - step) * width + step)
+        start = start[best % width]
+        row = np.minimum(best // width + step, far)
         if row.min() > most:
-            return far, -1
+            return far, -1, -1
     k = int(row.argmin())
-    return (int(row[k]), int(d[k]) + len(item)) if row[k] <= most else (far, -1)
+    return (int(row[k]), int(start[k]), int(d[k]) + len(item)) if row[k] <= most else (far, -1, -1)
 
 
 class Items:
@@ -144,20 +154,37 @@ class Items:
                 lo, hi = max(int(begin[t]), low - e), min(int(begin[t + 1]) - 1, high + e + len(it))
                 if hi - lo < len(it) - e:
                     continue
-                d, end = _best(it, cp[lo:hi], low - e - lo, high + e - lo, e)
+                d, start, end = _best(it, cp[lo:hi], low - e - lo, high + e - lo, e) if len(it) >= MIN_CHARS else _alone(it, cp[max(0, lo - 1) : hi + 1], lo - max(0, lo - 1))
                 if d <= e:
-                    new = (d, max(0, lo + end - len(it) - int(begin[t])), lo + end - int(begin[t]))
+                    new = (d, lo + start - int(begin[t]), lo + end - int(begin[t]))
                     best[t, item] = min(best.get((t, item), new), new)
         return [(t, i, *x) for (t, i), x in sorted(best.items())]
 
 
-def _best(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int]:
-    at = text.tobytes().find(item.tobytes())
-    while at % 4 and at > 0:
-        at = text.tobytes().find(item.tobytes(), at + 1)
-    if at >= 0:
-        return 0, at // 4 + len(item)
-    return align(item, text, low, high, most)
+def _places(item: np.ndarray, text: np.ndarray) -> Iterator[int]:
+    """Where the item stands in the text, exactly."""
+    raw, want = text.tobytes(), item.tobytes()
+    at = raw.find(want)
+    while at >= 0:
+        if at % 4 == 0:
+            yield at // 4
+        at = raw.find(want, at + 1)
+
+
+def _best(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int]:
+    at = next(_places(item, text), -1)
+    return (0, at, at + len(item)) if at >= 0 else align(item, text, low, high, most)
+
+
+def _alone(item: np.ndarray, text: np.ndarray, lead: int) -> tuple[int, int, int]:
+    """The first place where a short item stands by itself; text has ``lead`` more characters before it."""
+    word = lambda c: c < BREAK and chr(c).isalnum()
+    for at in _places(item, text):
+        end = at + len(item)
+        before, after = at and word(text[at - 1]), end < len(text) and word(text[end])
+        if not (before and word(item[0])) and not (after and word(item[-1])):
+            return 0, at - lead, end - lead
+    return 1, -1, -1
 
 
 SCHEMA = "doc_id long, item_id long, edits int, begin int, end int"
@@ -165,7 +192,7 @@ SCHEMA = "doc_id long, item_id long, edits int, begin int, end int"
 
 def _chunks(items: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[tuple[list, list]]:
     ids, texts, size = [], [], 0
-    for r in items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where(F.length(text_col) >= MIN_CHARS).toLocalIterator():
+    for r in items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where(F.length(text_col) >= Q).toLocalIterator():
         ids.append(r.i)
         texts.append(r.t)
         size += 4 * len(r.t)
@@ -176,6 +203,11 @@ def _chunks(items: DataFrame, id_col: str, text_col: str, most: int) -> Iterator
         yield ids, texts
 
 
+def too_short(items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The items that are not searched for: not null, but without a q-gram."""
+    return items.where(F.length(F.col(text_col).cast("string")) < Q)
+
+
 def _pieces(texts: list[bytes | None]) -> Iterator[tuple[list[int], list[str]]]:
     at, group, size = [], [], 0
     for i, t in enumerate(texts):

@@ -182,11 +182,21 @@ def edits(a, b):
     return min(row)
 
 
+def whole_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
 def test_decontamination(spark, empty):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7)))
-    items = [" ".join(word() for _ in range(n)) for n in (5, 8, 15, 30, 60)] + [None, "short", ""]
-    texts = [None, "", "a"]
+    items = [" ".join(word() for _ in range(n)) for n in (5, 8, 15, 30, 60)] + [None, "short", "", "not so long"]
+    texts = [None, "", "a", "a NOT so long text", "not so longish", "cannot so long", "x cannot so long, not so\nlong."]
     for t in items[:5]:
         for k in (0, 1, len(t) // 20, len(t) // 9, len(t) // 5):
             w = list(t)
@@ -194,17 +204,34 @@ def test_decontamination(spark, empty):
                 i = rng.randrange(len(w))
                 w[i : i + 1] = rng.choice([[], ["x"], [w[i], "y"]])
             texts.append(" ".join(word() for _ in range(rng.randint(0, 40))) + " " + "".join(w).upper() + " " + " ".join(word() for _ in range(20)))
+    texts += [texts[7], " ".join([items[1], word(), items[1]])]  # a repeated row, and two places
     d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, item_id string")
     b = spark.createDataFrame([(i, t, 1) for i, t in enumerate(items)], "item_id long, text string, doc_id int")
-    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.find(spark, d, b, max_item_bytes=300).collect()}
+    found = decontaminate.find(spark, d, b, max_item_bytes=300).collect()
+    got = {(r.doc_id, r.item_id): r.edits for r in found}
     want = {(i, j): e for i, t in enumerate(texts) for j, x in enumerate(items) if t and x and len(x) >= decontaminate.MIN_CHARS and (e := edits(x.lower(), t.lower())) <= decontaminate.budget(len(x))}
-    assert got == want and len(want) >= 12
+    want |= {(3, 8): 0, (6, 8): 0}
+    assert got == want and len(want) >= 14 and len(found) == len(got)
+    for r in found:  # the alignment is where it is said to be
+        assert whole_edits(items[r.item_id].lower(), texts[r.doc_id].lower().replace("\n", " ")[r.begin : r.end]) == r.edits
+    assert min(r.begin for r in found if r.doc_id == len(texts) - 1) == 0
+    assert {r.item_id for r in decontaminate.too_short(b).collect()} == {6, 7}
     kept = {r.doc_id for r in decontaminate.clean(spark, d, b).collect()}
     assert kept == set(range(len(texts))) - {i for i, _ in want}
     assert decontaminate.clean(spark, d, b).columns == d.columns
     assert decontaminate.find(spark, empty, b).collect() == [] and decontaminate.find(spark, d, b.limit(0)).collect() == []
 
 
+def test_passage_in_a_very_long_text(spark):
+    rng = random.Random(8)
+    item = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30))
+    head = "".join(rng.choice("abcdefgh ") for _ in range(1_200_000))
+    broken = item[:50] + "zz" + item[52:]
+    df = spark.createDataFrame([(1, head + " " + broken + " " + head[:5000]), (2, head)], "doc_id long, text string")
+    got = decontaminate.find(spark, df, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(1, 5, 2, len(head) + 1, len(head) + 1 + len(item))]
+
+
 # --- op 9
 
 
