@@ -2,17 +2,19 @@
 
 Every feature has a lookup table over its bins; cyclic boosting adds a small step of a shallow tree to
 one table after the other, on the residuals of all others. Then the pairs of features that explain most
-of what is left get tables of their own. A score is the sum of table entries, looked up by bins, passed
+of what is left get tables of their own, by steps of shallow trees that cut along either feature. A score is the sum of table entries, looked up by bins, passed
 through the logistic function.
 
 Features are counts over the whole text: kinds of characters, lengths of words and lines, repeated
 words and lines. Neither language, source, id nor labels are inputs.
 
 The model is fitted on at most ``max_rows`` labelled documents (20,000; those with the smallest hash of
-doc_id), which bounds what reaches the driver. Labels that are null are left out; without labelled rows
+doc_id), which bounds what reaches the driver: so many labels are looked for, and of the rows that share their
+ids so many again are taken, by hash of id and text. Labels that are null are left out; without labelled rows
 the score is 0.5, with one class only it is near that class. Null or empty texts are scored as texts
-without characters. Repeated rows get equal scores. Other columns are passed through when named in
-``carry``. An empty table gives an empty result.
+without characters. Repeated rows get equal scores. Very long texts are scored whole, in a batch of their
+own. Scores tie where all bins do. Other columns are passed through when named in ``carry``, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -85,8 +87,11 @@ def _features(raw: list[bytes]) -> np.ndarray:
     last = data[end - 1] if len(end) else np.empty(0, np.uint8)
     odd = np.isin(last, np.frombuffer(_KINDS["mark"] + _KINDS["shout"], np.uint8))
     same = np.concatenate([[False], h[1:] == h[:-1]])[: len(h)]
+    same[at[:-1][count > 0]] = False  # a text's first word repeats none of the text before
     new = [len(np.unique(h[a:b])) for a, b in itertools.pairwise(at.tolist())]
     lines = [x.split(b"\n") for x in raw]
+    again = np.concatenate([[False], data[1:] == data[:-1]])
+    again[off[:-1]] = again[off[1:] - 1] = False  # neither a text's neighbours nor the line end put behind it count
     f += [
         np.log1p(np.diff(off) - 1),
         _per_text(length, at) / w,
@@ -96,7 +101,7 @@ def _features(raw: list[bytes]) -> np.ndarray:
         np.array(new) / np.sqrt(w) / np.sqrt(np.maximum(1, np.minimum(w, 400))),
         np.array([len(set(x)) / len(x) for x in lines]),
         np.log1p((np.diff(off) - 1) / np.array([len(x) for x in lines])),
-        _per_text(np.concatenate([[False], data[1:] == data[:-1]]), off) / n,
+        _per_text(again, off) / n,
     ]
     return np.stack(f, 1).astype(np.float64)
 
@@ -143,6 +148,33 @@ def _tree(g: np.ndarray, h: np.ndarray, leaves: int = 4, damp: float = 1.0) -> n
     return out
 
 
+def _grid_tree(g: np.ndarray, h: np.ndarray, leaves: int = 4, damp: float = 1.0) -> np.ndarray:
+    """The step of a tree with few leaves over a table of two features' bins: each leaf is a rectangle, cut in two along the better feature."""
+    cg, ch = (np.pad(x.cumsum(0).cumsum(1), ((1, 0), (1, 0))) for x in (g, h))
+    total = lambda c, r: c[r[1], r[3]] - c[r[0], r[3]] - c[r[1], r[2]] + c[r[0], r[2]]
+    gain_of = lambda r: total(cg, r) ** 2 / (total(ch, r) + damp)
+    rects = [(0, g.shape[0], 0, g.shape[1])]
+    for _ in range(leaves - 1):
+        best = (1e-9, None, None)
+        for r in rects:
+            for k in (1, 3):
+                m = np.arange(r[k - 1] + 1, r[k])
+                if len(m):
+                    low, high = ((r[0], m, r[2], r[3]), (m, r[1], r[2], r[3])) if k == 1 else ((r[0], r[1], r[2], m), (r[0], r[1], m, r[3]))
+                    gain = gain_of(low) + gain_of(high) - gain_of(r)
+                    i = int(gain.argmax())
+                    if gain[i] > best[0]:
+                        best = (float(gain[i]), r, [tuple(int(v[i]) if np.ndim(v) else v for v in x) for x in (low, high)])
+        if best[1] is None:
+            break
+        rects.remove(best[1])
+        rects += best[2]
+    out = np.zeros(g.shape)
+    for r in rects:
+        out[r[0] : r[1], r[2] : r[3]] = total(cg, r) / (total(ch, r) + damp)
+    return out
+
+
 def fit(x: np.ndarray, y: np.ndarray, bins: int = BINS, rounds: int = ROUNDS, pairs: int = PAIRS, pair_rounds: int = PAIR_ROUNDS, rate: float = RATE) -> AdditiveModel:
     """Cyclic boosting of one table after another, then of the tables of the best pairs."""
     if not len(x):
@@ -176,7 +208,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = BINS, rounds: int = ROUNDS, pa
             for i, j, _, _, t in found:
                 p = 1 / (1 + np.exp(-z))
                 k = c[i] * t.shape[1] + c[j]
-                step = rate * (np.bincount(k, y - p, t.size) / (np.bincount(k, p * (1 - p), t.size) + 1)).reshape(t.shape)
+                step = rate * _grid_tree(np.bincount(k, y - p, t.size).reshape(t.shape), np.bincount(k, p * (1 - p), t.size).reshape(t.shape))
                 t += step
                 z += step[c[i], c[j]]
     return AdditiveModel(cuts, tables, found, base)
@@ -192,14 +224,15 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
     B.ready(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(folds) != 0))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
-    texts = B.documents(docs).join(F.broadcast(known), "doc_id").select("quality", "text")  # at most max_rows ids
+    texts = B.documents(docs).join(F.broadcast(known), "doc_id")  # at most max_rows ids
+    texts = texts.select("quality", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("of"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in B.slices(batches):
             x = features([t or b"" for t in b.column("text").to_pylist()])
-            yield pa.record_batch({"quality": b.column("quality").cast(pa.int32()), "x": pa.array(list(x), pa.list_(pa.float64()))})
+            yield pa.record_batch({"quality": b.column("quality").cast(pa.int32()), "x": pa.array(list(x), pa.list_(pa.float64())), "h": b.column("h"), "of": b.column("of")})
 
-    got = texts.mapInArrow(read, "quality int, x array<double>").toPandas()
+    got = texts.mapInArrow(read, "quality int, x array<double>, h long, of long").orderBy("h", "of", "quality").limit(max_rows).toPandas()
     x = np.stack(got["x"].to_numpy()) if len(got) else np.empty((0, len(NAMES)))
     y = got["quality"].to_numpy(dtype=float)
     o = np.lexsort((*x.T, y)) if len(x) else []
@@ -209,12 +242,13 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
 def score(spark: SparkSession, docs: DataFrame, model: AdditiveModel, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier), and the carried columns of every row."""
     B.ready(spark)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    wide = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text__"), *carry)
+    wide = B.wide(docs, carry)
+    extra = {f.name: f.dataType.simpleString() for f in wide.schema.fields[2:]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in B.slices(batches):
-            s = model.score(features([t or b"" for t in b.column("text__").to_pylist()]))
-            yield pa.record_batch([b.column("doc_id"), pa.array(s), *(b.column(2 + i) for i in range(len(carry)))], names=["doc_id", "score", *carry])
+            s = model.score(features([t or b"" for t in b.column("text").to_pylist()]))
+            yield pa.record_batch([b.column("doc_id"), pa.array(s), *(b.column(c) for c in extra)], names=["doc_id", "score", *extra])
 
-    return wide.mapInArrow(run, "doc_id long, score double" + "".join(f", `{c}` {kinds[c]}" for c in carry))
+    scored = wide.mapInArrow(run, "doc_id long, score double" + "".join(f", {c} {k}" for c, k in extra.items()))
+    return scored.select("doc_id", "score", *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)))

@@ -8,11 +8,15 @@ different keys may part, and rows that share a key stay together.
 ``slot`` numbers the rows of a shard without gaps, by (bucket, doc_id, checksum, size): buckets of about
 ``rows_per_bucket`` rows are numbered on their own and shifted by the sizes of the buckets before, so no
 task holds a whole shard. Rows without a key (null) all go to one shard; their buckets are dealt by text.
-A null text has no bytes. Equal rows get slots next to one another. Other columns are ignored.
+A null text has no bytes. Equal rows get slots next to one another. Very long texts count by their bytes. An
+empty table gives an empty result. Other columns are ignored, and kept as they are by ``write``. A weight must
+be a positive number; a shard that takes nothing is left out of the list instead.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ SHARDS, OVERHEAD, ROWS = 40, 16, 1000
 
 def rendezvous(key: Column, weights: list[float]) -> Column:
     """The shard of a key, from 0; ties, which 53-bit hashes hardly give, go to the smaller number."""
+    if not all(0 < w < math.inf for w in weights):
+        raise ValueError("weights must be positive numbers")
     bid = lambda s, w: F.struct((-F.log((F.shiftrightunsigned(F.xxhash64(key, F.lit(s), F.lit("shard")), 11).cast("double") + 0.5) / float(1 << 53)) / w).alias("bid"), F.lit(s).alias("s"))
     return F.array_min(F.array(*(bid(s, w) for s, w in enumerate(weights))))["s"]
 
@@ -49,6 +55,8 @@ def assign(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, weights:
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("base") + F.col("n") - 1).cast("long").alias("slot"), "grown_shard")
 
 
-def write(docs: DataFrame, path: str, key: str = "doc_id", weights: list[float] | None = None) -> None:
-    """All columns of docs, in one folder for each shard."""
-    docs.withColumn("shard", rendezvous(F.col(key).cast("long"), weights or [1.0] * SHARDS)).write.partitionBy("shard").parquet(path)
+def write(docs: DataFrame, path: str, key: str = "doc_id", weights: list[float] | None = None, name: str = "shard") -> None:
+    """All columns of docs, in one folder for each shard; the folders' column is ``name``, which docs may not have."""
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs have a column {name} of their own")
+    docs.withColumn(name, rendezvous(F.col(key).cast("long"), weights or [1.0] * SHARDS)).write.partitionBy(name).parquet(path)

@@ -1,10 +1,14 @@
 """Token files, sharding, quality, language, decontamination and pieces against brute force."""
 
+import itertools
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rastrel.llm import decontaminate, language, pieces, quality, sharding, token_files
 
@@ -87,9 +91,35 @@ def test_no_rows(spark, empty):
 
 
 def test_shards_as_folders(spark, docs, tmp_path):
-    sharding.write(docs.drop("shard"), str(tmp_path / "out"), weights=[1.0, 1.0, 3.0])
+    with pytest.raises(ValueError):
+        sharding.write(docs, str(tmp_path / "out"))  # a column of that name is there
+    sharding.write(docs, str(tmp_path / "out"), weights=[1.0, 1.0, 3.0], name="of")
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == docs.count() and {r.shard for r in back.select("shard").distinct().collect()} <= {0, 1, 2}
+    assert back.count() == docs.count() and {r.of for r in back.select("of").distinct().collect()} <= {0, 1, 2}
+    assert set(back.columns) == {*docs.columns, "of"} and {r.shard for r in back.select("shard").distinct().collect()} == {"x", "y", None}
+    with pytest.raises(ValueError):
+        sharding.rendezvous(F.col("doc_id"), [1.0, 0.0])
+
+
+def _xxh64(raw, seed):
+    import xxhash
+
+    return xxhash.xxh64_intdigest(raw, seed)
+
+
+def test_shards_are_those_of_plain_rendezvous_hashing(spark, docs):
+    weights = [1.0, 2.5, 0.5, 1.0, 4.0]
+
+    def shard(key, w):
+        bids = []
+        for s, x in enumerate(w):
+            h = 42 if key is None else _xxh64(key.to_bytes(8, "little", signed=True), 42)  # a null leaves the seed as it is
+            h = _xxh64(b"shard", _xxh64(s.to_bytes(4, "little"), h))
+            bids.append((-math.log(((h >> 11) + 0.5) / 2**53) / x, s))
+        return min(bids)[1]
+
+    got = sharding.assign(spark, docs, weights=weights, grown_weight=3.0).collect()
+    assert [(r.shard, r.grown_shard) for r in got] == [(shard(r.doc_id, weights), shard(r.doc_id, [*weights, 3.0])) for r in got]
 
 
 def test_shards(spark, docs, corpus):
@@ -106,7 +136,7 @@ def test_shards(spark, docs, corpus):
 
 
 def test_weights(spark):
-    rows = spark.range(20_000).select(sharding.rendezvous(__import__("pyspark").sql.functions.col("id"), [1.0, 2.0, 1.0]).alias("s")).groupBy("s").count().collect()
+    rows = spark.range(20_000).select(sharding.rendezvous(F.col("id"), [1.0, 2.0, 1.0]).alias("s")).groupBy("s").count().collect()
     share = {r.s: r["count"] / 20_000 for r in rows}
     assert abs(share[1] - 0.5) < 0.02 and abs(share[0] - 0.25) < 0.02
 
@@ -141,6 +171,61 @@ def test_interaction_is_learned():
     assert m.pairs[0][:2] == (0, 1)
 
 
+def plain_scores(cuts, tables, pairs, base, x):
+    """Each row by itself: count the edges at or below a value, look its table up, add."""
+    at = lambda e, v: sum(c <= v for c in e)
+    out = []
+    for row in x.tolist():
+        z = base + sum(t[at(c, v)] for c, t, v in zip(cuts, tables, row, strict=True))
+        z += sum(t[at(ci, row[i])][at(cj, row[j])] for i, j, ci, cj, t in pairs)
+        out.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+    return np.array(out)
+
+
+def plain_features(t):
+    raw = t.encode()
+    n = max(1, len(raw))
+    ws = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    low = [w.lower() for w in ws]
+    lines = raw.split(b"\n")
+    m = max(1, len(ws))
+    kinds = [sum(c in k for c in raw) / n for k in quality._KINDS.values()]
+    odd = quality._KINDS["mark"] + quality._KINDS["shout"]
+    return kinds + [
+        math.log1p(len(raw)), sum(map(len, ws)) / m, sum(len(w) > 20 for w in ws) / m, sum(w[-1] in odd for w in ws) / m, sum(a == b for a, b in itertools.pairwise(low)) / m,
+        len(set(low)) / math.sqrt(m) / math.sqrt(max(1, min(m, 400))), len(set(lines)) / len(lines), math.log1p(len(raw) / len(lines)), sum(a == b for a, b in itertools.pairwise(raw)) / n,
+    ]
+
+
+def test_features_and_scores_against_plain_loops(corpus):
+    texts = [r[1] or "" for r in corpus] + ["A b! ÄÖ #x\n\nA b!", "x" * 300_000 + " yes"]
+    x = quality.features([t.encode() for t in texts])
+    for row, t in zip(x, texts, strict=True):
+        want = plain_features(t)
+        assert row == pytest.approx(want, abs=1e-9)
+    assert (quality.features([texts[0].encode(), b"\n\n"])[1] == quality.features([b"\n\n"])[0]).all()
+    y = (x[:, 9] > np.median(x[:, 9])).astype(float)
+    m = quality.fit(x, y, rounds=20, pair_rounds=5)
+    assert m.score(x) == pytest.approx(plain_scores(m.cuts, m.tables, m.pairs, m.base, x), abs=1e-12)
+
+
+def test_trees_take_the_best_cuts():
+    """First cuts against all cuts, one after the other."""
+    rng = np.random.default_rng(1)
+    g, h = rng.normal(0, 1, (5, 6)), rng.random((5, 6))
+    worth = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    best = None
+    for axis in (0, 1):
+        for cut in range(1, g.shape[axis]):
+            low = (np.indices(g.shape)[axis] < cut)
+            best = max(best or (-1e9,), (worth(low) + worth(~low), axis, cut, low), key=lambda v: v[0])
+    low = best[3]
+    want = np.where(low, g[low].sum() / (h[low].sum() + 1), g[~low].sum() / (h[~low].sum() + 1))
+    assert quality._grid_tree(g, h, leaves=2) == pytest.approx(want)
+    line = quality._grid_tree(g[:1], h[:1], leaves=4)[0]
+    assert line == pytest.approx(quality._tree(g[0], h[0], leaves=4))
+
+
 # --- op 7
 
 
