@@ -8,12 +8,17 @@ Texts are lower-cased; every run of characters that are not letters is one space
 16 bits are folded into 16. ``rejected`` tells that the cross-entropy is higher than almost all
 (``quantile``) held-back training texts of that language have, by models without them, times ``margin``.
 A language whose training rows are all in one of ``PARTS`` parts by doc_id can hold none back and has no
-such limit. The score, the share of the chosen language among all by likelihood of up to ``MOST``
-characters, is halved for rejected texts.
+such limit. The score, the share of the chosen language among all by likelihood of the whole text, is halved for
+rejected texts.
 
 A null text, or one without a letter, is ``und`` with score 0. Rows without a language or id train nothing. Without
-training rows all texts are ``und``. Counts are taken from all training rows; what reaches the driver
-is bounded by the distinct 4-grams of each language. Other columns are never inputs.
+training rows all texts are ``und``. Of languages that tie, the first by name is taken. Repeated rows count, and
+are identified, again. Very long texts are counted and scored whole. An empty table gives an empty result. Other
+columns are never inputs.
+
+Counts are taken from all training rows and grow with them. They are summed by ranges of 4-grams, ``RANGES`` tasks
+for each language; each model is as large as the language has distinct 4-grams, and is held once by the driver
+and by every worker.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from . import _blocks as B
 from .quality import fold
 
 ORDER, FOLDS, HELD, PARTS = 4, 3, 1, 16
-QUANTILE, MARGIN, MOST = 0.995, 1.15, 40
+QUANTILE, MARGIN, RANGES = 0.995, 1.15, 16
 PIECE, KEPT = 1 << 20, 3_000_000
 LETTER = np.uint16(0)
 
@@ -160,14 +165,14 @@ class Identifier:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         best = h.argmin(1)
         least = h[np.arange(len(h)), best]
-        share = 1 / np.exp2(-(h - least[:, None]) * np.minimum(n, MOST)[:, None]).sum(1)
+        share = 1 / np.exp2(-(h - least[:, None]) * n[:, None]).sum(1)
         high = least > np.array([self.limit.get(x, np.inf) for x in self.langs])[best]
         none = n == 0
         lang = [self.langs[b] if not x else "und" for b, x in zip(best, none, strict=True)]
         return lang, np.where(none, 0.0, np.where(high, share / 2, share)), high | none
 
 
-COUNTS = pa.schema([("lang", pa.string()), ("aside", pa.bool_()), ("part", pa.int32()), ("blob", pa.binary())])
+COUNTS = pa.schema([("lang", pa.string()), ("aside", pa.bool_()), ("range", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -189,11 +194,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(held[x]) > 16:
                     held[x] = [_merge(held[x])]
     for x, parts in held.items():
-        yield B.rows(COUNTS, [[x[0]], [x[1]], [part], [B.pack(*_merge(parts))]]).to_batches()[0]
+        keys, n = _merge(parts)
+        rows = [(*x, k, part, B.pack(keys[i], n[i])) for k, i in B.by_bucket(keys, RANGES)]
+        yield from B.rows(COUNTS, list(zip(*rows, strict=True))).to_batches() if rows else []
 
 
 def _sum(t: pa.Table) -> pa.Table:
-    return B.rows(COUNTS, [[t.column("lang")[0].as_py()], [t.column("aside")[0].as_py()], [0], [B.pack(*_merge([tuple(B.unpack(x)) for x in t.column("blob").to_pylist()]))]])
+    return B.rows(COUNTS, [[t.column(c)[0].as_py()] for c in ("lang", "aside", "range")] + [[0], [B.pack(*_merge([tuple(B.unpack(x)) for x in t.column("blob").to_pylist()]))]])
 
 
 def train(spark: SparkSession, docs: DataFrame, lang_col: str = "lang", folds: int = FOLDS, held: int = HELD) -> Identifier:
@@ -207,12 +214,15 @@ def train(spark: SparkSession, docs: DataFrame, lang_col: str = "lang", folds: i
     known = known.withColumn("of", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
     first = known.groupBy("lang").agg(F.min("of").alias("first"), F.max("of").alias("last"))
     known = known.join(F.broadcast(first), "lang").select("lang", "text", ((F.col("of") == F.col("first")) & (F.col("first") < F.col("last"))).alias("aside"))
-    schema = "lang string, aside boolean, part int, blob binary"
+    schema = "lang string, aside boolean, range int, part int, blob binary"
     counts = known.select("lang", "aside", "text", F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).mapInArrow(_count, schema)
-    counts = counts.groupBy("lang", "aside", "part").applyInArrow(_sum, schema).groupBy("lang", "aside").applyInArrow(_sum, schema)
+    counts = counts.groupBy("lang", "aside", "range", "part").applyInArrow(_sum, schema).groupBy("lang", "aside", "range").applyInArrow(_sum, schema)
+    ranges: dict[tuple[str, bool], list] = {}
+    for r in counts.toLocalIterator():  # at most 2 * RANGES rows for each language
+        ranges.setdefault((r.lang, r.aside), []).append(tuple(B.unpack(bytes(r.blob))))
     found: dict[str, list] = {}
-    for r in counts.collect():  # at most two rows for each language
-        found.setdefault(r.lang, []).append((r.aside, tuple(B.unpack(bytes(r.blob)))))
+    for lang, aside in sorted(ranges):
+        found.setdefault(lang, []).append((aside, _merge(ranges.pop((lang, aside)))))
     if not found:
         return Identifier([], [])
     alphabet = len(np.unique(np.concatenate([np.unique(k & np.uint64(0xFFFF)) for own in found.values() for _, (k, _) in own]))) + 1

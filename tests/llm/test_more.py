@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -253,6 +254,61 @@ def test_kneser_ney_sums_to_one():
         assert abs(p.sum() - 1) < 1e-9
 
 
+class PlainKneserNey:
+    """The same models in dictionaries of strings."""
+
+    def __init__(self, texts, alphabet):
+        self.levels, self.alphabet = {}, alphabet
+        counts = Counter(g for t in texts for g in self.grams(t))
+        for n in (4, 3, 2, 1):
+            once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+            total, kinds = Counter(), Counter()
+            for g, c in counts.items():
+                total[g[:-1]] += c
+                kinds[g[:-1]] += 1
+            self.levels[n] = (once / (once + 2 * twice) if once and twice else 0.5, counts, total, kinds)
+            counts = Counter(g[1:] for g in counts)
+
+    @staticmethod
+    def grams(t):
+        s = "".join(c.lower()[0] if c.isalpha() else " " for c in t)
+        s = re.sub(" +", " ", s).strip(" ")
+        s = "   " + s + " " if s else "   "
+        return [s[i - 3 : i + 1] for i in range(3, len(s))]
+
+    def bits(self, t):
+        out = 0.0
+        for g in self.grams(t):
+            p = 1 / self.alphabet
+            for n in (1, 2, 3, 4):
+                d, counts, total, kinds = self.levels[n]
+                own, ctx = g[4 - n :], g[4 - n : -1]
+                if total[ctx]:
+                    p = (max(counts[own] - d, 0) + d * kinds[ctx] * p) / total[ctx]
+            out -= math.log2(p)
+        return out
+
+
+def test_models_against_plain_dictionaries(spark):
+    rng = random.Random(3)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(n))
+    letters = {"x": "aabcdé", "y": "abbefß", "z": "cdegh"}
+    rows = [(i, make(letters[l], rng.randint(1, 40)) + rng.choice(["", "!", " 12. Öh"]), l) for i, l in enumerate(rng.choices("xyz", k=300))]
+    rows += [(None, "no id", "x"), (301, None, "x"), (302, "no language", None), (303, "", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    model = language.train(spark, df)
+    known = [r for r in rows if r[0] is not None and r[2] and zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    alphabet = len({g[-1] for r in known for g in PlainKneserNey.grams(r[1] or "")}) + 1
+    plain = {l: PlainKneserNey([r[1] or "" for r in known if r[2] == l], alphabet) for l in "xyz"}
+    texts = [r[1] for r in rows[:60]] + [make("abcdefgh", 30), "Zz", make("abcde", 60_000)]
+    h, n = model.entropies(texts)
+    for i, t in enumerate(texts):
+        k = len(PlainKneserNey.grams(t))
+        assert n[i] == k and h[i] == pytest.approx([plain[l].bits(t) / k for l in "xyz"], rel=1e-4)
+    lang, score, _ = model.predict(texts)
+    assert lang == ["xyz"[int(np.argmin(x))] for x in h] and (score > 0).all() and (score <= 1).all()
+
+
 # --- op 3
 
 
