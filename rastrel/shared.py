@@ -76,16 +76,15 @@ def bucketed(spark: SparkSession, df: DataFrame, name: str, key: str, n: int) ->
 def remove(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _made[:] = [x for x in _made if x != path]
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[list[str]]:
     """Deletes, at its end, the tables made in here but for the paths that are put into the list."""
-    before, keep = len(_made), []
+    before, keep = set(_made), []
     try:
         yield keep
     finally:
-        for path in _made[before:]:
-            if path not in keep:
-                remove(spark, path)
-        _made[before:] = [p for p in _made[before:] if p in keep]
+        for path in [p for p in _made if p not in before and p not in keep]:
+            remove(spark, path)
