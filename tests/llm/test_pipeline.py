@@ -71,3 +71,21 @@ def test_stages_keep_the_columns_and_take_any_rows(spark, docs, empty):
         assert out.count() <= docs.count()
         assert stage(spark, empty, SF).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Rows without an id, or with a repeated one, are rows of their own."""
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, base), (None, base), (None, base + " x"), (5, base + " y"), (5, base + " y"), (7, "quite another text of its own words"), (7, "and a second one with the same id here"), (8, None), (8, None), (9, ""), (None, "a text that only rows without an id have"), (None, "a text that only rows without an id have")]
+    df = spark.createDataFrame([(i, t, "en", f"s{n}", 1) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect()), key=str)
+    assert got == sorted([rows[3], rows[5], rows[6], rows[7], rows[8], rows[9], rows[10]], key=str)
+
+
+def test_intermediates_are_deleted(spark):
+    from rastrel import shared
+
+    before = set(shared._made)
+    out = corpus_pipeline.run(spark, SF)
+    left = [p for p in shared._made if p not in before]
+    assert len(left) == 1 and out.count() > 0
