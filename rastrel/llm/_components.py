@@ -10,14 +10,18 @@ from . import _blocks as B
 
 
 def look_up(rows: DataFrame, values: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
-    """rows joined with values, which has one row a key and, as n, how many of the (at most total) rows have it.
+    """rows joined with values, which has one row a key (0 or more) and, as n, how many of the (at most total) rows have it.
 
     A key with more than a share of all rows is looked up in a broadcast table, which therefore has fewer
     than ``share`` rows; all others meet by the key, of which no task gets more than that share.
     """
-    hot, cold = (values.where(f"n * {share} {how} {total}").drop("n") for how in (">", "<="))
-    few = F.broadcast(hot)
-    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(cold, key))
+    names = [c for c in values.columns if c not in (key, "n")]
+    hot, cold = (values.where(f"n * {share} {how} {total}").select(F.col(key).alias(f"{k}_"), F.struct(*names).alias(k)) for how, k in ((">", "hot"), ("<=", "cold")))
+    rows = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_"), "left")
+    # rows that are done are spread by their own hash, below all keys
+    rest = F.when(F.col("hot").isNull(), F.col(key)).otherwise(-1 - F.shiftrightunsigned(F.xxhash64(*rows.columns), 1))
+    rows = rows.join(cold, rest == F.col("cold_"), "left").withColumn("value_", F.coalesce("hot", "cold")).where("value_ IS NOT NULL")
+    return rows.select(*(c for c in rows.columns if c not in ("hot", "hot_", "cold", "cold_", "value_")), "value_.*")
 
 
 def components(edges: DataFrame) -> DataFrame:
