@@ -80,31 +80,38 @@ class Writer:
         return bytes(self.out)
 
 
+#: How far a range has to be shifted up to reach 128.
+_SHIFT = [0] + [8 - n.bit_length() for n in range(1, 256)]
+
+
 class Reader:
-    """Reads what a Writer wrote; beyond the end it reads zeros."""
+    """Reads what a Writer wrote; beyond the end it reads zeros. ``code`` is a function of its own state, for speed."""
 
     def __init__(self, data: bytes):
-        self.data, self.at = data, 2
-        self.value = int.from_bytes((data[:2] + b"\0\0")[:2], "big")
-        self.range, self.left = 255, 8
+        value, room, at, rng = int.from_bytes(data[:32].ljust(32, b"\0"), "big"), 248, 32, 255
 
-    def code(self, _bit: int | None, prob: int) -> int:
-        split = 1 + ((self.range - 1) * prob >> 8)
-        edge = split << 8
-        if bit := int(self.value >= edge):
-            self.range -= split
-            self.value -= edge
-        else:
-            self.range = split
-        while self.range < 128:
-            self.value <<= 1
-            self.range <<= 1
-            self.left -= 1
-            if not self.left:
-                self.value |= self.data[self.at] if self.at < len(self.data) else 0
-                self.at += 1
-                self.left = 8
-        return bit
+        def code(_bit: int | None, prob: int) -> int:
+            nonlocal value, room, at, rng
+            split = 1 + ((rng - 1) * prob >> 8)
+            edge = split << room
+            if value >= edge:
+                value -= edge
+                rng -= split
+                bit = 1
+            else:
+                rng = split
+                bit = 0
+            if rng < 128:
+                n = _SHIFT[rng]
+                rng <<= n
+                room -= n
+                if room < 0:
+                    value = value << 256 | int.from_bytes(data[at : at + 32].ljust(32, b"\0"), "big")
+                    room += 256
+                    at += 32
+            return bit
+
+        self.code = code
 
     def literal(self, _value: int | None, n: int) -> int:
         out = 0

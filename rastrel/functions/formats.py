@@ -1,4 +1,4 @@
-"""Simple raster formats as RGBA: BMP, PNM, QOI and uncompressed TGA; and the metadata of JPEG files."""
+"""Simple raster formats as RGBA: BMP, PNM, QOI, GIF (its first picture) and uncompressed TGA; and the metadata of JPEG files."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ import struct
 
 import numpy as np
 
-MAX_PIXELS = 24_000_000
+#: Beyond this a header is taken for a trap.
+MAX_PIXELS = 1 << 28
 
 
 def _room(w: int, h: int) -> None:
@@ -117,6 +118,79 @@ def qoi(d: bytes) -> np.ndarray:
     return np.frombuffer(bytes(out[: 4 * w * h]), np.uint8).reshape(h, w, 4)
 
 
+def _unpack_lzw(data: bytes, least: int, room: int) -> bytes:
+    """GIF's variable-width codes, lowest bit first, up to room values."""
+    clear, stop = 1 << least, (1 << least) + 1
+    start = [bytes([i]) for i in range(clear)] + [b"", b""]
+    words, width, last, out = list(start), least + 1, None, bytearray()
+    held = n = at = 0
+    while len(out) < room:
+        while n < width:
+            if at >= len(data):
+                return bytes(out)
+            held |= data[at] << n
+            n, at = n + 8, at + 1
+        code = held & ((1 << width) - 1)
+        held, n = held >> width, n - width
+        if code == clear:
+            words, width, last = list(start), least + 1, None
+            continue
+        if code == stop:
+            break
+        if code > len(words) or (last is None and code >= clear):
+            raise ValueError("a broken code")
+        word = words[code] if code < len(words) else last + last[:1]
+        out += word
+        if last is not None and len(words) < 4096:
+            words.append(last + word[:1])
+            if len(words) == 1 << width and width < 12:
+                width += 1
+        last = word
+    return bytes(out[:room])
+
+
+def gif(d: bytes) -> np.ndarray:
+    """The first picture on its canvas; what it doesn't cover, and its transparent colour, have alpha 0."""
+    w, h, flags = struct.unpack_from("<HHB", d, 6)
+    _room(w, h)
+    at, shared, clear = 13, None, None
+    if flags & 0x80:
+        size = 3 << ((flags & 7) + 1)
+        shared, at = d[at : at + size], at + size
+    while d[at : at + 1] == b"!":
+        if d[at + 1] == 0xF9 and d[at + 3] & 1:
+            clear = d[at + 6]
+        at += 2
+        while d[at]:
+            at += 1 + d[at]
+        at += 1
+    if d[at : at + 1] != b",":
+        raise ValueError("no picture")
+    x, y, pw, ph, flags = struct.unpack_from("<HHHHB", d, at + 1)
+    at += 10
+    if flags & 0x80:
+        size = 3 << ((flags & 7) + 1)
+        shared, at = d[at : at + size], at + size
+    if shared is None or not pw or not ph or x + pw > w or y + ph > h:
+        raise ValueError("a broken header")
+    least, at, body = d[at], at + 1, []
+    while at < len(d) and d[at]:
+        body.append(d[at + 1 : at + 1 + d[at]])
+        at += 1 + d[at]
+    raw = np.frombuffer(_unpack_lzw(b"".join(body), least, pw * ph), np.uint8)
+    colors = np.frombuffer(shared, np.uint8).reshape(-1, 3)
+    if len(raw) < pw * ph or raw.max() >= len(colors):
+        raise ValueError("truncated")
+    rows = raw.reshape(ph, pw)
+    if flags & 0x40:  # rows come in four passes
+        order = np.concatenate([np.arange(a, ph, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
+        rows = rows[np.argsort(order)]
+    out = np.zeros((h, w, 4), np.uint8)
+    part = out[y : y + ph, x : x + pw]
+    part[..., :3], part[..., 3] = colors[rows], np.where(rows == (-1 if clear is None else clear), 0, 255)
+    return out
+
+
 def jpeg_meta(d: bytes) -> dict:
     """EXIF, XMP and the joined ICC profile of a JPEG's application segments."""
     out = {"texts": [], "phys_raw": None, "exif_raw": None, "icc_raw": None, "xmp_raw": None}
@@ -136,4 +210,4 @@ def jpeg_meta(d: bytes) -> dict:
     return out
 
 
-READERS = {"bmp": bmp, "pnm": pnm, "qoi": qoi, "tga": tga}
+READERS = {"bmp": bmp, "gif": gif, "pnm": pnm, "qoi": qoi, "tga": tga}

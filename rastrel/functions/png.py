@@ -13,7 +13,8 @@ LEGAL = {1: (0, 3), 2: (0, 3), 4: (0, 3), 8: (0, 2, 3, 4, 6), 16: (0, 2, 4, 6)}
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 # First row, first column, row step and column step of the seven interlace passes.
 PASSES = [(0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)]
-MAX_PIXELS = 24_000_000
+#: Beyond this a header is taken for a trap.
+MAX_PIXELS = 1 << 28
 
 
 def chunks(data: bytes) -> list[tuple[str, bytes]]:

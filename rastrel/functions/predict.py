@@ -106,11 +106,11 @@ def block(p: np.ndarray, i: np.ndarray, r: np.ndarray, c: np.ndarray, n: int) ->
     return whole(top, left, p[i, y, x], r > 0, c > 0)
 
 
-def edges(p: np.ndarray, i: np.ndarray, y: np.ndarray, x: np.ndarray, right_row: np.ndarray) -> np.ndarray:
-    """(k, 13): the edge pixels of the 4x4 blocks at (y, x) of bordered planes; the right part of the top is taken from right_row."""
+def edges(p: np.ndarray, i: np.ndarray, y: np.ndarray, x: np.ndarray, right_row: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """(k, 13): the edge pixels of the 4x4 blocks at (y, x) of bordered planes, each ``width`` wide; the right part of the top is taken from right_row."""
     left = cut(p, i, y + 1, x, 4, 1)[:, ::-1, 0]
     top = cut(p, i, y, x, 1, 5)[:, 0]
-    right = p[i[:, None], right_row[:, None], np.minimum(x[:, None] + np.arange(5, 9), p.shape[-1] - 1)]
+    right = p[i[:, None], right_row[:, None], np.minimum(np.minimum(x[:, None] + np.arange(5, 9), width[:, None]), p.shape[-1] - 1)]
     return np.concatenate([left, top, right], -1)
 
 

@@ -1,18 +1,22 @@
 """Lossy key frames: mode decision, closed loop, tokens, and the decoder.
 
 The probabilities that the format defines (first coefficient probabilities, those of their updates, and
-those of 4x4 modes, 3,012 numbers) are a parameter, ``Tables``: ``Tables.load`` reads the ones of RFC 6386
-from a JSON file; ``Tables.plain`` builds others by rule. A stream can be read with the tables it was
-written with. Everything else follows RFC 6386.
-
-Syntax is walked by the same functions for writing and reading: ``code(bit, prob)`` writes the bit, or
-ignores it and reads one. The rest of the decoder shares only transforms and predictors with the encoder.
+those of 4x4 modes, 3,012 numbers) are a parameter, ``Tables``: ``Tables.load`` reads them from the text of
+RFC 6386, from which alone come streams that other decoders read; ``Tables.plain`` builds others by rule, for
+streams that stay with this engine. A stream can be read with the tables it was written with. Everything else
+follows RFC 6386. Images of one call may differ in size: their planes are padded with zeros to the largest, and
+what an image's own part is coded as doesn't depend on the padding.
+
+The syntax of headers and modes is walked by the same functions for writing and reading: ``code(bit, prob)``
+writes the bit, or ignores it and reads one. Tokens are written by whole frames and read one by one, by code
+of their own. The rest of the decoder shares only transforms and predictors with the encoder.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -27,6 +31,9 @@ EXTRA = {3: (11, [173, 148, 140]), 4: (19, [176, 155, 140, 135]), 5: (35, [180,
 COST_16, COST_UV = [663, 919, 872, 919], [302, 984, 439, 642]
 WEIGHT_SSE, WEIGHT_16, WEIGHT_4, WEIGHT_UV, PENALTY_4 = 256, 106, 11, 120, 1000
 START = b"\x9d\x01\x2a"
+# The shapes of the three tables, and the place of each 4x4 mode in the RFC's order.
+SHAPES = [(4, 8, 3, 11), (4, 8, 3, 11), (10, 10, 9)]
+RFC_MODES = [0, 1, 2, 3, 5, 6, 4, 7, 8, 9]
 
 
 @dataclass(frozen=True)
@@ -39,10 +46,23 @@ class Tables:
 
     @classmethod
     def load(cls, path: str) -> Tables:
-        """From a JSON object with the lists coeff, update and mode."""
-        with open(path) as f:
-            d = json.load(f)
-        return cls(*(np.array(d[k], np.int64).reshape(s) for k, s in (("coeff", (4, 8, 3, 11)), ("update", (4, 8, 3, 11)), ("mode", (10, 10, 9)))))
+        """From a JSON object with the lists coeff, update and mode, or from the arrays in the text of RFC 6386 (or of a C source that names them so)."""
+        with open(path, encoding="utf-8", errors="replace") as f:
+            text = f.read()
+        if text.lstrip().startswith("{"):
+            d = json.loads(text)
+            return cls(*(np.array(d[k], np.int64).reshape(s) for k, s in zip(("coeff", "update", "mode"), SHAPES, strict=True)))
+        text = re.sub(r"^.*(\[Page \d+\]|^RFC \d+ ).*$", "", text, flags=re.M)  # page feet and heads
+        text = re.sub(r"/\*.*?\*/|//[^\n]*", "", text, flags=re.S)
+        found = []
+        for name, shape in zip(("default_coeff_probs", "coeff_update_probs", "kf_bmode_probs"), SHAPES, strict=True):
+            m = re.search(rf"\b{name}\b[^=;]*=\s*(\{{.*?\}})\s*;", text, re.S)
+            numbers = [int(x) for x in re.findall(r"\d+", m[1])] if m else []
+            if len(numbers) != math.prod(shape) or not all(0 <= x <= 255 for x in numbers):
+                raise ValueError(f"{path} holds no array {name} of {math.prod(shape)} probabilities")
+            found.append(np.array(numbers, np.int64).reshape(shape))
+        at = np.array(RFC_MODES)
+        return cls(found[0], found[1], found[2][at[:, None], at[None, :]])
 
     @classmethod
     def plain(cls) -> Tables:
@@ -118,9 +138,10 @@ class Modes:
     fours: np.ndarray
 
 
-def decide(y: np.ndarray, u: np.ndarray, v: np.ndarray, index: int, t: Tables) -> Modes:
-    """Open-loop decision from source pixels: least weighted error; ties go to the smaller mode. Planes: (B, H, W)."""
+def decide(y: np.ndarray, u: np.ndarray, v: np.ndarray, index: int, t: Tables, width: np.ndarray | None = None) -> Modes:
+    """Open-loop decision from source pixels: least weighted error; ties go to the smaller mode. Planes: (B, H, W); width: of each image's own luma."""
     batch, mh, mw = y.shape[0], y.shape[1] // 16, y.shape[2] // 16
+    width = np.full(batch, y.shape[2]) if width is None else width
     planes = [predict.bordered(p) for p in (y, u, v)]
     shape = (batch, mh, mw)
     i, r, c = (x.ravel() for x in np.indices(shape))
@@ -141,7 +162,7 @@ def decide(y: np.ndarray, u: np.ndarray, v: np.ndarray, index: int, t: Tables) -
     bi, by, bx = (x.ravel() for x in np.indices((batch, h // 4, w // 4)))
     for at in np.array_split(np.arange(len(bi)), -(-len(bi) // 8192)):
         yy, xx = 4 * by[at], 4 * bx[at]
-        guess = predict.fours(predict.edges(p, bi[at], yy, xx, np.where(xx % 16 == 12, yy // 16 * 16, yy)))
+        guess = predict.fours(predict.edges(p, bi[at], yy, xx, np.where(xx % 16 == 12, yy // 16 * 16, yy), width[bi[at]]))
         own = predict.cut(p, bi[at], yy + 1, xx + 1, 4, 4)
         sse[bi[at], by[at], bx[at]] = ((own[:, None] - guess) ** 2).sum((-1, -2))
     costs = mode_costs(t) * WEIGHT_4
@@ -247,25 +268,26 @@ def _luma_levels(d: np.ndarray, s: quant.Steps, first: int, strength: np.ndarray
     return out
 
 
-def code_loop(y: np.ndarray, u: np.ndarray, v: np.ndarray, modes: Modes, index: int, strength: float | np.ndarray = 0.0) -> tuple[Levels, list[np.ndarray]]:
+def code_loop(y: np.ndarray, u: np.ndarray, v: np.ndarray, modes: Modes, index: int, strength: float | np.ndarray = 0.0, width: np.ndarray | None = None) -> tuple[Levels, list[np.ndarray]]:
     """The closed loop over planes (B, H, W): predict from what the decoder will have, transform, quantise, restore."""
     batch, mh, mw = modes.luma.shape
     out = Levels(*(np.zeros((batch, mh, mw, *s), np.int64) for s in ((16,), (16, 16), (8, 16))))
-    return out, _loop(modes, index, out, [p.astype(np.int64) for p in (y, u, v)], strength)
+    return out, _loop(modes, index, out, [p.astype(np.int64) for p in (y, u, v)], strength, width)
 
 
-def _loop(modes: Modes, index: int, lv: Levels, sources: list[np.ndarray] | None, strength: float | np.ndarray = 0.0) -> list[np.ndarray]:
+def _loop(modes: Modes, index: int, lv: Levels, sources: list[np.ndarray] | None, strength: float | np.ndarray = 0.0, width: np.ndarray | None = None) -> list[np.ndarray]:
     """Restores planes from levels, wave by wave; with sources, finds the levels first."""
     batch, mh, mw = modes.luma.shape
     m = quant.matrices(index)
     strength = np.broadcast_to(np.asarray(strength, float), batch)
+    width = np.full(batch, 16 * mw) if width is None else width
     planes = [predict.bordered(np.zeros((batch, mh * n, mw * n), np.int64)) for n in (16, 8, 8)]
     for i, r, c in waves(batch, mh, mw, 2):
         small = modes.small[i, r, c]
         for whole in (True, False):
             k = np.flatnonzero(small != whole)
             if len(k):
-                (_whole if whole else _small)(planes[0], sources and sources[0], modes, lv, m, i[k], r[k], c[k], strength[i[k]])
+                (_whole if whole else _small)(planes[0], sources and sources[0], modes, lv, m, i[k], r[k], c[k], strength[i[k]], width[i[k]])
         for n, p in enumerate(planes[1:]):
             a, b = 8 * r, 8 * c
             guess = predict.block(p, i, r, c, 8)[np.arange(len(i)), modes.chroma[i, r, c]]
@@ -278,7 +300,7 @@ def _loop(modes: Modes, index: int, lv: Levels, sources: list[np.ndarray] | None
     return [p[:, 1:, 1:] for p in planes]
 
 
-def _whole(p, source, modes, lv, m, i, r, c, strength) -> None:
+def _whole(p, source, modes, lv, m, i, r, c, strength, _width) -> None:
     """Macroblocks with one luma mode."""
     guess = predict.block(p, i, r, c, 16)[np.arange(len(i)), modes.luma[i, r, c]]
     if source is not None:
@@ -291,88 +313,156 @@ def _whole(p, source, modes, lv, m, i, r, c, strength) -> None:
     predict.put(p, i, 16 * r + 1, 16 * c + 1, np.clip(guess + _join(res), 0, 255))
 
 
-def _small(p, source, modes, lv, m, i, r, c, strength) -> None:
+def _small(p, source, modes, lv, m, i, r, c, strength, width) -> None:
     """Macroblocks with sixteen luma modes."""
     for k in range(16):
         a, b = 16 * r + k // 4 * 4, 16 * c + k % 4 * 4
-        guess = predict.fours(predict.edges(p, i, a, b, 16 * r if k % 4 == 3 else a))[np.arange(len(i)), modes.fours[i, r, c, k]]
+        guess = predict.fours(predict.edges(p, i, a, b, 16 * r if k % 4 == 3 else a, width))[np.arange(len(i)), modes.fours[i, r, c, k]]
         if source is not None:
             lv.y[i, r, c, k] = _luma_levels(transform.fdct(predict.cut(source, i, a, b, 4, 4) - guess).reshape(-1, 16), m["y1"], 0, strength)
         res = transform.idct(quant.dequantize(lv.y[i, r, c, k], m["y1"]).reshape(-1, 4, 4))
         predict.put(p, i, a + 1, b + 1, np.clip(guess + res, 0, 255))
 
 
-def _walk_block(code, p: list, ctx: int, first: int, levels: list[int] | None) -> tuple[int, list[int]]:
-    """One block in scan order; returns whether it has a level, and the levels."""
-    out = [0] * 16
-    last = max((i for i in range(first, 16) if levels[i]), default=-1) if levels is not None else 16
-    i, q, free = first, p[BANDS[first]][ctx], False
-
-    def bit(b, node):
-        return code(b, q[node])
-
+def _read_block(code, p: list, ctx: int, first: int, out: np.ndarray) -> int:
+    """One block in scan order into out (raster); returns whether it has a level."""
+    i, q, free, some = first, p[BANDS[first]][ctx], False, 0
     while i < 16:
-        if not free and not bit(i <= last, 0):
+        if not free and not code(None, q[0]):
             break
-        v = levels[i] if levels is not None else 0
-        a = abs(v)
-        if not bit(a != 0, 1):
+        if not code(None, q[1]):
             i, free = i + 1, True
             q = p[BANDS[i]][0]
             continue
         nxt = 2
-        if not bit(a > 1, 2):
+        if not code(None, q[2]):
             a, nxt = 1, 1
-        elif not bit(a > 4, 3):
-            a = 2 if not bit(a > 2, 4) else 3 + bit(a == 4, 5)
-        elif not bit(a > 10, 6):
-            if not bit(a > 6, 7):
-                a = 5 + code(a == 6, 159)
-            else:
-                a = 7 + 2 * code((a - 7) >> 1 & 1, 165) + code((a - 7) & 1, 145)
+        elif not code(None, q[3]):
+            a = 2 if not code(None, q[4]) else 3 + code(None, q[5])
+        elif not code(None, q[6]):
+            a = 5 + code(None, 159) if not code(None, q[7]) else 7 + 2 * code(None, 165) + code(None, 145)
         else:
-            high = bit(a >= 35, 8)
-            base, probs = EXTRA[3 + 2 * high + bit(a >= (67 if high else 19), 9 + high)]
-            rest, n = a - base, len(probs)
-            a = base + sum(code(rest >> (n - 1 - k) & 1, x) << (n - 1 - k) for k, x in enumerate(probs))
-        out[i] = -a if code(v < 0, 128) else a
-        i, free = i + 1, False
+            high = code(None, q[8])
+            a, probs = EXTRA[3 + 2 * high + code(None, q[9 + high])]
+            for k, x in enumerate(probs):
+                a += code(None, x) << (len(probs) - 1 - k)
+        out[quant.ZIGZAG[i]] = -a if code(None, 128) else a
+        i, free, some = i + 1, False, 1
         q = p[BANDS[i]][nxt]
-    return int(any(out)), out
+    return some
 
 
-def _walk_tokens(code, probs: list, small: np.ndarray, skip: np.ndarray, given: Levels | None) -> Levels:
+def _read_tokens(code, probs: list, small: np.ndarray, skip: np.ndarray) -> Levels:
     """All blocks of a frame; small and skip: (mh, mw)."""
     mh, mw = small.shape
     out = Levels(*(np.zeros((mh, mw, *s), np.int64) for s in ((16,), (16, 16), (8, 16))))
     above = [[0] * 9 for _ in range(mw)]
     for r in range(mh):
-        beside = [0] * 9
+        lf = [0] * 9
         for c in range(mw):
-            up, lf = above[c], beside
-            four = bool(small[r, c])
+            up, four = above[c], bool(small[r, c])
             if skip[r, c]:
                 up[:8], lf[:8] = [0] * 8, [0] * 8
                 if not four:
                     up[8] = lf[8] = 0
                 continue
-
-            def walk(kind, first, target, source, a, b):
-                nz, lv = _walk_block(code, probs[kind], up[a] + lf[b], first, None if source is None else source[ZIG].tolist())
-                target[ZIG] = lv
-                up[a] = lf[b] = nz
-
-            src = (None, [None] * 16, [None] * 8) if given is None else (given.y2[r, c], given.y[r, c], given.uv[r, c])
             if not four:
-                walk(1, 0, out.y2[r, c], src[0], 8, 8)
+                up[8] = lf[8] = _read_block(code, probs[1], up[8] + lf[8], 0, out.y2[r, c])
+            kind, first = (probs[3], 0) if four else (probs[0], 1)
             for k in range(16):
-                walk(3 if four else 0, 0 if four else 1, out.y[r, c, k], src[1][k], k % 4, k // 4)
+                i, j = divmod(k, 4)
+                up[j] = lf[i] = _read_block(code, kind, up[j] + lf[i], first, out.y[r, c, k])
             for k in range(8):
-                base = 4 + 2 * (k // 4)
-                walk(2, 0, out.uv[r, c, k], src[2][k], base + k % 2, base + k % 4 // 2)
+                i, j = 4 + 2 * (k // 4) + k % 4 // 2, 4 + 2 * (k // 4) + k % 2
+                up[j] = lf[i] = _read_block(code, probs[2], up[j] + lf[i], 0, out.uv[r, c, k])
     return out
 
 
+#: Places in the list of probabilities that recorded tokens refer to: below 256 the probability itself, then one for each slot.
+SLOTS = (256 + np.arange(4 * 8 * 3 * 11)).reshape(4, 8, 3, 11)
+
+
+def _neighbours(nz: np.ndarray) -> np.ndarray:
+    """The flag above plus the flag to the left, 0 outside."""
+    out = np.zeros_like(nz)
+    out[1:] += nz[:-1]
+    out[:, 1:] += nz[:, :-1]
+    return out
+
+
+def _last_valid(x: np.ndarray, valid: np.ndarray, axis: int) -> np.ndarray:
+    """Before each place along an axis, the last valid value, or 0."""
+    x, valid = np.moveaxis(x, axis, 0), np.moveaxis(valid, axis, 0)
+    at = np.maximum.accumulate(np.where(valid, np.arange(len(x))[:, None], -1), 0)
+    out = np.zeros_like(x)
+    out[1:] = np.where(at[:-1] >= 0, np.take_along_axis(x, np.maximum(at[:-1], 0), 0), 0)
+    return np.moveaxis(out, 0, axis)
+
+
+def tokens(small: np.ndarray, skip: np.ndarray, lv: Levels) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of all blocks of a frame in order, and the slots of their probabilities.
+
+    Contexts come from whole planes of flags. Every place of a block that is sent has a row of at most nineteen bits,
+    of which those that apply are taken.
+    """
+    mh, mw = small.shape
+    coded = ~skip
+    scan = [x[..., ZIG] for x in (lv.y2[:, :, None], lv.y, lv.uv)]
+    scan[1] = np.where((np.arange(16) > 0) | small[..., None, None], scan[1], 0)
+    flag = [(x != 0).any(-1) & coded[..., None] for x in scan]
+    whole = flag[0][..., 0] & ~small
+    ctx2 = sum(_last_valid(whole.astype(np.int64), ~small, axis) for axis in (0, 1))
+    grid = lambda x, n: x.reshape(mh, mw, n, n).transpose(0, 2, 1, 3).reshape(mh * n, mw * n).astype(np.int64)
+    back = lambda x, n: x.reshape(mh, n, mw, n).transpose(0, 2, 1, 3).reshape(mh, mw, n * n)
+    ctx = np.concatenate([ctx2[..., None], back(_neighbours(grid(flag[1], 4)), 4), *(back(_neighbours(grid(flag[2][..., k : k + 4], 2)), 2) for k in (0, 4))], -1)
+    four = np.broadcast_to(small[..., None], (mh, mw, 16))
+    kind = np.concatenate([np.full((mh, mw, 1), 1), np.where(four, 3, 0), np.full((mh, mw, 8), 2)], -1)
+    sent = np.concatenate([(coded & ~small)[..., None], np.broadcast_to(coded[..., None], (mh, mw, 24))], -1).ravel()
+    v = np.concatenate(scan, 2).reshape(-1, 16)[sent]
+    ctx, kind = ctx.ravel()[sent], kind.ravel()[sent]
+    first = (kind == 0).astype(np.int64)
+    a = np.abs(v)
+    last = np.where(a.any(1), 15 - (a[:, ::-1] != 0).argmax(1), -1)
+    place = np.arange(16)
+    inside = (place >= first[:, None]) & (place <= last[:, None])
+    end = place == np.maximum(last + 1, first)[:, None]
+    b, i = np.nonzero(inside | end)
+    own, value, size = inside[b, i], v[b, i], a[b, i]
+    before = np.where(i > 0, a[b, np.maximum(i - 1, 0)], 0)
+    start = i == first[b]
+    slot = SLOTS[kind[b], np.array(BANDS)[i], np.where(start, ctx[b], np.minimum(before, 2))]  # (n, 11)
+    bits, at, on = (np.zeros((len(b), 19), k) for k in (bool, np.int64, bool))
+
+    def put(column, when, bit, where):
+        on[:, column] |= when
+        bits[:, column] = np.where(when, bit, bits[:, column])
+        at[:, column] = np.where(when, where, at[:, column])
+
+    put(0, ~own | start | (before > 0), own, slot[:, 0])
+    put(1, own, size > 0, slot[:, 1])
+    put(2, size > 0, size > 1, slot[:, 2])
+    two = size > 1
+    put(3, two, size > 4, slot[:, 3])
+    low = two & (size <= 4)
+    put(4, low, size > 2, slot[:, 4])
+    put(5, low & (size > 2), size == 4, slot[:, 5])
+    put(4, size > 4, size > 10, slot[:, 6])
+    mid = (size > 4) & (size <= 10)
+    put(5, mid, size > 6, slot[:, 7])
+    put(6, mid & (size <= 6), size == 6, 159)
+    put(6, mid & (size > 6), (size - 7) >> 1 & 1, 165)
+    put(7, mid & (size > 6), (size - 7) & 1, 145)
+    big, high = size > 10, size >= 35
+    put(5, big, high, slot[:, 8])
+    put(6, big, size >= np.where(high, 67, 19), np.where(high, slot[:, 10], slot[:, 9]))
+    for c, (base, probs) in EXTRA.items():
+        when = big & (size >= base) & (size < (EXTRA[c + 1][0] if c < 6 else 1 << 30))
+        for k, p in enumerate(probs):
+            put(7 + k, when, (size - base) >> (len(probs) - 1 - k) & 1, p)
+    put(18, size > 0, value < 0, 128)
+    return bits[on], at[on]
+
+
 def _walk_modes(coder, t: Tables, modes: Modes | None, skip: np.ndarray | None, prob_skip: int | None, mh: int, mw: int) -> tuple[Modes, np.ndarray]:
     out = Modes(np.zeros((mh, mw), bool), *(np.zeros((mh, mw), np.int64) for _ in range(2)), np.zeros((mh, mw, 16), np.int64))
     skipped = np.zeros((mh, mw), bool)
@@ -417,15 +507,11 @@ def fit_probabilities(n0: np.ndarray, n1: np.ndarray, old: np.ndarray, update: n
     return new, (n >= 24) & (bits(old) - bits(new) > np.maximum(14, send))
 
 
-#: Places in the list of probabilities that a recorded walk refers to: below 256 the probability itself, then one for each slot.
-SLOTS = (256 + np.arange(4 * 8 * 3 * 11)).reshape(4, 8, 3, 11)
-
-
 def write_frame(h: int, w: int, modes: Modes, levels: Levels, index: int, t: Tables | None = None, adapt: bool = True) -> bytes:
     """One image's key frame. With adapt, fitted probabilities are sent if the frame gets smaller so.
 
-    The tokens are walked once, as bits with the slots of their probabilities; counts by slot give the fitted
-    probabilities and the bits that either choice takes.
+    The tokens are bits with the slots of their probabilities; counts by slot give the fitted probabilities and the
+    bits that either choice takes.
     """
     t = t or _plain()
     mh, mw = modes.luma.shape
@@ -434,15 +520,7 @@ def write_frame(h: int, w: int, modes: Modes, levels: Levels, index: int, t: Tab
     prob_skip = prob if prob < 250 and skip.any() else None
     if prob_skip is None:
         skip = np.zeros_like(skip)
-    bits, slots = [], []
-
-    def record(bit, slot):
-        bits.append(int(bit))
-        slots.append(slot)
-        return bit
-
-    _walk_tokens(record, SLOTS.tolist(), modes.small, skip, levels)
-    at, one = np.array(slots, np.int64), np.array(bits, bool)
+    one, at = tokens(modes.small, skip, levels)
     n1 = np.bincount(at[one], minlength=256 + SLOTS.size)[256:].reshape(SLOTS.shape)
     n0 = np.bincount(at, minlength=256 + SLOTS.size)[256:].reshape(SLOTS.shape) - n1
     fitted = None
@@ -455,7 +533,7 @@ def write_frame(h: int, w: int, modes: Modes, levels: Levels, index: int, t: Tab
     head, body = boolcoder.Writer(), boolcoder.Writer()
     probs, _ = _walk_header(head, index, t, fitted, prob_skip)
     _walk_modes(head, t, modes, skip, prob_skip, mh, mw)
-    body.run(bits, np.concatenate([np.arange(256), probs.ravel()])[at].tolist())
+    body.run(one.tolist(), np.concatenate([np.arange(256), probs.ravel()])[at].tolist())
     first, second = head.finish(), body.finish()
     tag = (1 << 4) | (len(first) << 5)
     out = tag.to_bytes(3, "little") + START + (w & 0x3FFF).to_bytes(2, "little") + (h & 0x3FFF).to_bytes(2, "little") + first + second
@@ -500,7 +578,7 @@ def read_frame(data: bytes, t: Tables | None = None) -> tuple[np.ndarray, np.nda
     head = boolcoder.Reader(data[10 : 10 + size])
     probs, got = _walk_header(head, None, t, None, None)
     modes, skip = _walk_modes(head, t, None, None, got.get("skip"), mh, mw)
-    levels = _walk_tokens(boolcoder.Reader(data[10 + size :]).code, probs.tolist(), modes.small, skip, None)
+    levels = _read_tokens(boolcoder.Reader(data[10 + size :]).code, probs.tolist(), modes.small, skip)
     planes = _restore(modes, levels, got["index"])
     if got["level"]:
         _filter(planes[0], modes, levels, got["level"])
@@ -514,43 +592,54 @@ def _restore(modes: Modes, levels: Levels, index: int) -> list[np.ndarray]:
 
 
 def _filter(y: np.ndarray, modes: Modes, levels: Levels, level: int) -> None:
-    """The simple loop filter, in place."""
-    empty = levels.empty()
-    clamp = lambda x: np.clip(x, -128, 127)
-
-    def smooth(p1, p0, q0, q1, limit):
+    """The simple loop filter, in place, wave by wave."""
+    mh, mw = modes.small.shape
+    inner = modes.small | ~levels.empty()
+    clamp = lambda x: np.minimum(np.maximum(x, -128), 127)
+
+    def smooth(rows, cols, limit):
+        """Across an edge: four pixels in a row along the last axis; the two in the middle change."""
+        p1, p0, q0, q1 = (y[rows[..., k], cols[..., k]] for k in range(4))
         on = 2 * np.abs(p0 - q0) + (np.abs(p1 - q1) >> 1) <= limit
         a = clamp(clamp(p1 - q1) + 3 * (q0 - p0))
-        return np.where(on, clamp(p0 - 128 + (clamp(a + 3) >> 3)) + 128, p0), np.where(on, clamp(q0 - 128 - (clamp(a + 4) >> 3)) + 128, q0)
-
-    mh, mw = empty.shape
-    for r in range(mh):
-        for c in range(mw):
-            inner = modes.small[r, c] or not empty[r, c]
-            a, b = 16 * r, 16 * c
-            for x in range(b, b + 16, 4):
-                if x and (x == b or inner):
-                    s = y[a : a + 16, x - 2 : x + 2]
-                    s[:, 1], s[:, 2] = smooth(*s.T.copy(), 2 * level + level + 4 * (x == b))
-            for z in range(a, a + 16, 4):
-                if z and (z == a or inner):
-                    s = y[z - 2 : z + 2, b : b + 16]
-                    s[1], s[2] = smooth(*s.copy(), 2 * level + level + 4 * (z == a))
+        y[rows[..., 1], cols[..., 1]] = np.where(on, clamp(p0 - 128 + (clamp(a + 3) >> 3)) + 128, p0)
+        y[rows[..., 2], cols[..., 2]] = np.where(on, clamp(q0 - 128 - (clamp(a + 4) >> 3)) + 128, q0)
+
+    along, across = np.arange(16)[None, :, None], np.arange(-2, 2)[None, None, :]
+    for _, r, c in waves(1, mh, mw, 2):
+        for vertical in (True, False):
+            for step in range(0, 16, 4):
+                k = np.flatnonzero(inner[r, c]) if step else np.flatnonzero((c if vertical else r) > 0)
+                if len(k):
+                    a, b = 16 * r[k, None, None], 16 * c[k, None, None]
+                    rows, cols = (a + along, b + step + across) if vertical else (a + step + across, b + along)
+                    smooth(*np.broadcast_arrays(rows, cols), 3 * level + (0 if step else 4))
+
+
+def _stacked(planes: list[np.ndarray]) -> np.ndarray:
+    """Planes of any sizes as one array, zeros below and to the right."""
+    out = np.zeros((len(planes), *(max(p.shape[k] for p in planes) for k in (0, 1))), np.int64)
+    for o, p in zip(out, planes, strict=True):
+        o[: p.shape[0], : p.shape[1]] = p
+    return out
 
 
 def encode_rgb(images: list[np.ndarray], quality: float = 90, t: Tables | None = None, adapt: bool = True, strength: float | np.ndarray = 0.0) -> list[tuple[bytes, float]]:
-    """Frames of images (h, w, 3) of one macroblock grid, and the PSNR of each one's planes before the loop filter. strength: one, or one for each image."""
+    """Frames of images (h, w, 3), and the PSNR of each one's planes before the loop filter. strength: one, or one for each image."""
     t = t or _plain()
     index = quant.quality_index(quality)
-    y, u, v = (np.stack(p) for p in zip(*(color.yuv420(i) for i in images), strict=True))
-    modes = decide(y, u, v, index, t)
-    levels, rebuilt = code_loop(y, u, v, modes, index, strength)
+    parts = [color.yuv420(i) for i in images]
+    width = np.array([p[0].shape[1] for p in parts])
+    y, u, v = (_stacked(list(p)) for p in zip(*parts, strict=True))
+    modes = decide(y, u, v, index, t, width)
+    levels, rebuilt = code_loop(y, u, v, modes, index, strength, width)
     out = []
     for i, image in enumerate(images):
         h, w = image.shape[:2]
-        one = Modes(*(x[i] for x in (modes.small, modes.luma, modes.chroma, modes.fours)))
-        lv = Levels(levels.y2[i], levels.y[i], levels.uv[i])
-        sse = sum(int(((a[i].astype(np.int64) - b[i])[:hh, :ww] ** 2).sum()) for a, b, hh, ww in zip((y, u, v), rebuilt, (h, h // 2, h // 2), (w, w // 2, w // 2), strict=True))
+        own = np.s_[i, : -(-h // 16), : -(-w // 16)]
+        one = Modes(*(x[own] for x in (modes.small, modes.luma, modes.chroma, modes.fours)))
+        lv = Levels(levels.y2[own], levels.y[own], levels.uv[own])
+        sse = sum(int(((a[i] - b[i])[:hh, :ww] ** 2).sum()) for a, b, hh, ww in zip((y, u, v), rebuilt, (h, h // 2, h // 2), (w, w // 2, w // 2), strict=True))
         mse = sse / (h * w + 2 * (h // 2) * (w // 2))
         out.append((write_frame(h, w, one, lv, index, t, adapt), 99.0 if mse <= 0 else 10 * math.log10(65025 / mse)))
     return out

@@ -73,6 +73,12 @@ _PICTURES = f"""{_PLANE}, pic AS (
 
 _PACKET = r"""t AS (SELECT conv_id, role AS key, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations WHERE text IS NOT NULL)"""
 
+
+
+def _escaped(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
 SQL = {
     "psnr_by_label": f"""WITH {_PLANE}, q AS (SELECT label, px, px - ((px + 8) >> 4) * 16 AS d FROM plane)
 SELECT label, count(*) AS n, sum(px)::BIGINT AS sum_px, sum(d * d)::BIGINT AS sse, round(CASE WHEN sum(d * d) <= 0 THEN 99.0 ELSE 10 * log10(65025.0::DOUBLE * count(*) / sum(d * d)) END, 6) AS psnr FROM q GROUP BY label""",
@@ -99,8 +105,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cost, mode) AS n
     "mode_top3": f"WITH {_NEIGHBOURS}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sse, mode) - 1 AS n FROM s) SELECT vec_id, n::INT AS rank, mode::INT AS mode, sse FROM r WHERE n < 3",
     "rgb_to_y": """WITH y AS (SELECT least(255, greatest(0, (16839 * (l_partkey % 256) + 33059 * (l_suppkey % 256) + 6420 * l_quantity::BIGINT + 32768 + 1048576) >> 16))::BIGINT AS y FROM lineitem)
 SELECT y, count(*) AS n FROM y GROUP BY y""",
-    "rgb_to_uv": """WITH s AS (SELECT l_orderkey, sum(l_partkey % 256)::BIGINT AS r, sum(l_suppkey % 256)::BIGINT AS g, sum(l_quantity::BIGINT)::BIGINT AS b FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_orderkey HAVING count(*) = 4)
-SELECT l_orderkey, least(255, greatest(0, (-9719 * r - 19081 * g + 28800 * b + 131072 + 33554432) >> 18))::BIGINT AS u, least(255, greatest(0, (28800 * r - 24116 * g - 4684 * b + 131072 + 33554432) >> 18))::BIGINT AS v FROM s""",
+    "rgb_to_uv": """WITH p AS (SELECT l_orderkey, l_partkey % 256 AS r, l_suppkey % 256 AS g, l_quantity::BIGINT AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 256, l_suppkey % 256, l_quantity::BIGINT) - 1 AS n FROM lineitem),
+c AS (SELECT l_orderkey, n // 4 AS cell, sum(r) + (4 - count(*)) * arg_max(r, n) AS r, sum(g) + (4 - count(*)) * arg_max(g, n) AS g, sum(b) + (4 - count(*)) * arg_max(b, n) AS b FROM p GROUP BY ALL),
+s AS (SELECT l_orderkey, cell::INT AS cell, r::BIGINT AS r, g::BIGINT AS g, b::BIGINT AS b FROM c)
+SELECT l_orderkey, cell, least(255, greatest(0, (-9719 * r - 19081 * g + 28800 * b + 131072 + 33554432) >> 18))::BIGINT AS u, least(255, greatest(0, (28800 * r - 24116 * g - 4684 * b + 131072 + 33554432) >> 18))::BIGINT AS v FROM s""",
     "quality_to_q": """WITH q AS (SELECT i AS quality, i / 100.0::DOUBLE AS c FROM generate_series(1, 100) t(i))
 SELECT quality::INT AS quality, floor(127 * (1 - pow(CASE WHEN c < 0.75 THEN 2.0::DOUBLE * c / 3.0 ELSE 2.0::DOUBLE * c - 1.0 END, 1.0::DOUBLE / 3)))::INT AS q FROM q""",
     "quant_matrix": f"""WITH l AS (SELECT {quant.DC} AS dc, {quant.AC} AS ac, {quant.SHARPEN} AS sh), q AS (
@@ -152,10 +160,11 @@ SELECT a.sym::INT AS sym, a.len::INT AS len, (coalesce((SELECT sum(1 << (15 - b.
 p AS (SELECT *, least(255, greatest(1, (n0 * 256 + (n0 + n1) // 2) // (n0 + n1)))::INT AS new_p FROM n), b AS (SELECT *, (n0 + n1)::DOUBLE + n0 * log2(new_p / 256.0) + n1 * log2(1 - new_p / 256.0) AS s FROM p)
 SELECT k, n0, n1, new_p, round(s, 4) AS saved, n0 + n1 >= 24 AND s > 14 AS send FROM b""",
     "alpha_roundtrip": f"WITH {_PLANE} SELECT vec_id, sum((px >> 6) << 6)::BIGINT AS total, true AS same FROM plane GROUP BY vec_id",
-    "xmp_build": f"""WITH {_PACKET}, f AS (SELECT conv_id, i, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS v, replace(replace(replace(key, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS key, base64(encode(text)) AS raw, 'Text' || i::VARCHAR AS p FROM t),
-x AS (SELECT conv_id, i, '   <pngmeta:' || p || 'Type>tEXt</pngmeta:' || p || 'Type>' || chr(10) || '   <pngmeta:' || p || 'Key>' || key || '</pngmeta:' || p || 'Key>' || chr(10) || '   <pngmeta:' || p || 'Value>' || v || '</pngmeta:' || p || 'Value>' || chr(10) || '   <pngmeta:' || p || 'Raw>' || raw || '</pngmeta:' || p || 'Raw>' || chr(10) AS s FROM f)
-SELECT conv_id, count(*) AS n, md5(string_agg(s, '' ORDER BY i)) AS md5 FROM x GROUP BY conv_id""",
-    "xmp_parse": f"WITH {_PACKET} SELECT conv_id, i::INT AS i, md5(text) AS md5 FROM t",
+    "xmp_build": f"""WITH {_PACKET}, f AS (SELECT conv_id, i, {_escaped('key')} AS key, {_escaped('text')} AS v, base64(encode(text)) AS raw FROM t),
+x AS (SELECT conv_id, count(*) AS n, string_agg('<rdf:li rdf:parseType="Resource"><chunk:kind>tEXt</chunk:kind><chunk:keyword>' || key || '</chunk:keyword><chunk:content>' || v || '</chunk:content><chunk:payload>' || raw || '</chunk:payload></rdf:li>', '' ORDER BY i) AS s FROM f GROUP BY conv_id)
+SELECT conv_id, n, md5('<?xpacket begin="' || chr(65279) || '" id="W5M0MpCehiHzreSzNTczkc9d"?><x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" xmlns:chunk="urn:rastrel:chunks"><chunk:list><rdf:Seq>'
+  || s || '</rdf:Seq></chunk:list></rdf:Description></rdf:RDF></x:xmpmeta><?xpacket end="w"?>') AS md5 FROM x""",
+    "xmp_parse": f"WITH {_PACKET} SELECT conv_id, i::INT AS i, key, text AS value, md5(text) AS md5 FROM t",
     "outcome_rollup": f"""WITH {_OUTCOMES} SELECT (user_id % 10)::INT AS worker, count(*) AS total, count(*) FILTER (status = 'ok') AS done, count(*) FILTER (status = 'fallback') AS fallbacks, count(*) FILTER (status = 'fail') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
 sum(src_bytes)::BIGINT AS src_bytes, sum(dst_bytes)::BIGINT AS dst_bytes, round(sum(dst_bytes) / sum(src_bytes), 6) AS ratio, round(100 * (1 - sum(dst_bytes) / sum(src_bytes)), 4) AS saved_percent FROM o GROUP BY 1""",
     "progress_window": f"""WITH {_OUTCOMES}, h AS (SELECT date_trunc('hour', ts) AS hour, status, count(*) AS n, min(src_bytes) AS least FROM o GROUP BY ALL)
@@ -166,5 +175,18 @@ SELECT note, CASE WHEN note IS NULL THEN 'ok' WHEN b IS NULL OR b = 'PSNR' THEN
     "keep_smaller": """WITH e AS (SELECT event_id, floor(value)::BIGINT AS a, floor(value * 0.9::DOUBLE)::BIGINT AS b, event_id % 4 AS p FROM events WHERE value IS NOT NULL)
 SELECT event_id, CASE WHEN p > 0 AND b < a THEN 2 ELSE 1 END::INT AS attempt, CASE WHEN p > 0 AND b < a THEN b ELSE a END AS size FROM e""",
     "rate_scale": """WITH e AS (SELECT (floor(value * 10)::BIGINT % 100) / 10.0::DOUBLE + 38 AS p FROM events) SELECT round(sqrt(least(8.0::DOUBLE, exp((p - 40) / 1.15::DOUBLE))), 2) AS root, count(*) AS n FROM e WHERE p > 40.15::DOUBLE GROUP BY 1""",
-    "convert_corpus": "SELECT 'ok' AS status, count(*) AS n, 0::BIGINT AS low FROM embeddings",
+    "convert_corpus": f"""WITH {_PLANE}, pic AS (SELECT DISTINCT vec_id // 24 AS p FROM embeddings), size AS (SELECT p, (48 - p % 5)::INT AS w, (32 - p % 3)::INT AS h FROM pic),
+px AS (SELECT vec_id // 24 AS p, vec_id % 24 // 6 * 8 + pos // 8 AS y, vec_id % 24 % 6 * 8 + pos % 8 AS x, px FROM plane),
+s AS (SELECT p, sum(px)::BIGINT AS total FROM px JOIN size USING (p) WHERE x < w AND y < h GROUP BY p)
+SELECT 't/' || (p % 10)::VARCHAR || '/' || p::VARCHAR || '.png' AS rel, 't/' || (p % 10)::VARCHAR || '/' || p::VARCHAR || '.webp' AS out_path, w, h, p % 3 = 0 OR (p % 4 >= 2 AND total > 0) AS extended,
+  (255 * w * h - CASE WHEN p % 4 >= 2 THEN total ELSE 0 END)::BIGINT AS alpha, CASE WHEN p % 3 = 0 THEN 'Title' END AS key, CASE WHEN p % 3 = 0 THEN 'picture ' || p::VARCHAR END AS value, CASE WHEN p % 3 = 0 THEN 2835::BIGINT END AS per_meter
+FROM size JOIN s USING (p)""",
+    "batch_slices": f"""WITH {_SIZES} SELECT ((w + 15) // 16)::INT AS mb_w, rel, (row_number() OVER (PARTITION BY (w + 15) // 16 ORDER BY rel) - 1) // 16 AS batch_id FROM sizes""",
+    "byte_slices": f"""WITH RECURSIVE {_INPUTS}, o AS (SELECT page_id, page_id % 3 AS k, size, row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id) AS n FROM inputs),
+g AS (SELECT k, n, page_id, 0 AS grp, size AS held FROM o WHERE n = 1 UNION ALL SELECT o.k, o.n, o.page_id, CASE WHEN g.held > 0 AND g.held + o.size > 16384 THEN g.grp + 1 ELSE g.grp END, CASE WHEN g.held > 0 AND g.held + o.size > 16384 THEN o.size ELSE g.held + o.size END FROM g JOIN o ON o.k = g.k AND o.n = g.n + 1)
+SELECT k::INT AS k, page_id, grp::BIGINT AS group_id FROM g""",
+    "crc_sample": f"""WITH RECURSIVE {_INPUTS}, step(i, k, c) AS (SELECT i, 0, i::BIGINT FROM generate_series(0, 255) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+crc AS (SELECT rel, list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(hex(encode(rel)), 2 * j - 1, 2))::BIGINT FOR j IN generate_series(1, strlen(rel))]), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])) AS c FROM inputs, tab)
+SELECT rel FROM crc WHERE xor(c, 4294967295) % 100 < 10""",
 }

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import lossless, png, quant
-from .operators import convert, outcomes
+from .functions import containers, lossless, png, quant, vp8
+from .operators import convert, kernels, outcomes
 from .plans import batching
 from .sources import files
-from .tables import inputs, load, pictures, pixels, planes, sizes
+from .tables import inputs, load, pictures, pixels, planes, sizes, tiled
 
 QUALITY = 75
 
@@ -38,73 +41,37 @@ def run_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return outcomes.runs(p, ["vec_id"], "pos", "v").groupBy("v", "run").agg(F.count("*").alias("n"))
 
 
-def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """vec_id, block, i, j, d: residuals from 128 of the four 4x4 blocks of each plane. All that follows is by vec_id: one exchange."""
-    y, x = F.floor(F.col("pos") / 8), F.col("pos") % 8
-    p = pixels(spark, sf).repartition("vec_id")
-    return p.select("vec_id", (F.floor(y / 4) * 2 + F.floor(x / 4)).cast("int").alias("block"), (y % 4).cast("int").alias("i"), (x % 4).cast("int").alias("j"), (F.col("px") - 128).alias("d"))
-
-
-def _four(df: DataFrame, keys: list[str], place: str, value: str) -> DataFrame:
-    """One row for each key with the values at places 0 to 3 as d0 to d3."""
-    return df.groupBy(*keys).agg(*(F.sum(F.when(F.col(place) == k, F.col(value))).alias(f"d{k}") for k in range(4)))
-
-
-def _spread(df: DataFrame, keys: list[str], place: str, value: str, cols: list[Column]) -> DataFrame:
-    return df.select(*keys, F.posexplode(F.array(*cols)).alias(place, value))
-
-
-def _fdct(spark: SparkSession, sf: str) -> DataFrame:
-    d = [F.col(f"d{k}") for k in range(4)]
-    outer, inner, low, high = d[0] + d[3], d[1] + d[2], d[1] - d[2], d[0] - d[3]
-    sr = F.shiftright
-    rows = _four(_blocks(spark, sf), ["vec_id", "block", "i"], "j", "d")
-    t = _spread(rows, ["vec_id", "block", "i"], "j", "t", [(outer + inner) * 8, sr(low * 2217 + high * 5352 + 1812, 9), (outer - inner) * 8, sr(high * 2217 - low * 5352 + 937, 9)])
-    cols = _four(t, ["vec_id", "block", "j"], "i", "t")
-    out = [sr(outer + inner + 7, 4), sr(low * 2217 + high * 5352 + 12000, 16) + F.when(high != 0, 1).otherwise(0), sr(outer - inner + 7, 4), sr(high * 2217 - low * 5352 + 51000, 16)]
-    return _spread(cols, ["vec_id", "block", "j"], "i", "c", out).select("vec_id", "block", (F.col("i") * 4 + F.col("j")).alias("k"), "c")
+def _whole(spark: SparkSession, sf: str) -> DataFrame:
+    return planes(spark, sf).where("vec_id IS NOT NULL AND size(px) = 64 AND forall(px, x -> x IS NOT NULL)").select("vec_id", "px")
 
 
 def fdct(spark: SparkSession, sf: str) -> DataFrame:
     """F10."""
-    return _fdct(spark, sf).select("vec_id", "block", F.col("k").cast("int").alias("k"), F.col("c").cast("long").alias("c"))
+    return kernels.fdct(_whole(spark, sf))
 
 
 def fwht(spark: SparkSession, sf: str) -> DataFrame:
-    """of the 16 DC values of four planes."""
-    dc = _fdct(spark, sf).where("k = 0").select(F.floor(F.col("vec_id") / 4).alias("mb"), (F.col("vec_id") % 4).cast("int").alias("i"), F.col("block").alias("j"), "c")
-    d = [F.coalesce(F.col(f"d{k}"), F.lit(0)) for k in range(4)]
-    mixed = [d[0] + d[2] + d[1] + d[3], d[0] - d[2] + d[1] - d[3], d[0] - d[2] - d[1] + d[3], d[0] + d[2] - d[1] - d[3]]
-    rows = _spread(_four(dc.repartition("mb"), ["mb", "i"], "j", "c"), ["mb", "i"], "j", "t", mixed)
-    out = _spread(_four(rows, ["mb", "j"], "i", "t"), ["mb", "j"], "i", "c", [F.shiftright(x, 1) for x in mixed])
-    return out.select("mb", (F.col("i") * 4 + F.col("j")).cast("int").alias("k"), "c")
-
-
-def _levels(spark: SparkSession, sf: str) -> DataFrame:
-    """vec_id, block, k, level at QUALITY, luma with its DC."""
-    dim = spark.createDataFrame([r[2:] for r in quant.table(range(QUALITY, QUALITY + 1)) if r[1] == "y1"], "k int, q long, iq long, bias long, zero long, sharpen long")
-    size = F.abs("c") + F.col("sharpen")
-    level = F.when(size > F.col("zero"), F.signum("c").cast("long") * F.least(F.shiftright(size * F.col("iq") + F.col("bias"), 17), F.lit(2047))).otherwise(F.lit(0))
-    return fdct(spark, sf).join(F.broadcast(dim), "k").select("vec_id", "block", "k", "c", level.cast("long").alias("level"), (level * F.col("q")).cast("long").alias("back"))  # 16 rows
+    """of the 16 DC values of four planes; 0 where there is none."""
+    dc = kernels.block_dc(_whole(spark, sf)).select(F.floor(F.col("vec_id") / 4).alias("mb"), (F.col("vec_id") % 4).alias("i"), "dc")
+    own = dc.groupBy("mb").agg(F.map_from_entries(F.collect_list(F.struct("i", "dc"))).alias("m"))  # four planes at most
+    none = F.array_repeat(F.lit(0).cast("long"), 4)
+    return kernels.fwht(own.select("mb", F.flatten(F.array(*(F.coalesce(F.try_element_at("m", F.lit(i).cast("long")), none) for i in range(4)))).alias("dc")), "mb")
 
 
 def quantize_levels(spark: SparkSession, sf: str) -> DataFrame:
-    """Levels by position, and the error of what comes back."""
+    """Levels by position, and the error of what comes back."""
     e = F.col("c") - F.col("back")
-    return _levels(spark, sf).groupBy("k", "level").agg(F.count("*").alias("n"), F.sum(e * e).alias("sse"))
+    return kernels.levels(_whole(spark, sf), QUALITY).groupBy("k", "level").agg(F.count("*").alias("n"), F.sum(e * e).alias("sse"))
 
 
 def zigzag_last(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks by the scan place of their last level; -1 for empty blocks."""
-    order = F.array(*(F.lit(quant.ZIGZAG.index(k)) for k in range(16)))
-    lv = _levels(spark, sf).withColumn("n", F.get(order, F.col("k")))
-    last = lv.groupBy("vec_id", "block").agg(F.coalesce(F.max(F.when(F.col("level") != 0, F.col("n"))), F.lit(-1)).alias("last"))
-    return last.groupBy("last").agg(F.count("*").alias("blocks"))
+    return kernels.last_places(_whole(spark, sf), QUALITY).groupBy("last").agg(F.count("*").alias("blocks"))
 
 
 def nz_context(spark: SparkSession, sf: str) -> DataFrame:
     """Each block's context from the blocks to the left and above; 32 planes stand side by side, four rows make one picture."""
-    nz = _levels(spark, sf).groupBy("vec_id", "block").agg(F.max((F.col("level") != 0).cast("int")).alias("nz"))
+    nz = kernels.last_places(_whole(spark, sf), QUALITY)
     at = nz.select(F.floor(F.col("vec_id") / 128).alias("pic"), (F.floor(F.col("vec_id") % 128 / 32) * 2 + F.floor(F.col("block") / 2)).cast("int").alias("y"), (F.col("vec_id") % 32 * 2 + F.col("block") % 2).cast("int").alias("x"), "nz")
     left = F.coalesce(F.lag("nz").over(Window.partitionBy("pic", "y").orderBy("x")), F.lit(0))
     up = F.coalesce(F.lag("nz").over(Window.partitionBy("pic", "x").orderBy("y")), F.lit(0))
@@ -120,7 +87,7 @@ def y2_context(spark: SparkSession, sf: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each plane with its left and upper neighbour of a raster 16 wide; null outside."""
-    p = planes(spark, sf)
+    p = _whole(spark, sf)
     left = p.select((F.col("vec_id") + 1).alias("vec_id"), F.col("px").alias("l"))
     up = p.select((F.col("vec_id") + 16).alias("vec_id"), F.col("px").alias("u"))
     return p.join(left.where("vec_id % 16 <> 0"), "vec_id", "left").join(up, "vec_id", "left")
@@ -128,22 +95,12 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _modes(spark: SparkSession, sf: str) -> DataFrame:
     """vec_id and the error of each whole-block mode DC, TM, V, H, predicted from source pixels."""
-    eight = F.sequence(F.lit(0), F.lit(7))
-    d = _pairs(spark, sf)
-    d = d.withColumn("lc", F.when(F.col("l").isNull(), F.array_repeat(F.lit(129), 8)).otherwise(F.transform(eight, lambda i: F.get("l", i * 8 + 7)))).withColumn("tr", F.when(F.col("u").isNull(), F.array_repeat(F.lit(127), 8)).otherwise(F.slice("u", 57, 8)))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    t, lf = total("tr"), total("lc")
-    dc = F.when(F.col("u").isNotNull() & F.col("l").isNotNull(), F.shiftright(t + lf + 8, 4)).when(F.col("u").isNotNull(), F.shiftright(t + 4, 3)).when(F.col("l").isNotNull(), F.shiftright(lf + 4, 3)).otherwise(F.lit(128).cast("long"))
-    d = d.withColumn("dc", dc)
-    row, col = (lambda k: F.floor(k / 8).cast("int")), (lambda k: k % 8)
-    guess = [lambda k: F.col("dc"), lambda k: F.least(F.lit(255), F.greatest(F.lit(0), F.get("lc", row(k)) + F.get("tr", col(k)) - F.when(F.col("u").isNull(), 127).otherwise(129))), lambda k: F.get("tr", col(k)), lambda k: F.get("lc", row(k))]
-    sse = lambda g: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, k: a + (F.get("px", k) - g(k)) * (F.get("px", k) - g(k)))
-    return d.select("vec_id", F.array(*(sse(g) for g in guess)).alias("sse"))
+    return kernels.mode_errors(_pairs(spark, sf))
 
 
 def predict_argmin(spark: SparkSession, sf: str) -> DataFrame:
     """The mode of least weighted cost; ties go to the smaller one."""
-    cost = F.zip_with("sse", F.array(*(F.lit(c * 120) for c in (302, 984, 439, 642))), lambda s, f: s * 256 + f)
+    cost = F.zip_with("sse", F.array(*(F.lit(c * vp8.WEIGHT_UV) for c in vp8.COST_UV)), lambda s, f: s * vp8.WEIGHT_SSE + f)
     m = _modes(spark, sf).withColumn("cost", cost)
     return m.select("vec_id", (F.array_position("cost", F.array_min("cost")) - 1).cast("int").alias("mode"), F.array_min("cost").alias("cost"))
 
@@ -160,22 +117,24 @@ def _rgb(spark: SparkSession, sf: str) -> DataFrame:
 
 def rgb_to_y(spark: SparkSession, sf: str) -> DataFrame:
     """F1."""
-    y = F.shiftright(F.col("r") * 16839 + F.col("g") * 33059 + F.col("b") * 6420 + (1 << 15) + (16 << 16), 16)
-    return _rgb(spark, sf).groupBy(F.least(F.lit(255), F.greatest(F.lit(0), y)).cast("long").alias("y")).agg(F.count("*").alias("n"))
+    return kernels.luma(_rgb(spark, sf)).groupBy("y").agg(F.count("*").alias("n"))
 
 
 def rgb_to_uv(spark: SparkSession, sf: str) -> DataFrame:
-    """of the sums of four pixels."""
-    s = _rgb(spark, sf).where("l_linenumber <= 4").groupBy("l_orderkey").agg(*(F.sum(c).alias(c) for c in "rgb"), F.count("*").alias("n")).where("n = 4")
-    one = lambda a, b, c: F.least(F.lit(255), F.greatest(F.lit(0), F.shiftright(F.col("r") * a + F.col("g") * b + F.col("b") * c + (1 << 17) + (128 << 18), 18))).cast("long")
-    return s.select("l_orderkey", one(-9719, -19081, 28800).alias("u"), one(28800, -24116, -4684).alias("v"))
+    """of the sums of four pixels, the lines of an order in order; the last line fills an incomplete cell."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "r", "g", "b")
+    p = _rgb(spark, sf).withColumn("n", F.row_number().over(order) - 1).withColumn("cell", F.floor(F.col("n") / 4).cast("int"))
+    cell = p.groupBy("l_orderkey", "cell").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{c}") for c in "rgb"), F.max_by(F.struct(*"rgb"), "n").alias("last"))
+    return kernels.chroma(cell.select("l_orderkey", "cell", *((F.col(f"s{c}") + (4 - F.col("n")) * F.col(f"last.{c}")).alias(c) for c in "rgb")), ["l_orderkey", "cell"])
 
 
 def quality_to_q(spark: SparkSession, sf: str) -> DataFrame:
     """F14."""
-    c = F.col("quality") / 100.0
-    line = F.when(c < 0.75, 2.0 * c / 3.0).otherwise(2.0 * c - 1.0)
-    return spark.range(1, 101).select(F.col("id").cast("int").alias("quality")).select("quality", F.floor(127.0 * (1.0 - F.pow(line, F.lit(1.0 / 3)))).cast("int").alias("q"))
+
+    def run(b: pa.RecordBatch) -> dict:
+        return {"quality": b.column("id").cast(pa.int32()), "q": pa.array([quant.quality_index(x) for x in b.column("id").to_pylist()], pa.int32())}
+
+    return kernels.mapped(spark.range(1, 101), run, "quality int, q int")
 
 
 def quant_matrix(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,6 +159,18 @@ def batch_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return batching.batches(s, ["mb_w"], "rel", 16).groupBy("mb_w", "batch_id").agg(F.count("*").alias("n"), F.min("rel").alias("first"), F.max("rel").alias("last"))
 
 
+def batch_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """A2, W5, O1, O2 through many slices: the batch of every picture."""
+    s = sizes(spark, sf).select("rel", F.floor((F.col("w") + 15) / 16).cast("int").alias("mb_w"))
+    return batching.batches(s, ["mb_w"], "rel", 16, part=100).select("mb_w", "rel", "batch_id")
+
+
+def byte_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """A5 through many slices: the greedy group of every page."""
+    p = inputs(spark, sf).select((F.col("page_id") % 3).cast("int").alias("k"), "page_id", "size")
+    return batching.byte_groups(p, ["k"], "page_id", "size", 1 << 14, 0, run=9).select("k", "page_id", "group_id")
+
+
 def raw_size_adam7(spark: SparkSession, sf: str) -> DataFrame:
     """With and without interlacing."""
     s = sizes(spark, sf).withColumn("color", F.get(F.array(*(F.lit(c) for c in (0, 2, 4, 6))), (F.col("w") % 4).cast("int"))).withColumn("depth", F.when(F.col("h") % 2 == 0, 8).otherwise(16))
@@ -315,9 +286,7 @@ def png_headers(spark: SparkSession, sf: str) -> DataFrame:
 
 def png_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of all files, counted by kind, with their checksums."""
-    files.register(spark)
-    p = pictures(spark, sf)
-    c = p.lateralJoin(files.PngChunks(F.col("content").outer()))
+    c = files.chunks_of(pictures(spark, sf).select("vec_id", "content"), ["vec_id"])
     return c.groupBy("type").agg(F.count("*").alias("n"), F.count_if("crc_ok").alias("ok"))
 
 
@@ -334,8 +303,7 @@ def png_decode(spark: SparkSession, sf: str) -> DataFrame:
 
 def png_text(spark: SparkSession, sf: str) -> DataFrame:
     """Titles and physical size out of the chunks, by column expressions."""
-    files.register(spark)
-    c = pictures(spark, sf).lateralJoin(files.PngChunks(F.col("content").outer()))
+    c = files.chunks_of(pictures(spark, sf).select("vec_id", "content"), ["vec_id"])
     text = F.decode(F.col("payload"), "ISO-8859-1")
     t = c.where(F.col("type").isin("tEXt", "pHYs")).groupBy("vec_id").agg(F.max(F.when(F.col("type") == "tEXt", F.substring_index(text, "\0", 1))).alias("key"), F.max(F.when(F.col("type") == "tEXt", F.substring_index(text, "\0", -1))).alias("value"), F.max(F.when(F.col("type") == "pHYs", files.big_endian(F.col("payload"), 1, 4))).alias("per_meter"))
     return t
@@ -358,23 +326,25 @@ def entropy_bits(spark: SparkSession, sf: str) -> DataFrame:
 
 def prefix_code(spark: SparkSession, sf: str) -> DataFrame:
     """Symbol and extra bits of lengths 1 to 4096."""
-    v = F.col("value") - 1
-    top = F.length(F.bin(v)) - 1
-    big = v >= 4
-    return spark.range(1, 4097).select(F.col("id").alias("value")).select(
-        "value",
-        F.when(big, 2 * top + F.col("value").cast("long") * 0 + F.expr("shiftright(value - 1, length(bin(value - 1)) - 2) & 1")).otherwise(v).cast("int").alias("symbol"),
-        F.when(big, top - 1).otherwise(0).cast("int").alias("bits"),
-        F.when(big, F.expr("(value - 1) & (shiftleft(1L, length(bin(value - 1)) - 2) - 1)")).otherwise(0).cast("long").alias("extra"),
-    )
+
+    def run(b: pa.RecordBatch) -> dict:
+        symbol, bits, extra = lossless.prefix_codes(b.column("id").to_numpy())
+        return {"value": b.column("id"), "symbol": pa.array(symbol.astype(np.int32)), "bits": pa.array(bits.astype(np.int32)), "extra": pa.array(extra)}
+
+    return kernels.mapped(spark.range(1, 4097), run, "value long, symbol int, bits int, extra long")
 
 
 def canonical_codes(spark: SparkSession, sf: str) -> DataFrame:
-    """Canonical codes of lengths by rule, by length and symbol; all in column arithmetic."""
+    """Canonical codes of lengths by rule, by length and symbol, first bit highest."""
     lens = spark.range(0, 16).select(F.col("id").cast("int").alias("sym"), F.when(F.col("id") < 2, 2).when(F.col("id") < 5, 3).when(F.col("id") < 6, 4).otherwise(8).cast("int").alias("len"))
-    w = Window.orderBy("len", "sym")  # 16 rows
-    first = F.coalesce(F.sum(F.expr("shiftleft(1L, 15 - len)")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return lens.withColumn("code", F.expr("1L") * first).select("sym", "len", F.expr("shiftright(code, 15 - len)").alias("code"))
+
+    def run(b: pa.RecordBatch) -> dict:
+        n = b.column("n")[0].as_py()
+        code = [int(f"{c:0{k}b}"[::-1], 2) for c, k in zip(lossless.canonical(n), n, strict=True)]
+        return {"sym": pa.array(range(len(n)), pa.int32()), "len": pa.array(n, pa.int32()), "code": pa.array(code, pa.int64())}
+
+    one = lens.agg(F.transform(F.array_sort(F.collect_list(F.struct("sym", "len"))), lambda x: x["len"]).alias("n"))  # 16 rows
+    return kernels.mapped(one, run, "sym int, len int, code long")
 
 
 def huffman_lengths(spark: SparkSession, sf: str) -> DataFrame:
@@ -390,11 +360,15 @@ def huffman_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 def prob_update_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Decisions by slot, fitted probabilities, and whether sending them pays."""
-    lv = _levels(spark, sf).groupBy("k").agg(F.count_if(F.col("level") == 0).alias("n0"), F.count_if(F.col("level") != 0).alias("n1"))
-    n = F.col("n0") + F.col("n1")
-    new = F.least(F.lit(255), F.greatest(F.lit(1), F.floor((F.col("n0") * 256 + F.floor(n / 2)) / n))).cast("int")
-    bits = lambda p: -(F.col("n0") * F.log2(p / 256.0) + F.col("n1") * F.log2(1 - p / 256.0))
-    return lv.withColumn("new_p", new).select("k", "n0", "n1", "new_p", F.round(bits(F.lit(128.0)) - bits(F.col("new_p")), 4).alias("saved"), ((n >= 24) & (bits(F.lit(128.0)) - bits(F.col("new_p")) > 14)).alias("send"))
+    lv = kernels.levels(_whole(spark, sf), QUALITY).groupBy("k").agg(F.count_if(F.col("level") == 0).alias("n0"), F.count_if(F.col("level") != 0).alias("n1"))
+
+    def run(b: pa.RecordBatch) -> dict:
+        n0, n1 = b.column("n0").to_numpy(), b.column("n1").to_numpy()
+        new, send = vp8.fit_probabilities(n0, n1, np.full(len(n0), 128), np.full(len(n0), 250))
+        bits = lambda p: -(n0 * np.log2(p / 256) + n1 * np.log2(1 - p / 256))
+        return {**{c: b.column(c) for c in ("k", "n0", "n1")}, "new_p": pa.array(new.astype(np.int32)), "saved": pa.array(np.round(bits(128) - bits(new), 4)), "send": pa.array(send)}
+
+    return kernels.mapped(lv, run, "k int, n0 long, n1 long, new_p int, saved double, send boolean")
 
 
 def alpha_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -415,33 +389,39 @@ def alpha_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 # --- metadata
 
 
-def _field(name: Column, value: Column) -> Column:
-    return F.concat(F.lit("   <pngmeta:"), name, F.lit(">"), value, F.lit("</pngmeta:"), name, F.lit(">\n"))
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """conv_id and its turns in order, as the texts of a picture."""
+    t = load(spark, sf, "conversations").where("text IS NOT NULL")
+    return t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("key"), "text"))).alias("texts"))  # one conversation
 
 
-def _escaped(x: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return x
+def _packets(b: pa.RecordBatch) -> list[bytes]:
+    of = lambda t: {"type": "tEXt", "key": t["key"], "value": t["text"], "raw": t["text"].encode()}
+    return [containers.build_xmp({"texts": [of(t) for t in ts]}) for ts in b.column("texts").to_pylist()]
 
 
-def _packet(spark: SparkSession, sf: str) -> DataFrame:
-    t = load(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("key"), "text").where("text IS NOT NULL")
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "key", "text")) - 1
-    one = F.concat(*(_field(F.concat(F.lit("Text"), F.col("i").cast("string"), F.lit(tag)), v) for tag, v in (("Type", F.lit("tEXt")), ("Key", _escaped(F.col("key"))), ("Value", _escaped(F.col("text"))), ("Raw", F.replace(F.base64(F.col("text").cast("binary")), F.lit("\r\n"), F.lit(""))))))
-    t = t.withColumn("i", n).withColumn("one", one)
-    return t.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "one"))), lambda s: s["one"]), "").alias("packet"))
+def xmp_build(spark: SparkSession, sf: str) -> DataFrame:
+    """M2, M7, M8: the packet of each conversation."""
 
+    def run(b: pa.RecordBatch) -> dict:
+        p = _packets(b)
+        return {"conv_id": b.column("conv_id"), "n": pa.array([len(x) for x in b.column("texts")], pa.int64()), "md5": pa.array([hashlib.md5(x).hexdigest() for x in p])}
 
-def xmp_build(spark: SparkSession, sf: str) -> DataFrame:
-    """M2, M7, M8: the fields of a packet for each conversation."""
-    return _packet(spark, sf).select("conv_id", "n", F.md5(F.col("packet").cast("binary")).alias("md5"))
+    return kernels.mapped(_texts(spark, sf), run, "conv_id long, n long, md5 string")
 
 
 def xmp_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """M3, M6: raw texts out of the packets."""
-    raw = F.regexp_extract_all("packet", F.lit(r"<pngmeta:Text\d+Raw>([^<]*)<"), 1)
-    return _packet(spark, sf).select("conv_id", F.posexplode(raw).alias("i", "b")).select("conv_id", "i", F.md5(F.unbase64("b")).alias("md5"))
+    """M3, M6: keys, values and raw texts out of the packets."""
+
+    def run(b: pa.RecordBatch) -> dict:
+        out = []
+        for c, p in zip(b.column("conv_id").to_pylist(), _packets(b), strict=True):
+            meta = containers.parse_xmp(p)
+            out += [(c, i, t["key"], t["value"], hashlib.md5(raw).hexdigest()) for i, (t, (_, raw)) in enumerate(zip(meta["texts"], containers.restore_chunks(meta), strict=True))]
+        conv, i, key, value, md5 = zip(*out, strict=True)
+        return {"conv_id": pa.array(conv, pa.int64()), "i": pa.array(i, pa.int32()), "key": pa.array(key), "value": pa.array(value), "md5": pa.array(md5)}
+
+    return kernels.mapped(_texts(spark, sf), run, "conv_id long, i int, key string, value string, md5 string")
 
 
 # --- outcomes
@@ -485,34 +465,45 @@ def keep_smaller(spark: SparkSession, sf: str) -> DataFrame:
 def rate_scale(spark: SparkSession, sf: str) -> DataFrame:
     """Strengths for PSNRs over a target of 40, grouped by root."""
     e = load(spark, sf, "events").select((F.floor(F.col("value") * 10).cast("long") % 100 / 10.0 + 38).cast("double").alias("p"))
-    root = F.round(F.sqrt(F.least(F.lit(8.0), F.exp((F.col("p") - 40) / 1.15))), 2)
-    return e.where("p > 40.15").groupBy(root.alias("root")).agg(F.count("*").alias("n"))
+    return kernels.scaled(e.where("p > 40.15"), "p", lambda p: convert.root(p, 40)).groupBy(F.col("p").alias("root")).agg(F.count("*").alias("n"))
 
 
 # --- whole conversions
 
 
 def convert_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Every picture encoded, read back and verified."""
-    done = convert.convert(pictures(spark, sf).select("rel", "content"), min_psnr=20.0)
-    return done.groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("psnr") < 20).alias("low"))
+    """Every picture is converted; size, alpha and metadata out of what was written."""
+    done = convert.convert(tiled(spark, sf).select("rel", "content"))
+
+    def read(b: pa.RecordBatch) -> dict:
+        out = []
+        for data in b.column("bytes").to_pylist():
+            found, meta = dict(containers.riff(data)), containers.webp_meta(data)
+            w, h = (int.from_bytes(found["VP8 "][i : i + 2], "little") & 0x3FFF for i in (6, 8))
+            alpha = int(lossless.decode_alpha(found["ALPH"], h, w).sum()) if "ALPH" in found else 255 * h * w
+            out.append((w, h, "VP8X" in found, alpha, *next(((t["key"], t["value"]) for t in meta["texts"]), (None, None)), meta["phys_raw"] and int.from_bytes(meta["phys_raw"][:4], "big")))
+        cols = zip(("w", "h", "extended", "alpha", "key", "value", "per_meter"), zip(*out, strict=True), (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)
+        return {"rel": b.column("rel"), "out_path": b.column("out_path"), **{n: pa.array(c, k) for n, c, k in cols}}
+
+    written = done.where("bytes IS NOT NULL AND status IN ('ok', 'fallback')").select("rel", "out_path", "bytes")
+    return kernels.mapped(written, read, "rel string, out_path string, w int, h int, extended boolean, alpha long, `key` string, value string, per_meter long")
 
 
 def outcome_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    """A12 over a conversion: sizes and PSNR of each picture."""
-    return convert.convert(pictures(spark, sf).select("rel", "content"), min_psnr=20.0).select("rel", "status", "note", F.round("psnr", 3).alias("psnr"), "src_bytes", "dst_bytes")
+    """A10, A11, A12, K5 over a conversion at the usual gate: status, sizes and PSNR of each picture."""
+    return convert.convert(tiled(spark, sf).select("rel", "content")).select("rel", "status", "note", F.round("psnr", 3).alias("psnr"), "src_bytes", "dst_bytes")
 
 
 def rlambda_two_pass(spark: SparkSession, sf: str) -> DataFrame:
     """of every picture the smaller of two encodings at a target of 36 dB."""
-    return convert.two_pass(pictures(spark, sf).select("rel", "content"), 36.0)
+    return convert.two_pass(tiled(spark, sf).select("rel", "content"), 36.0)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         psnr_by_label, plane_histogram, run_lengths, fdct, fwht, quantize_levels, zigzag_last, nz_context, y2_context, predict_argmin, mode_top3, rgb_to_y, rgb_to_uv, quality_to_q, quant_matrix,
-        size_histogram, batch_assignment, raw_size_adam7, bucket_plan, byte_groups, size_gates, largest_group, skip_existing, delete_candidates, first_writer, path_collisions, corpus_union, meta_diff,
+        size_histogram, batch_assignment, batch_slices, raw_size_adam7, bucket_plan, byte_groups, byte_slices, size_gates, largest_group, skip_existing, delete_candidates, first_writer, path_collisions, corpus_union, meta_diff,
         crc_sample, md5_check, adler32, format_sniff, png_headers, png_chunks, png_decode, png_text, entropy_bits, prefix_code, canonical_codes, huffman_lengths, prob_update_fit, alpha_roundtrip,
         xmp_build, xmp_parse, outcome_rollup, progress_window, verify_gate, keep_smaller, rate_scale, convert_corpus, outcome_sizes, rlambda_two_pass,
     )

@@ -92,18 +92,38 @@ def format_of(content: Column) -> Column:
     return out
 
 
+def _png_chunks(content: bytes | None) -> list[tuple[int, str, bytes, bool]]:
+    if not content or content[:8] != png.MAGIC:
+        return []
+    out, at = [], 8
+    for i, (kind, payload) in enumerate(png.chunks(content)):
+        stored = content[at + 8 + len(payload) : at + 12 + len(payload)]
+        out.append((i, kind, payload, stored == png.chunk(kind, payload)[-4:]))
+        at += 12 + len(payload)
+    return out
+
+
+def chunks_of(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """keys, seq, type, payload, crc_ok: the chunks of PNG files, by Arrow batches; other files have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, *c) for i, x in enumerate(b.column(content).to_pylist()) for c in _png_chunks(x)]
+            if rows:
+                at, *cols = zip(*rows, strict=True)
+                kinds = (pa.int32(), pa.string(), pa.binary(), pa.bool_())
+                yield pa.record_batch({**{k: b.column(k).take(pa.array(at)) for k in keys}, **{n: pa.array(c, k) for n, c, k in zip(("seq", "type", "payload", "crc_ok"), cols, kinds, strict=True)}})
+
+    own = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, content).mapInArrow(run, f"{own}, seq int, type string, payload binary, crc_ok boolean")
+
+
 @udtf(returnType="seq int, type string, payload binary, crc_ok boolean")
 class PngChunks:
     """The chunks of a PNG; nothing for other content."""
 
     def eval(self, content: bytes):
-        if not content or content[:8] != png.MAGIC:
-            return
-        at = 8
-        for i, (kind, payload) in enumerate(png.chunks(content)):
-            stored = content[at + 8 + len(payload) : at + 12 + len(payload)]
-            yield i, kind, payload, stored == png.chunk(kind, payload)[-4:]
-            at += 12 + len(payload)
+        yield from _png_chunks(content)
 
 
 @udtf(returnType="seq int, type string, payload binary")

@@ -28,10 +28,9 @@ def convert_stream(spark: SparkSession, src: str, outcomes: str, checkpoint: str
     """
 
     def batch(df: DataFrame, epoch: int) -> None:
-        try:
-            before = spark.read.parquet(outcomes).where(f"bytes IS NOT NULL AND epoch <> {epoch}").select("out_path")
-        except Exception:  # noqa: BLE001  nothing written yet
-            before = None
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(outcomes)
+        begun = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        before = spark.read.schema(f"{convert.OUTCOME}, epoch long").parquet(outcomes).where(f"bytes IS NOT NULL AND epoch <> {epoch}").select("out_path") if begun else None
         convert.convert(df.select("rel", "content"), before, **options).write.mode("overwrite").parquet(f"{outcomes}/epoch={epoch}")
 
     return incoming(spark, src).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

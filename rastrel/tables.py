@@ -60,3 +60,35 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = planes(spark, sf_dir).where("vec_id IS NOT NULL AND size(px) = 64")
     return p.select(F.format_string("c/%d/%d.png", F.col("vec_id") % 10, "vec_id").alias("rel"), "vec_id", draw("vec_id", "px").alias("content"))
+
+
+ROWS, COLUMNS = 4, 6
+
+
+def tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rel, pic, content: PNG files of several macroblocks, odd sizes among them, each tiled from 24 planes in a row.
+
+    Picture p holds the planes 24 p to 24 p + 23, four rows of six, black where one is missing; the lowest p % 3 rows and the
+    last p % 5 columns are cut off. Colour kinds, interlacing, texts and physical sizes go by p as they do in ``pictures``.
+    """
+    from .functions import png
+
+    n = ROWS * COLUMNS
+
+    @F.pandas_udf("binary")
+    def draw(pics: pd.Series, tiles: pd.Series) -> pd.Series:
+        out = []
+        for p, own in zip(pics, tiles, strict=True):
+            grid = np.zeros((ROWS, COLUMNS, 8, 8), np.int64)
+            for t in own:
+                grid[t["at"] // COLUMNS, t["at"] % COLUMNS] = np.asarray(t["px"]).reshape(8, 8)
+            a = grid.transpose(0, 2, 1, 3).reshape(8 * ROWS, 8 * COLUMNS)[: 8 * ROWS - p % 3, : 8 * COLUMNS - p % 5, None]
+            kind = (0, 2, 4, 6)[p % 4]
+            s = {0: a, 2: np.repeat(a, 3, 2), 4: np.concatenate([a, 255 - a], 2), 6: np.concatenate([np.repeat(a, 3, 2), 255 - a], 2)}[kind]
+            text = [("tEXt", b"Title\0picture %d" % p), ("pHYs", bytes([0, 0, 11, 19, 0, 0, 11, 19, 1]))] if p % 3 == 0 else []
+            out.append(png.encode(s, 8, kind, p % 2, [0, 1, 2, 3, 4], text))
+        return pd.Series(out)
+
+    p = planes(spark, sf_dir).where("vec_id IS NOT NULL AND size(px) = 64")
+    own = p.groupBy(F.floor(F.col("vec_id") / n).alias("pic")).agg(F.collect_list(F.struct((F.col("vec_id") % n).cast("int").alias("at"), "px")).alias("tiles"))  # 24 planes
+    return own.select(F.format_string("t/%d/%d.png", F.col("pic") % 10, "pic").alias("rel"), "pic", draw("pic", "tiles").alias("content"))

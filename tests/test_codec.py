@@ -171,8 +171,7 @@ def test_code_lengths_make_a_code(counts):
 
 
 def test_prefix_codes_cover_all_values():
-    for v in range(1, 5000):
-        s, n, extra = lossless.prefix_code(v)
+    for v, s, n, extra in zip(range(1, 5000), *(x.tolist() for x in lossless.prefix_codes(np.arange(1, 5000))), strict=True):
         base = s + 1 if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + 1
         assert base + extra == v and extra < 1 << n
 
@@ -259,3 +258,52 @@ def test_containers_and_metadata():
     assert convert.verify(rgba, meta, out[:60], 30)[0].startswith("unreadable")
     plain = convert.wrap(frame, np.dstack([a, np.full((20, 30), 255)]), {"texts": []})
     assert [k for k, _ in containers.riff(plain)] == ["VP8 "]
+
+
+def test_images_of_any_sizes_share_a_batch():
+    rng = np.random.default_rng(0)
+    images = [rng.integers(0, 256, (h, w, 3)).astype(np.uint8) for h, w in ((16, 16), (40, 24), (33, 70), (1, 1), (64, 64))]
+    for strength in (0.0, 1.0):
+        assert vp8.encode_rgb(images, 85, strength=strength) == [vp8.encode_rgb([x], 85, strength=strength)[0] for x in images]
+
+
+def test_tables_from_the_text_of_the_format(tmp_path):
+    """Arrays as the RFC prints them, with comments and page breaks; modes in its order."""
+    own = vp8.Tables.plain()
+    mode = np.arange(900).reshape(10, 10, 9) % 255 + 1
+    at = np.array(vp8.RFC_MODES)
+    rfc = np.empty_like(mode)
+    rfc[np.ix_(at, at)] = mode
+    braces = lambda x: "{" + ",\n ".join(braces(y) if isinstance(y, list) else str(y) for y in x) + "}"
+    page = "\nBankoski, et al.              Informational                    [Page 69]\n\x0c\nRFC 6386       VP8 Data Format and Decoding Guide      November 2011\n"
+    text = "const Prob default_coeff_probs [4] [8] [3] [11] =\n{ /* block type 0 */" + braces(own.coeff.tolist())[1:].replace("\n", page, 1) + ";\n"
+    text += "const Prob coeff_update_probs [4]\n [8] [3] [11] = " + braces(own.update.tolist()) + ";\nconst Prob kf_bmode_probs [num_intra_bmodes] [10] [9] = " + braces(rfc.tolist()) + ";\n"
+    (tmp_path / "rfc6386.txt").write_text("13.5. Default Token Probability Table\n" + page + text)
+    got = vp8.Tables.load(str(tmp_path / "rfc6386.txt"))
+    assert (got.coeff == own.coeff).all() and (got.update == own.update).all() and (got.mode == mode).all()
+    (tmp_path / "short.txt").write_text(text[:900])
+    with pytest.raises(ValueError):
+        vp8.Tables.load(str(tmp_path / "short.txt"))
+
+
+def test_tokens_of_all_sizes_are_read_back():
+    """Levels of every category, empty blocks and skipped macroblocks, through the writer and the reader."""
+    rng = np.random.default_rng(5)
+    mh, mw = 3, 4
+    draw = lambda *s: (rng.choice([0, 0, 0, 1, 2, 3, 4, 5, 6, 7, 10, 11, 18, 19, 34, 35, 66, 67, 2047], s) * rng.choice([-1, 1], s)) * (rng.random(s[:-1] + (1,)) < 0.7)
+    lv = vp8.Levels(draw(mh, mw, 16), draw(mh, mw, 16, 16), draw(mh, mw, 8, 16))
+    small = rng.random((mh, mw)) < 0.5
+    lv.y2[small] = 0
+    lv.y[~small, :, 0] = 0
+    for x in (lv.y2, lv.y, lv.uv):
+        x[1, 2] = 0
+    modes = vp8.Modes(small, rng.integers(0, 4, (mh, mw)), rng.integers(0, 4, (mh, mw)), rng.integers(0, 10, (mh, mw, 16)))
+    for adapt in (False, True):
+        frame = vp8.write_frame(16 * mh, 16 * mw, modes, lv, 10, adapt=adapt)
+        t = vp8.Tables.plain()
+        size = int.from_bytes(frame[:3], "little") >> 5
+        head = boolcoder.Reader(frame[10 : 10 + size])
+        probs, got = vp8._walk_header(head, None, t, None, None)
+        back, skip = vp8._walk_modes(head, t, None, None, got.get("skip"), mh, mw)
+        read = vp8._read_tokens(boolcoder.Reader(frame[10 + size :]).code, probs.tolist(), back.small, skip)
+        assert all((a == b).all() for a, b in ((read.y2, lv.y2), (read.y, lv.y), (read.uv, lv.uv), (back.small, small)))

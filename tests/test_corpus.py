@@ -179,3 +179,44 @@ def test_tables_are_a_parameter(tmp_path):
     a = np.full((16, 16, 3), 99, np.uint8)
     (data, _), = vp8.encode_rgb([a], 90, own)
     assert vp8.decode_rgb(data, own).shape == a.shape
+
+
+def test_large_pictures_fall_back(spark, listed):
+    """Those over the limit of pixels are encoded by the fallback; the others are not touched by that."""
+    rows = {r.rel: r for r in convert.convert(listed.select("rel", "content"), min_psnr=25.0, max_pixels=300).collect()}
+    sizes = {r.rel: convert.read_any(bytes(r.content))[0].shape[:2] for r in listed.where("rel LIKE '%/p%'").collect()}
+    assert {rows[k].status for k, (h, w) in sizes.items() if h * w > 300} == {"fallback"}
+    assert {rows[k].status for k, (h, w) in sizes.items() if h * w <= 300} == {"ok"}
+
+
+def test_rare_sizes_share_batches():
+    sizes = [(1, 1)] * 40 + [(2, 3), (2, 4), (3, 3), (3, 4), (9, 2)]
+    got = convert.batched(sizes, 16)
+    assert sorted(i for b in got for i in b) == list(range(45)) and max(map(len, got)) == 16
+    assert len(got) < 3 + 5 and not any({sizes[i] for i in b} > {(1, 1)} for b in got)
+
+
+def test_batches_are_halved_when_memory_runs_out(spark, listed, monkeypatch):
+    encode = vp8.encode_rgb
+    seen = []
+
+    def short(images, *a, **k):
+        seen.append(len(images))
+        if len(images) > 1:
+            raise MemoryError
+        return encode(images, *a, **k)
+
+    files_ = listed.where("rel LIKE '%/p%'").select("rel", "content", F.col("rel").alias("out_path")).toPandas()
+    monkeypatch.setattr(vp8, "encode_rgb", short)
+    run = convert._encoder(90, 16, None, 0.0, None, 1 << 20)
+    got = run(files_.assign(checked=False))
+    monkeypatch.undo()
+    plain = convert._encoder(90, 16, None, 0.0, None, 1 << 20)(files_.assign(checked=False))
+    assert max(seen) > 1 and got.sort_values("rel")["bytes"].tolist() == plain.sort_values("rel")["bytes"].tolist()
+
+
+def test_failed_files_are_copied(spark, listed, tmp_path):
+    files.register(spark)
+    done = convert.convert(listed.select("rel", "content"), min_psnr=None)
+    convert.quarantine(done, listed, str(tmp_path / "bad"))
+    assert sorted(str(p.relative_to(tmp_path / "bad")) for p in (tmp_path / "bad").rglob("*") if p.is_file()) == ["d0/broken.png", "d1/other.jpg"]

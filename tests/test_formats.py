@@ -60,3 +60,68 @@ def test_pictures_by_the_jvm(spark, tmp_path):
     r = jvm.images(spark, f"file:{tmp_path}").where(F.col("h") == 5).collect()
     assert len(r) == 1
     assert (np.frombuffer(bytes(r[0].rgba), np.uint8).reshape(5, 7, 4)[..., :3] == A).all()
+
+
+def by_the_jvm(spark, a, kind, progressive=False, quality=0.9):
+    """A picture written by the JVM, and the JVM's reading of it."""
+    jvm_ = spark.sparkContext._jvm
+    io, image = jvm_.javax.imageio, jvm_.java.awt.image.BufferedImage(a.shape[1], a.shape[0], 1)
+    ints = spark.sparkContext._gateway.new_array(jvm_.int, a.shape[0] * a.shape[1])
+    for i, v in enumerate((a.astype(np.int64) @ [65536, 256, 1]).ravel().tolist()):
+        ints[i] = v
+    image.setRGB(0, 0, a.shape[1], a.shape[0], ints, 0, a.shape[1])
+    out = jvm_.java.io.ByteArrayOutputStream()
+    if kind == "jpeg":
+        writer = io.ImageIO.getImageWritersByFormatName("jpeg").next()
+        p = writer.getDefaultWriteParam()
+        p.setCompressionMode(2)
+        p.setCompressionQuality(quality)
+        p.setProgressiveMode(1 if progressive else 0)
+        writer.setOutput(io.stream.MemoryCacheImageOutputStream(out))
+        s = io.ImageIO.createImageOutputStream(out)
+        writer.setOutput(s)
+        writer.write(None, io.IIOImage(image, None, None), p)
+        s.close()
+    else:
+        io.ImageIO.write(image, kind, out)
+    data = bytes(out.toByteArray())
+    back = io.ImageIO.read(jvm_.java.io.ByteArrayInputStream(data))
+    got = np.array(list(back.getRGB(0, 0, a.shape[1], a.shape[0], None, 0, a.shape[1])), np.int64).reshape(a.shape[:2])
+    return data, np.stack([got >> 16 & 255, got >> 8 & 255, got & 255], -1)
+
+
+@pytest.mark.parametrize("progressive", [False, True])
+@pytest.mark.parametrize(("h", "w"), [(16, 16), (33, 50), (1, 7)])
+def test_jpeg_is_read_as_the_jvm_reads_it(spark, h, w, progressive):
+    y, x = np.mgrid[0:h, 0:w]
+    a = np.clip(np.stack([x * 5, y * 7 + 20, 200 - x * 2], -1) + np.random.default_rng(1).normal(0, 4, (h, w, 3)), 0, 255).astype(np.uint8)
+    data, want = by_the_jvm(spark, a, "jpeg", progressive)
+    assert (b"\xff\xc2" in data) == progressive
+    got = convert.read_any(data)[0]
+    assert got.shape == (h, w, 4) and (got[..., 3] == 255).all()
+    # chroma is repeated here and smoothed there
+    assert np.abs(got[..., :3].astype(int) - want).mean() < 3 and np.abs(got[..., :3].astype(int) @ [299, 587, 114] // 1000 - want @ [299, 587, 114] // 1000).mean() < 1.5
+
+
+def test_gif_is_read_as_the_jvm_reads_it(spark):
+    a = np.random.default_rng(2).integers(0, 4, (40, 61, 1)).repeat(3, 2).astype(np.uint8) * 60
+    data, want = by_the_jvm(spark, a, "gif")
+    assert (convert.read_any(data)[0][..., :3] == want).all() and (want == a).all()
+    with pytest.raises((ValueError, IndexError)):
+        convert.read_any(data[:60])
+
+
+def test_broken_jpeg(spark):
+    data, _ = by_the_jvm(spark, np.zeros((9, 9, 3), np.uint8), "jpeg")
+    for cut in (2, 4, 30, len(data) // 2):
+        with pytest.raises((ValueError, IndexError, KeyError, struct.error)):
+            convert.read_any(data[:cut])
+
+
+def test_jpeg_files_are_converted(spark):
+    y, x = np.mgrid[0:24, 0:40]
+    a = np.stack([x * 4, y * 6, x + y], -1).astype(np.uint8)
+    rows = [("a.jpg", bytearray(by_the_jvm(spark, a, "jpeg")[0])), ("b.gif", bytearray(by_the_jvm(spark, a // 64 * 64, "gif")[0])), ("c.jpg", bytearray(b"\xff\xd8\xff\xe0"))]
+    got = {r.rel: r for r in convert.convert(spark.createDataFrame(rows, "rel string, content binary"), min_psnr=25.0).collect()}
+    assert {k: r.status for k, r in got.items()} == {"a.jpg": "ok", "b.gif": "ok", "c.jpg": "fail"}
+    assert convert.decode_webp(bytes(got["a.jpg"].bytes)).shape == (24, 40, 4)

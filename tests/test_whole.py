@@ -4,13 +4,11 @@ import os
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from rastrel import queries
 from rastrel.functions import vp8
-from rastrel.llm import language
 from rastrel.plans import batching
-from rastrel.tables import pictures
+from rastrel.tables import tiled
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no fixture tables")
@@ -18,9 +16,9 @@ tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no fixture tables")
 
 @tables
 def test_two_passes_take_every_picture(spark):
-    want = {r.rel for r in pictures(spark, SF).select("rel").collect()}
+    want = {r.rel for r in tiled(spark, SF).select("rel").collect()}
     got = {r.rel: r for r in queries.rlambda_two_pass(spark, SF).collect()}
-    assert set(got) == want and len(want) > 62
+    assert set(got) == want and len(want) == 21
 
 
 def test_two_passes_in_batches_are_those_of_single_pictures():
@@ -30,27 +28,6 @@ def test_two_passes_in_batches_are_those_of_single_pictures():
     assert vp8.encode_rgb(images, 90, strength=strength) == [vp8.encode_rgb([x], 90, strength=float(s))[0] for x, s in zip(images, strength, strict=True)]
 
 
-def test_languages_are_counted_from_all_training_rows(spark):
-    ids = spark.range(12_000).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(16)).alias("of")).where("crc32(cast(cast(doc_id AS string) AS binary)) % 3 <> 1").orderBy("doc_id").collect()
-    word = lambda i, letters: "".join(letters[i * 7 // 3**k % len(letters)] for k in range(12))
-    zero, others = [r for r in ids if r.of == 0], [r for r in ids if r.of > 0]
-    rows = [(r.doc_id, "zz", word(r.doc_id, "xyzq")) for r in zero[:5]]  # all in one part
-    rows += [(r.doc_id, "yy", word(r.doc_id, "uvw")) for r in others[:40]]  # none in the first part
-    rows += [(r.doc_id, "en", word(r.doc_id, "abcde") + " " + word(r.doc_id + 5, "abcdx")) for r in zero[5:] + others[40:]]
-    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
-    model = language.train(spark, docs)
-    assert model.langs == ["en", "yy", "zz"] and set(model.limit) == {"en", "yy"}
-    for x, m in zip(model.langs, model.models, strict=True):
-        keys, n = np.unique(language.grams([t for _, own, t in rows if own == x])[0], return_counts=True)
-        assert (m.levels[0][2] == keys).all() and (m.levels[0][3] == n).all()
-    first = {r.doc_id for r in zero}
-    part = [language.KneserNey(*np.unique(language.grams([t for i, own, t in rows if own == "en" and i not in first])[0], return_counts=True), model.models[0].alphabet)]
-    h, _ = language.Identifier(["en"], part).entropies([t for i, own, t in rows if own == "en" and i in first])
-    assert model.limit["en"] == pytest.approx(np.quantile(h[:, 0], language.QUANTILE) * language.MARGIN)
-    got = {r.doc_id: r.lang_pred for r in language.identify(spark, docs, model).collect()}
-    assert all(got[i] == x for i, x, _ in rows if x == "zz")
-
-
 def greedy(sizes, room):
     group, held, out = 0, 0, []
     for s in sizes:
@@ -88,3 +65,10 @@ def test_rare_sizes_are_planned_behind_many_others(spark):
     rare = spark.createDataFrame([(1024, 512)] * 3 + [(1040, 512), (1, 1)], "h int, w int")
     got = batching.bucketed(odd.union(rare)).where("bucket_h IS NOT NULL").groupBy("h", "w", "bucket_h", "bucket_w").count().collect()
     assert {tuple(r) for r in got} == {(1024, 512, 1040, 512, 3), (1040, 512, 1040, 512, 1)}
+
+
+def test_greedy_groups_of_many_rows(spark):
+    """One key, equal sizes: full groups but the last, whatever the slices."""
+    df = spark.range(40_000).selectExpr("0 AS k", "id AS n", "40000 AS size")
+    got = batching.byte_groups(df, ["k"], "n", "size", 1 << 30, 0).groupBy("group_id").count().orderBy("group_id").collect()
+    assert [r["count"] for r in got] == [(1 << 30) // 40_000, 40_000 - (1 << 30) // 40_000]
