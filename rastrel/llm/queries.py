@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +68,108 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_line_dedup, op3_benchmark_decontamination, op4_rendezvous_sharding, op5_suffix_array_dedup, op6_quality_classifier, op7_language_id, op8_ngram_jaccard_join, op9_sentencepiece, op10_exact_top_k)}
 
+_WRAP = 1 << 64
+_P = [11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261]  # fixed values: the primes of XXH64
+
+
+class _Xxh64:
+    """XXH64 as columns that build on one another, in 128-bit numbers without a sign; the SQL has no such function."""
+
+    def __init__(self, name: str, seed: str):
+        self.name, self.columns, self.at = name, [], seed
+
+    def _put(self, expr: str) -> str:
+        self.columns.append(f"({expr})::UHUGEINT AS {self.name}{len(self.columns)}")
+        self.at = f"{self.name}{len(self.columns) - 1}"
+        return self.at
+
+    def _times(self, p: int) -> str:
+        return self._put(f"({self.at} * {p}::UHUGEINT) % {_WRAP}")
+
+    def _turn(self, r: int) -> str:
+        return self._put(f"({self.at} * {1 << r}::UHUGEINT) % {_WRAP} + {self.at} // {1 << (64 - r)}")
+
+    def _mixed(self, x: str) -> str:
+        return self._put(f"xor({self.at}::UBIGINT, ({x})::UBIGINT)")
+
+    def _end(self) -> _Xxh64:
+        for p, n in ((_P[1], 33), (_P[2], 29), (None, 32)):
+            self._mixed(f"{self.at} // {1 << n}")
+            if p:
+                self._times(p)
+        return self
+
+    def _four(self, x: str, size: int) -> None:
+        self._put(f"({self.at} + {_P[4] + size}::UHUGEINT) % {_WRAP}")
+        self._mixed(f"({x} * {_P[0]}::UHUGEINT) % {_WRAP}")
+        self._turn(23)
+        self._times(_P[1])
+        self._put(f"({self.at} + {_P[2]}::UHUGEINT) % {_WRAP}")
+
+    def long(self, x: str) -> _Xxh64:
+        seed, self.at = self.at, f"(({x})::HUGEINT + {_WRAP}) % {_WRAP}"
+        self._put(self.at)
+        self._times(_P[1])
+        self._turn(31)
+        k = self._times(_P[0])
+        self._put(f"({seed} + {_P[4] + 8}::UHUGEINT) % {_WRAP}")
+        self._mixed(k)
+        self._turn(27)
+        self._times(_P[0])
+        self._put(f"({self.at} + {_P[3]}::UHUGEINT) % {_WRAP}")
+        return self._end()
+
+    def over(self, source: str) -> str:
+        """source with all columns, one subquery on another."""
+        return reduce(lambda q, c: f"(SELECT *, {c} FROM {q})", self.columns, source)
+
+    def int(self, x: str) -> _Xxh64:
+        self._four(f"({x})::UHUGEINT", 4)
+        return self._end()
+
+    def word(self, x: str) -> _Xxh64:
+        """A word of five bytes."""
+        raw = x.encode()
+        self._four(f"{int.from_bytes(raw[:4], 'little')}::UHUGEINT", 5)
+        self._mixed(f"({raw[4]}::UHUGEINT * {_P[4]}::UHUGEINT) % {_WRAP}")
+        self._turn(11)
+        self._times(_P[0])
+        return self._end()
+
+
+_BID, _SALT = _Xxh64("x", "42::UHUGEINT").long("doc_id").int("s").word("shard"), _Xxh64("y", "42::UHUGEINT").long("doc_id").long("text_crc32")
+_ROWS = sharding.SHARDS * sharding.ROWS
+
 SQL = {
+    "op4_rendezvous_sharding": f"""
+WITH RECURSIVE step(i, k, c) AS (
+  SELECT i, 0, i::BIGINT FROM generate_series(0, 255) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
+), tab AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+d AS (
+  SELECT doc_id, (strlen(coalesce(text, '')) + {sharding.OVERHEAD})::BIGINT AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: ('0x' || b)::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)::BIGINT AS text_crc32
+  FROM documents, tab
+), n AS (SELECT greatest(1, (count(*) + {_ROWS - 1}) // {_ROWS}) AS n FROM d),
+h AS (SELECT * FROM {_BID.over(f"(SELECT doc_id, s FROM (SELECT DISTINCT doc_id FROM d), generate_series(0, {sharding.SHARDS}) g(s))")}),
+bid AS (SELECT doc_id, s, -ln((({_BID.at} // 2048)::DOUBLE + 0.5) / {1 << 53}::DOUBLE) AS b FROM h),
+own AS (SELECT doc_id, arg_min(s, (b, s)) FILTER (s < {sharding.SHARDS}) AS shard, arg_min(s, (b, s)) AS grown_shard FROM bid GROUP BY doc_id),
+y AS (SELECT * FROM {_SALT.over("d")}),
+k AS (SELECT doc_id, size, text_crc32, ((({_SALT.at}::HUGEINT - CASE WHEN {_SALT.at} >= {1 << 63} THEN {_WRAP}::HUGEINT ELSE 0 END) % n) + n) % n AS bucket FROM y, n)
+SELECT k.doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, k.doc_id, text_crc32, size) - 1 AS slot, grown_shard::INT AS grown_shard FROM k JOIN own USING (doc_id)
+""",
+    "op5_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM d, LATERAL (SELECT unnest(generate_series(0, n - 100)) AS p) WHERE n >= 100),
+hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+i AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM hit),
+g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM i),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM g GROUP BY doc_id, g),
+cut AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM span UNION ALL SELECT doc_id, max(z), NULL FROM span GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN t IS NULL THEN substr(h, 2 * f + 1) ELSE substr(h, 2 * f + 1, 2 * (t - f)) END, '' ORDER BY f) AS k FROM cut JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(z - a)::BIGINT AS gone, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
     "op2_line_dedup": r"""
 WITH line AS (
   SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
