@@ -156,6 +156,9 @@ t AS (SELECT *, sum(n) OVER (PARTITION BY lang) AS t FROM h) SELECT lang, sum(n)
 SELECT value, CASE WHEN v < 4 THEN v ELSE 2 * top + (v >> (top - 1)) % 2 END::INT AS symbol, CASE WHEN v < 4 THEN 0 ELSE top - 1 END::INT AS bits, CASE WHEN v < 4 THEN 0 ELSE v % (1 << (top - 1)) END::BIGINT AS extra FROM v""",
     "canonical_codes": """WITH l AS (SELECT i AS sym, CASE WHEN i < 2 THEN 2 WHEN i < 5 THEN 3 WHEN i < 6 THEN 4 ELSE 8 END AS len FROM generate_series(0, 15) t(i))
 SELECT a.sym::INT AS sym, a.len::INT AS len, (coalesce((SELECT sum(1 << (15 - b.len)) FROM l b WHERE (b.len, b.sym) < (a.len, a.sym)), 0)::BIGINT >> (15 - a.len)) AS code FROM l a""",
+    "huffman_bits": """WITH RECURSIVE h AS (SELECT lang, b, count(*) AS n FROM (SELECT lang, unnest(string_split(text, '')) AS b FROM documents) WHERE b <> '' GROUP BY ALL),
+m AS (SELECT lang, list_sort(list(n)) AS q, 0::BIGINT AS bits FROM h GROUP BY lang UNION ALL SELECT lang, list_sort(list_append(q[3:], q[1] + q[2])), bits + q[1] + q[2] FROM m WHERE len(q) > 1)
+SELECT lang, bits::BIGINT AS bits FROM m WHERE len(q) = 1""",
     "prob_update_fit": f"""WITH {_LEVELS}, n AS (SELECT k, count(*) FILTER (level = 0) AS n0, count(*) FILTER (level <> 0) AS n1 FROM lv GROUP BY k),
 p AS (SELECT *, least(255, greatest(1, (n0 * 256 + (n0 + n1) // 2) // (n0 + n1)))::INT AS new_p FROM n), b AS (SELECT *, (n0 + n1)::DOUBLE + n0 * log2(new_p / 256.0) + n1 * log2(1 - new_p / 256.0) AS s FROM p)
 SELECT k, n0, n1, new_p, round(s, 4) AS saved, n0 + n1 >= 24 AND s > 14 AS send FROM b""",

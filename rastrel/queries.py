@@ -347,15 +347,24 @@ def canonical_codes(spark: SparkSession, sf: str) -> DataFrame:
     return kernels.mapped(one, run, "sym int, len int, code long")
 
 
-def huffman_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    """Code lengths for the letters of each language, and the bits they take."""
+def _coded(spark: SparkSession, sf: str, longest: int) -> DataFrame:
+    """lang, n, len: the code lengths of the letters of each language."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("b")
-        return pdf.assign(len=lossless.code_lengths(pdf["n"].tolist()))[["lang", "b", "n", "len"]]
+        return pdf.assign(len=lossless.code_lengths(pdf["n"].tolist(), longest))[["lang", "n", "len"]]
+
+    return _histogram(spark, sf).groupBy("lang").applyInPandas(run, "lang string, n long, len int")
+
+
+def huffman_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Code lengths for the letters of each language within the format's limit, and the bits they take."""
+    return _coded(spark, sf, lossless.LONGEST).groupBy("lang").agg(F.sum(F.col("n") * F.col("len")).alias("bits"), F.max("len").alias("longest"), F.sum(F.expr("shiftleft(1L, 15 - len)")).alias("kraft"))
+
 
-    coded = _histogram(spark, sf).groupBy("lang").applyInPandas(run, "lang string, b string, n long, len int")
-    return coded.groupBy("lang").agg(F.sum(F.col("n") * F.col("len")).alias("bits"), F.max("len").alias("longest"), F.sum(F.expr("shiftleft(1L, 15 - len)")).alias("kraft"))
+def huffman_bits(spark: SparkSession, sf: str) -> DataFrame:
+    """The bits of a code without a limit, which no other code can undercut."""
+    return _coded(spark, sf, 48).groupBy("lang").agg(F.sum(F.col("n") * F.col("len")).alias("bits"))
 
 
 def prob_update_fit(spark: SparkSession, sf: str) -> DataFrame:
@@ -504,7 +513,7 @@ QUERIES = {
     for f in (
         psnr_by_label, plane_histogram, run_lengths, fdct, fwht, quantize_levels, zigzag_last, nz_context, y2_context, predict_argmin, mode_top3, rgb_to_y, rgb_to_uv, quality_to_q, quant_matrix,
         size_histogram, batch_assignment, batch_slices, raw_size_adam7, bucket_plan, byte_groups, byte_slices, size_gates, largest_group, skip_existing, delete_candidates, first_writer, path_collisions, corpus_union, meta_diff,
-        crc_sample, md5_check, adler32, format_sniff, png_headers, png_chunks, png_decode, png_text, entropy_bits, prefix_code, canonical_codes, huffman_lengths, prob_update_fit, alpha_roundtrip,
+        crc_sample, md5_check, adler32, format_sniff, png_headers, png_chunks, png_decode, png_text, entropy_bits, prefix_code, canonical_codes, huffman_lengths, huffman_bits, prob_update_fit, alpha_roundtrip,
         xmp_build, xmp_parse, outcome_rollup, progress_window, verify_gate, keep_smaller, rate_scale, convert_corpus, outcome_sizes, rlambda_two_pass,
     )
 }
