@@ -200,41 +200,87 @@ def waves(batch: int, mh: int, mw: int, lag: int):
         yield np.repeat(np.arange(batch), len(at)), np.tile(r[at], batch), np.tile(c[at], batch)
 
 
-def trellis(coeffs: np.ndarray, s: quant.Steps, first: int, weight: float | np.ndarray) -> np.ndarray:
-    """Levels of (N, 16) raster coefficients by rate and error: each is rounded or one smaller, whichever path costs least.
-
-    States: whether the level before was 0, 1 or more; the rate of a level is about its bits after such a state.
+def _token(a: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The bits of a level of size a: (node of the tree, bit), and (fixed probability, bit) of what follows, the sign left out."""
+    if a < 2:
+        return ([(1, 1), (2, 0)] if a else [(1, 0)]), []
+    out = [(1, 1), (2, 1), (3, int(a > 4))]
+    if a <= 4:
+        return out + [(4, int(a > 2))] + ([(5, int(a == 4))] if a > 2 else []), []
+    if a <= 10:
+        return out + [(6, 0), (7, int(a > 6))], [(159, int(a == 6))] if a <= 6 else [(165, (a - 7) >> 1), (145, (a - 7) & 1)]
+    c = max(c for c, (base, _) in EXTRA.items() if a >= base)
+    base, probs = EXTRA[c]
+    high = int(c > 4)
+    return out + [(6, 1), (8, high), (9 + high, (c - 3) & 1)], [(x, (a - base) >> (len(probs) - 1 - k) & 1) for k, x in enumerate(probs)]
+
+
+@lru_cache(1)
+def _token_nodes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every size of level: which nodes give 0, which give 1, and the cost of its fixed bits and its sign."""
+    zero, one, rest = np.zeros((quant.MOST + 1, 11)), np.zeros((quant.MOST + 1, 11)), np.zeros(quant.MOST + 1)
+    for a in range(quant.MOST + 1):
+        nodes, extra = _token(a)
+        for node, bit in nodes:
+            (one if bit else zero)[a, node] += 1
+        rest[a] = sum(-256 * math.log2((256 - x if bit else x) / 256) for x, bit in extra) + 256 * (a > 0)
+    return zero, one, rest
+
+
+@lru_cache(8)
+def _token_costs(coeff: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In 256ths of a bit, by kind, place and context: (4, 17, 3, sizes) of each level, (4, 17, 3) of going on and of ending a block."""
+    p = np.frombuffer(coeff, np.int64).reshape(4, 8, 3, 11)[:, BANDS]
+    c0, c1 = -256 * np.log2(p / 256), -256 * np.log2(1 - np.minimum(p, 255) / 256)
+    zero, one, rest = _token_nodes()
+    return c0 @ zero.T + c1 @ one.T + rest, c1[..., 0], c0[..., 0]
+
+
+def trellis(coeffs: np.ndarray, s: quant.Steps, first: int, weight: float | np.ndarray, t: Tables, context: int = 1) -> np.ndarray:
+    """Levels of (N, 16) raster luma coefficients by rate and error: each is rounded down or one larger, whichever path costs least.
+
+    The rate is that of the tokens under t: states are the contexts that a level leaves to the next one (it was 0, 1 or
+    more), and a block may end after any level that isn't 0. ``context`` stands for the first one, which its neighbours settle.
     """
+    token, more, stop = (x[3 if first == 0 else 0] for x in _token_costs(t.coeff.astype(np.int64).tobytes()))
     size = (np.abs(coeffs) + s.sharpen)[:, ZIG]
     step = s.q[ZIG]
     low = np.minimum((size * s.iq[ZIG]) >> quant.FIX, quant.MOST)
-    rate = lambda v, before: 256 * np.where(v == 0, 0.6 + 0.5 * np.minimum(before, 2), 1.8 + 2 * np.log2(np.maximum(v, 1)) + 0.4 * (2 - np.minimum(before, 2)))
-    n = len(coeffs)
+    n, row = len(coeffs), np.arange(len(coeffs))
+    tail = np.zeros((n, 17))
+    tail[:, :16] = np.cumsum((256.0 * size**2)[:, ::-1], 1)[:, ::-1]  # the error if nothing more comes
     best = np.full((n, 3), np.inf)
-    best[:, 0] = 0
+    best[:, context] = 0
+    final, last = weight * stop[first, context] + tail[:, first], np.full((n, 2), -1)
     back = []
     for k in range(first, 16):
         new, source = np.full((n, 3), np.inf), np.zeros((n, 3, 2), np.int64)
         for add in (0, 1):
             v = np.minimum(low[:, k] + add, quant.MOST)
-            error = (size[:, k] - v * step[k]) ** 2
+            error = 256.0 * (size[:, k] - v * step[k]) ** 2
             state = np.minimum(v, 2)
             for before in range(3):
-                cost = best[:, before] + weight * rate(v, before) + 256 * error
-                row = np.arange(n)
+                rate = token[k, before, v] + (0 if before == 0 and k > first else more[k, before])
+                cost = best[:, before] + weight * rate + error
                 better = cost < new[row, state]
                 new[row[better], state[better]] = cost[better]
                 source[row[better], state[better], 0] = before
                 source[row[better], state[better], 1] = v[better]
         best = new
         back.append(source)
-    state = best.argmin(1)
+        for state in (1, 2):
+            whole = best[:, state] + (weight * stop[k + 1, state] if k < 15 else 0) + tail[:, k + 1]
+            better = whole < final
+            final = np.where(better, whole, final)
+            last[better] = k, state
     out = np.zeros((n, 16), np.int64)
-    row = np.arange(n)
+    state = np.zeros(n, np.int64)
     for k in range(15, first - 1, -1):
-        step_back = back[k - first][row, state]
-        out[row, ZIG[k]] = step_back[:, 1]
-        state = step_back[:, 0]
+        state = np.where(last[:, 0] == k, last[:, 1], state)
+        on = row[last[:, 0] >= k]
+        before = back[k - first][on, state[on]]
+        out[on, ZIG[k]] = before[:, 1]
+        state[on] = before[:, 0]
     return np.sign(coeffs) * out
 
 
@@ -257,25 +303,25 @@ def _restore_luma(levels: np.ndarray, y2: np.ndarray, m: dict[str, quant.Steps])
     return transform.idct(c.reshape(*c.shape[:-1], 4, 4))
 
 
-def _luma_levels(d: np.ndarray, s: quant.Steps, first: int, strength: np.ndarray) -> np.ndarray:
+def _luma_levels(d: np.ndarray, s: quant.Steps, first: int, strength: np.ndarray, t: Tables) -> np.ndarray:
     """Levels of the blocks d (N, ..., 16); strength: of each of the N."""
     if not strength.any():
         return quant.quantize(d, s)
     weight = np.maximum(1.0, strength * (7 * s.mean**2 / 8 if first == 0 else s.mean**2 / 4))
-    out = trellis(d.reshape(-1, 16), s, first, np.repeat(weight, d[0].size // 16)).reshape(d.shape)
+    out = trellis(d.reshape(-1, 16), s, first, np.repeat(weight, d[0].size // 16), t).reshape(d.shape)
     if (plain := strength == 0).any():
         out[plain] = quant.quantize(d[plain], s)
     return out
 
 
-def code_loop(y: np.ndarray, u: np.ndarray, v: np.ndarray, modes: Modes, index: int, strength: float | np.ndarray = 0.0, width: np.ndarray | None = None) -> tuple[Levels, list[np.ndarray]]:
+def code_loop(y: np.ndarray, u: np.ndarray, v: np.ndarray, modes: Modes, index: int, strength: float | np.ndarray = 0.0, width: np.ndarray | None = None, t: Tables | None = None) -> tuple[Levels, list[np.ndarray]]:
     """The closed loop over planes (B, H, W): predict from what the decoder will have, transform, quantise, restore."""
     batch, mh, mw = modes.luma.shape
     out = Levels(*(np.zeros((batch, mh, mw, *s), np.int64) for s in ((16,), (16, 16), (8, 16))))
-    return out, _loop(modes, index, out, [p.astype(np.int64) for p in (y, u, v)], strength, width)
+    return out, _loop(modes, index, out, [p.astype(np.int64) for p in (y, u, v)], strength, width, t)
 
 
-def _loop(modes: Modes, index: int, lv: Levels, sources: list[np.ndarray] | None, strength: float | np.ndarray = 0.0, width: np.ndarray | None = None) -> list[np.ndarray]:
+def _loop(modes: Modes, index: int, lv: Levels, sources: list[np.ndarray] | None, strength: float | np.ndarray = 0.0, width: np.ndarray | None = None, t: Tables | None = None) -> list[np.ndarray]:
     """Restores planes from levels, wave by wave; with sources, finds the levels first."""
     batch, mh, mw = modes.luma.shape
     m = quant.matrices(index)
@@ -287,7 +333,7 @@ def _loop(modes: Modes, index: int, lv: Levels, sources: list[np.ndarray] | None
         for whole in (True, False):
             k = np.flatnonzero(small != whole)
             if len(k):
-                (_whole if whole else _small)(planes[0], sources and sources[0], modes, lv, m, i[k], r[k], c[k], strength[i[k]], width[i[k]])
+                (_whole if whole else _small)(planes[0], sources and sources[0], modes, lv, m, i[k], r[k], c[k], strength[i[k]], width[i[k]], t or _plain())
         for n, p in enumerate(planes[1:]):
             a, b = 8 * r, 8 * c
             guess = predict.block(p, i, r, c, 8)[np.arange(len(i)), modes.chroma[i, r, c]]
@@ -300,26 +346,26 @@ def _loop(modes: Modes, index: int, lv: Levels, sources: list[np.ndarray] | None
     return [p[:, 1:, 1:] for p in planes]
 
 
-def _whole(p, source, modes, lv, m, i, r, c, strength, _width) -> None:
+def _whole(p, source, modes, lv, m, i, r, c, strength, _width, t) -> None:
     """Macroblocks with one luma mode."""
     guess = predict.block(p, i, r, c, 16)[np.arange(len(i)), modes.luma[i, r, c]]
     if source is not None:
         d = transform.fdct(_blocks(predict.cut(source, i, 16 * r, 16 * c, 16, 16) - guess)).reshape(len(i), 16, 16)
         lv.y2[i, r, c] = quant.quantize(transform.fwht(d[..., 0].reshape(-1, 4, 4)).reshape(-1, 16), m["y2"])
-        ac = _luma_levels(d, m["y1"], 1, strength)
+        ac = _luma_levels(d, m["y1"], 1, strength, t)
         ac[..., 0] = 0
         lv.y[i, r, c] = ac
     res = _restore_luma(lv.y[i, r, c], lv.y2[i, r, c], m).reshape(-1, 4, 4, 4, 4)
     predict.put(p, i, 16 * r + 1, 16 * c + 1, np.clip(guess + _join(res), 0, 255))
 
 
-def _small(p, source, modes, lv, m, i, r, c, strength, width) -> None:
+def _small(p, source, modes, lv, m, i, r, c, strength, width, t) -> None:
     """Macroblocks with sixteen luma modes."""
     for k in range(16):
         a, b = 16 * r + k // 4 * 4, 16 * c + k % 4 * 4
         guess = predict.fours(predict.edges(p, i, a, b, 16 * r if k % 4 == 3 else a, width))[np.arange(len(i)), modes.fours[i, r, c, k]]
         if source is not None:
-            lv.y[i, r, c, k] = _luma_levels(transform.fdct(predict.cut(source, i, a, b, 4, 4) - guess).reshape(-1, 16), m["y1"], 0, strength)
+            lv.y[i, r, c, k] = _luma_levels(transform.fdct(predict.cut(source, i, a, b, 4, 4) - guess).reshape(-1, 16), m["y1"], 0, strength, t)
         res = transform.idct(quant.dequantize(lv.y[i, r, c, k], m["y1"]).reshape(-1, 4, 4))
         predict.put(p, i, a + 1, b + 1, np.clip(guess + res, 0, 255))
 
@@ -632,7 +678,7 @@ def encode_rgb(images: list[np.ndarray], quality: float = 90, t: Tables | None =
     width = np.array([p[0].shape[1] for p in parts])
     y, u, v = (_stacked(list(p)) for p in zip(*parts, strict=True))
     modes = decide(y, u, v, index, t, width)
-    levels, rebuilt = code_loop(y, u, v, modes, index, strength, width)
+    levels, rebuilt = code_loop(y, u, v, modes, index, strength, width, t)
     out = []
     for i, image in enumerate(images):
         h, w = image.shape[:2]

@@ -307,3 +307,38 @@ def test_tokens_of_all_sizes_are_read_back():
         back, skip = vp8._walk_modes(head, t, None, None, got.get("skip"), mh, mw)
         read = vp8._read_tokens(boolcoder.Reader(frame[10 + size :]).code, probs.tolist(), back.small, skip)
         assert all((a == b).all() for a, b in ((read.y2, lv.y2), (read.y, lv.y), (read.uv, lv.uv), (back.small, small)))
+
+
+def test_trellis_finds_the_cheapest_levels():
+    """Against all choices of rounding down or one up for a few coefficients, priced token by token as they are written."""
+    t, s = vp8.Tables.plain(), quant.matrices(60)["y1"]
+    rng = np.random.default_rng(2)
+    bits = lambda p, bit: -256 * np.log2((256 - p if bit else p) / 256)
+
+    def rate(lv, kind, first):
+        total, ctx, free = 0.0, 1, False
+        last = max((i for i in range(16) if lv[i]), default=-1)
+        for i in range(first, 16):
+            p = t.coeff[kind, vp8.BANDS[i], ctx]
+            if not free:
+                total += bits(p[0], i <= last)
+            if i > last:
+                break
+            nodes, extra = vp8._token(int(lv[i]))
+            total += sum(bits(p[k], b) for k, b in nodes) + sum(bits(x, b) for x, b in extra) + 256 * (lv[i] > 0)
+            ctx, free = min(int(lv[i]), 2), lv[i] == 0
+        return total
+
+    for first, kind in ((0, 3), (1, 0)):
+        for weight in (1.0, 40.0, 900.0):
+            c = np.zeros((6, 16), np.int64)
+            places = [quant.ZIGZAG[i] for i in (1, 2, 3, 5)]
+            c[:, places] = rng.integers(-160, 161, (6, 4))
+            got = np.abs(vp8.trellis(c, s, first, weight, t))[:, quant.ZIGZAG]
+            for row, mine in zip(c, got, strict=True):
+                size = (np.abs(row) + s.sharpen)[quant.ZIGZAG]
+                step = s.q[quant.ZIGZAG]
+                low = (size * s.iq[quant.ZIGZAG]) >> quant.FIX
+                price = lambda lv: weight * rate(lv, kind, first) + 256 * float(((size - lv * step)[first:] ** 2).sum())  # noqa: B023, E731
+                best = min(price(np.where(np.arange(16) <= last, low + np.array([choice >> i & 1 if i < 7 else 0 for i in range(16)]), 0) * (np.arange(16) >= first)) for last in range(-1, 16) for choice in range(128))
+                assert price(mine) <= best + 1e-6
