@@ -13,12 +13,14 @@ texts are whole: their q-grams are taken at one go. Of several places of an item
 least edits is told, then the first; ``begin`` and ``end`` are where its alignment begins and ends.
 
 The items are the small side. They are read in chunks of at most ``max_item_bytes`` (8 MB) and each chunk
-goes through all texts, so what a worker holds is bounded whatever the size of the benchmark. Repeated
+goes through all texts, so the tables that a worker builds and holds are bounded whatever the size of the benchmark;
+the driver holds the items' texts. Repeated
 rows give repeated results; other columns are ignored. An empty table on either side gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -187,6 +189,21 @@ def _alone(item: np.ndarray, text: np.ndarray, lead: int) -> tuple[int, int, int
     return 1, -1, -1
 
 
+class Chunk:
+    """Items as they travel: their tables are built where they are used, once for each worker process."""
+
+    built: dict[str, Items] = {}
+
+    def __init__(self, ids: list, texts: list, rate: float):
+        self.parts, self.key = (ids, texts, rate), uuid.uuid4().hex
+
+    def items(self) -> Items:
+        if self.key not in Chunk.built:
+            Chunk.built.clear()
+            Chunk.built[self.key] = Items(*self.parts)
+        return Chunk.built[self.key]
+
+
 SCHEMA = "doc_id long, item_id long, edits int, begin int, end int"
 
 
@@ -227,19 +244,20 @@ def find(spark: SparkSession, docs: DataFrame, items: DataFrame, rate: float = R
     B.ready(spark)
     plain = B.documents(docs)
 
-    def scan(chunk: Items):
+    def scan(chunk: Chunk):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = chunk.items()
             for b in B.slices(batches):
                 ids = b.column("doc_id")
                 for at, group in _pieces(b.column("text").to_pylist()):
-                    hits = chunk.matches(group)
+                    hits = items.matches(group)
                     if hits:
                         t, i, e, a, z = zip(*hits, strict=True)
-                        yield pa.record_batch({"doc_id": ids.take(pa.array([at[x] for x in t])), "item_id": pa.array([chunk.ids[x] for x in i], pa.int64()), "edits": pa.array(e, pa.int32()), "begin": pa.array(a, pa.int32()), "end": pa.array(z, pa.int32())})
+                        yield pa.record_batch({"doc_id": ids.take(pa.array([at[x] for x in t])), "item_id": pa.array([items.ids[x] for x in i], pa.int64()), "edits": pa.array(e, pa.int32()), "begin": pa.array(a, pa.int32()), "end": pa.array(z, pa.int32())})
 
         return run
 
-    parts = [plain.mapInArrow(scan(Items(i, t, rate)), SCHEMA) for i, t in _chunks(items, id_col, text_col, max_item_bytes)]
+    parts = [plain.mapInArrow(scan(Chunk(i, t, rate)), SCHEMA) for i, t in _chunks(items, id_col, text_col, max_item_bytes)]
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], SCHEMA)
 
 
@@ -247,12 +265,13 @@ def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, rate: float =
     """The rows of docs, all columns, that hold no item; one pass over the texts for each chunk of items."""
     B.ready(spark)
     for ids, texts in _chunks(items, "item_id", "text", max_item_bytes):
-        chunk = Items(ids, texts, rate)
+        chunk = Chunk(ids, texts, rate)
 
-        def run(batches: Iterator[pa.RecordBatch], chunk: Items = chunk) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], chunk: Chunk = chunk) -> Iterator[pa.RecordBatch]:
+            items = chunk.items()
             for b in B.slices(batches):
                 texts = [t.encode() if isinstance(t, str) else t for t in b.column(text_col).to_pylist()]
-                bad = {at[h[0]] for at, group in _pieces(texts) for h in chunk.matches(group)}
+                bad = {at[h[0]] for at, group in _pieces(texts) for h in items.matches(group)}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
