@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import _blocks as B
 
 K, SCALE, EVERY = 20, 64, 20
-SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 512, 128
+SHARD_ROWS, BLOCK_ROWS, LEAF = 2048, 512, 128
 MOST_CELLS, SAMPLE, TURN, ROOTS = 1024, 64, 64, 1024
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
