@@ -75,6 +75,42 @@ def levels(planes: DataFrame, quality: float) -> DataFrame:
     return mapped(planes, run, LEVELS)
 
 
+def residuals(planes: DataFrame, quality: float) -> DataFrame:
+    """vec_id, block, k, r: what the levels come back as, to be added to the prediction."""
+    s = quant.matrices(quant.quality_index(quality))["y1"]
+
+    def run(b: pa.RecordBatch) -> dict:
+        back = quant.dequantize(quant.quantize(coefficients(matrix(b.column("px"), 64)), s), s)
+        return {**_spread(b.column("vec_id"), 4, 16), "r": pa.array(transform.idct(back.reshape(-1, 4, 4, 4)).ravel())}
+
+    return mapped(planes, run, "vec_id long, block int, k int, r long")
+
+
+def iwht(dc: DataFrame, key: str, kind: str = "long") -> DataFrame:
+    """key, k, dc: the DC values that come back from the transform of rows (key, dc) of 16."""
+
+    def run(b: pa.RecordBatch) -> dict:
+        c = transform.iwht(transform.fwht(matrix(b.column("dc"), 16).reshape(-1, 4, 4))).reshape(-1, 16)
+        at = _spread(b.column(key), 16)
+        return {key: at["vec_id"], "k": at["block"], "dc": pa.array(c.ravel())}
+
+    return mapped(dc.select(key, "dc"), run, f"{key} {kind}, k int, dc long")
+
+
+def padded(planes: DataFrame) -> DataFrame:
+    """vec_id, and the pixels of an h x w part of a plane made even and brought to the macroblock grid, added up with their places."""
+
+    def run(b: pa.RecordBatch) -> dict:
+        total, weighted = [], []
+        for px, h, w in zip(matrix(b.column("px"), 64), b.column("h").to_pylist(), b.column("w").to_pylist(), strict=True):
+            a = color.to_grid(color.even(px.reshape(8, 8)[:h, :w]), 16)
+            total.append(int(a.sum()))
+            weighted.append(int((a * np.arange(1, a.size + 1).reshape(a.shape)).sum()))
+        return {"vec_id": b.column("vec_id"), "total": pa.array(total), "weighted": pa.array(weighted)}
+
+    return mapped(planes.select("vec_id", "px", "h", "w"), run, "vec_id long, total long, weighted long")
+
+
 def last_places(planes: DataFrame, quality: float) -> DataFrame:
     """vec_id, block, the scan place of its last level (-1: none) and whether it has one."""
     s = quant.matrices(quant.quality_index(quality))["y1"]
@@ -107,6 +143,20 @@ def mode_errors(planes: DataFrame) -> DataFrame:
     return mapped(planes.select("vec_id", "px", "l", "u"), run, "vec_id long, sse array<long>")
 
 
+def small_mode_errors(planes: DataFrame) -> DataFrame:
+    """vec_id, block and the errors of the ten 4x4 modes, each plane a picture of its own."""
+
+    def run(b: pa.RecordBatch) -> dict:
+        px = matrix(b.column("px"), 64).reshape(-1, 8, 8)
+        n = len(px)
+        i, y, x = np.repeat(np.arange(n), 4), np.tile([0, 0, 4, 4], n), np.tile([0, 4, 0, 4], n)
+        guess = predict.fours(predict.edges(predict.bordered(px), i, y, x, y, np.full(4 * n, 8)))
+        own = predict.cut(px, i, y, x, 4, 4)[:, None]
+        return {**_spread(b.column("vec_id"), 4), "sse": pa.array(list(((own - guess) ** 2).sum((-1, -2))))}
+
+    return mapped(planes, run, "vec_id long, block int, sse array<long>")
+
+
 def luma(rgb: DataFrame) -> DataFrame:
     """y of rows (r, g, b)."""
     return mapped(rgb.select("r", "g", "b"), lambda b: {"y": pa.array(color.luma(np.stack([c.to_numpy() for c in b.columns], 1)))}, "y long")

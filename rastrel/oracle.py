@@ -75,6 +75,45 @@ _PACKET = r"""t AS (SELECT conv_id, role AS key, text, row_number() OVER (PARTIT
 
 
 
+def _restored() -> list[str]:
+    """The four values of one pass of the inverse transform, of d0 to d3."""
+    big, small = (lambda x: f"(((d{x} * 20091) >> 16) + d{x})"), (lambda x: f"((d{x} * 35468) >> 16)")
+    s, t, u, v = "(d0 + d2)", "(d0 - d2)", f"({small(1)} - {big(3)})", f"({big(1)} + {small(3)})"
+    return [f"{s} + {v}", f"{t} + {u}", f"{t} - {u}", f"{s} - {v}"]
+
+
+_BACK = ["(d0 + d3) + (d1 + d2)", "(d0 - d3) + (d1 - d2)", "(d0 + d3) - (d1 + d2)", "(d0 - d3) - (d1 - d2)"]
+
+
+# The ten 4x4 modes (RFC 6386, section 12.3) cell by cell, as means of two or three pixels around a place of the edge:
+# 0 to 3 the left column from the bottom up, 4 the corner, 5 to 12 the row above.
+_DIRECTIONS = {
+    2: "3:5 3:6 3:7 3:8 " * 4,
+    4: "3:4 3:5 3:6 3:7 3:3 3:4 3:5 3:6 3:2 3:3 3:4 3:5 3:1 3:2 3:3 3:4",
+    5: "2:4 2:5 2:6 2:7 3:4 3:5 3:6 3:7 3:3 2:4 2:5 2:6 3:2 3:4 3:5 3:6",
+    6: "3:6 3:7 3:8 3:9 3:7 3:8 3:9 3:10 3:8 3:9 3:10 3:11 3:9 3:10 3:11 3:12",
+    7: "2:5 2:6 2:7 2:8 3:6 3:7 3:8 3:9 2:6 2:7 2:8 3:10 3:7 3:8 3:9 3:11",
+    8: "2:3 3:4 3:5 3:6 2:2 3:3 2:3 3:4 2:1 3:2 2:2 3:3 2:0 3:1 2:1 3:2",
+    9: "2:2 3:2 2:1 3:1 2:1 3:1 2:0 1:1 2:0 1:1 1:0 1:0 1:0 1:0 1:0 1:0",
+}
+
+
+def _mean(cell: str) -> str:
+    n, k = (int(x) for x in cell.split(":"))
+    if n == 1:  # the lowest pixel on the left, alone or three times
+        return "e[2]" if k == 0 else "((e[3] + 3 * e[2] + 2) >> 2)"
+    return f"((e[{k + 2}] + e[{k + 3}] + 1) >> 1)" if n == 2 else f"((e[{k + 1}] + 2 * e[{k + 2}] + e[{k + 3}] + 2) >> 2)"
+
+
+def _fours() -> list[str]:
+    """The sixteen guesses of each mode as lists; e has a copy of its first and of its last pixel around it."""
+    out = {m: "[" + ", ".join(map(_mean, cells.split())) + "]" for m, cells in _DIRECTIONS.items()}
+    out[0] = "[(list_sum(e[7:10]) + list_sum(e[2:5]) + 4)::BIGINT >> 3 FOR k IN generate_series(0, 15)]"
+    out[1] = "[least(255, greatest(0, e[5 - k // 4] + e[7 + k % 4] - e[6])) FOR k IN generate_series(0, 15)]"
+    out[3] = "[" + ", ".join(x for x in (_mean("3:3"), _mean("3:2"), _mean("3:1"), _mean("1:1")) for _ in range(4)) + "]"
+    return [out[m] for m in range(10)]
+
+
 def _escaped(x: str) -> str:
     return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
@@ -91,6 +130,20 @@ SELECT v, run, count(*) AS n FROM r GROUP BY v, run""",
 a0 AS (SELECT mb, i, coalesce(d0, 0) AS d0, coalesce(d1, 0) AS d1, coalesce(d2, 0) AS d2, coalesce(d3, 0) AS d3 FROM a), b AS ({_union('a0', 'mb, i', 'j', 't', _WHT)}),
 b4 AS ({_four('b', 'mb, j', 'i', 't')}), b0 AS (SELECT mb, j, coalesce(d0, 0) AS d0, coalesce(d1, 0) AS d1, coalesce(d2, 0) AS d2, coalesce(d3, 0) AS d3 FROM b4),
 z AS ({_union('b0', 'mb, j', 'i', 'c', [f'({x}) >> 1' for x in _WHT])}) SELECT mb, (i * 4 + j)::INT AS k, c FROM z""",
+    "idct": f"""WITH {_LEVELS}, z AS (SELECT vec_id, block, k // 4 AS i, k % 4 AS j, level * q AS t FROM lv), p1 AS ({_four('z', 'vec_id, block, j', 'i', 't')}), p2 AS ({_union('p1', 'vec_id, block, j', 'i', 't', _restored())}),
+p3 AS (SELECT vec_id, block, i, j, t + CASE WHEN j = 0 THEN 4 ELSE 0 END AS t FROM p2), p4 AS ({_four('p3', 'vec_id, block, i', 'j', 't')}), p5 AS ({_union('p4', 'vec_id, block, i', 'j', 'r', [f'({x}) >> 3' for x in _restored()])})
+SELECT vec_id, block, (i * 4 + j)::INT AS k, r::BIGINT AS r FROM p5""",
+    "pad_planes": f"""WITH {_PLANE}, s AS (SELECT DISTINCT vec_id, vec_id % 8 + 1 AS w, vec_id // 8 % 8 + 1 AS h FROM embeddings), g AS (SELECT vec_id, y, x, least(y, h - 1) * 8 + least(x, w - 1) AS pos FROM s, generate_series(0, 15) a(y), generate_series(0, 15) b(x))
+SELECT vec_id, sum(px)::BIGINT AS total, sum(px * (16 * y + x + 1))::BIGINT AS weighted FROM g JOIN plane USING (vec_id, pos) GROUP BY vec_id""",
+    "riff_chunks": """WITH p AS (SELECT page_id, encode(html) AS raw, hex(encode(html)) AS h, strlen(html) AS n, (1 + page_id % 5000)::INT AS w, (1 + page_id % 300)::INT AS hh FROM pages WHERE html IS NOT NULL),
+le AS (SELECT *, unhex('1002009D012A' || format('{:02X}{:02X}{:02X}{:02X}', w % 256, w // 256, hh % 256, hh // 256) || h) AS frame, CASE WHEN page_id % 3 = 1 THEN 32 ELSE 0 END + CASE WHEN page_id % 2 = 1 THEN 8 ELSE 0 END AS flags FROM p),
+c AS (SELECT page_id, 0 AS o, 'VP8X' AS type, unhex(format('{:02X}000000{:02X}{:02X}00{:02X}{:02X}00', flags, (w - 1) % 256, (w - 1) // 256, (hh - 1) % 256, (hh - 1) // 256)) AS x FROM le WHERE flags > 0
+UNION ALL SELECT page_id, 1, 'ICCP', unhex(substr(h, 1, 14)) FROM le WHERE flags >= 32 UNION ALL SELECT page_id, 2, 'VP8 ', frame FROM le UNION ALL SELECT page_id, 3, 'EXIF', unhex(substr(h, 1, 20)) FROM le WHERE flags % 16 = 8)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY o) - 1)::INT AS seq, type, octet_length(x)::BIGINT AS size, md5(x) AS md5 FROM c""",
+    "rgba_psnr": f"""WITH {_PICTURES}, d AS (SELECT vec_id, color, px % 16 AS e, CASE WHEN color >= 4 THEN (255 - px) % 16 ELSE 15 END AS f FROM pic JOIN plane USING (vec_id) WHERE pos % 8 < w AND pos // 8 < h),
+m AS (SELECT vec_id, sum(3 * e * e + f * f)::DOUBLE / (4 * count(*)) AS mse FROM d GROUP BY vec_id)
+SELECT vec_id, round(CASE WHEN mse = 0 THEN 99.0::DOUBLE ELSE 10 * log10(65025.0::DOUBLE / mse) END, 6) AS psnr FROM m""",
+    "quarantine": "SELECT 'bad/' || page_id::VARCHAR || CASE page_id % 2 WHEN 0 THEN '.jpg' ELSE '.png' END AS rel, md5(html) AS md5 FROM pages WHERE html IS NOT NULL",
     "quantize_levels": f"WITH {_LEVELS} SELECT k, level, count(*) AS n, sum((c - level * q) * (c - level * q))::BIGINT AS sse FROM lv GROUP BY k, level",
     "zigzag_last": f"""WITH {_LEVELS}, m AS (SELECT vec_id, block, coalesce(max(list_position({quant.ZIGZAG}, k) - 1) FILTER (level <> 0), -1)::INT AS last FROM lv GROUP BY ALL)
 SELECT last, count(*) AS blocks FROM m GROUP BY last""",
@@ -103,6 +156,12 @@ SELECT a.vec_id, coalesce((SELECT b.nz FROM p b WHERE b.row_ = a.row_ AND b.vec_
     "predict_argmin": f"""WITH {_NEIGHBOURS}, c AS (SELECT vec_id, mode, sse * 256 + [302, 984, 439, 642][mode + 1] * 120 AS cost FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cost, mode) AS n FROM c) SELECT vec_id, mode::INT AS mode, cost FROM r WHERE n = 1""",
     "mode_top3": f"WITH {_NEIGHBOURS}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sse, mode) - 1 AS n FROM s) SELECT vec_id, n::INT AS rank, mode::INT AS mode, sse FROM r WHERE n < 3",
+    "predict_fours": f"""WITH {_PLANE}, p AS (SELECT vec_id, list(px ORDER BY pos) AS px FROM plane GROUP BY vec_id), b AS (SELECT vec_id, px, block, block // 2 * 4 AS y, block % 2 * 4 AS x FROM p, generate_series(0, 3) g(block)),
+l AS (SELECT *, [CASE WHEN x = 0 THEN 129 ELSE px[8 * (y + 3 - k) + x] END FOR k IN generate_series(0, 3)] AS lf, CASE WHEN y = 0 THEN 127 WHEN x = 0 THEN 129 ELSE px[8 * (y - 1) + x] END AS corner,
+  [CASE WHEN y = 0 THEN 127 ELSE px[8 * (y - 1) + least(x + k, 7) + 1] END FOR k IN generate_series(0, 7)] AS up FROM b),
+e AS (SELECT vec_id, block, [px[8 * (y + k // 4) + x + k % 4 + 1] FOR k IN generate_series(0, 15)] AS own, list_concat([lf[1]], list_concat(lf, list_concat([corner], list_concat(up, [up[8]])))) AS e FROM l),
+m AS (SELECT vec_id, block, own, unnest(generate_series(0, 9)) AS mode, unnest([{", ".join(_fours())}]) AS g FROM e)
+SELECT vec_id, block::INT AS block, mode::INT AS mode, list_sum([(own[k] - g[k]) ** 2 FOR k IN generate_series(1, 16)])::BIGINT AS sse FROM m""",
     "rgb_to_y": """WITH y AS (SELECT least(255, greatest(0, (16839 * (l_partkey % 256) + 33059 * (l_suppkey % 256) + 6420 * l_quantity::BIGINT + 32768 + 1048576) >> 16))::BIGINT AS y FROM lineitem)
 SELECT y, count(*) AS n FROM y GROUP BY y""",
     "rgb_to_uv": """WITH p AS (SELECT l_orderkey, l_partkey % 256 AS r, l_suppkey % 256 AS g, l_quantity::BIGINT AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 256, l_suppkey % 256, l_quantity::BIGINT) - 1 AS n FROM lineitem),
@@ -193,3 +252,6 @@ tab AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
 crc AS (SELECT rel, list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(hex(encode(rel)), 2 * j - 1, 2))::BIGINT FOR j IN generate_series(1, strlen(rel))]), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])) AS c FROM inputs, tab)
 SELECT rel FROM crc WHERE xor(c, 4294967295) % 100 < 10""",
 }
+SQL["iwht"] = f"""WITH f AS ({SQL["fwht"]}), z AS (SELECT mb, k // 4 AS i, k % 4 AS j, c FROM f), p1 AS ({_four('z', 'mb, j', 'i', 'c')}), p2 AS ({_union('p1', 'mb, j', 'i', 't', _BACK)}),
+p3 AS (SELECT mb, i, j, t + CASE WHEN j = 0 THEN 3 ELSE 0 END AS t FROM p2), p4 AS ({_four('p3', 'mb, i', 'j', 't')}), p5 AS ({_union('p4', 'mb, i', 'j', 'dc', [f'({x}) >> 3' for x in _BACK])})
+SELECT mb, (i * 4 + j)::INT AS k, dc::BIGINT AS dc FROM p5"""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import containers, lossless, png, quant, vp8
+from .functions import color, containers, lossless, png, quant, vp8
 from .operators import convert, kernels, outcomes
 from .plans import batching
 from .sources import files
@@ -50,12 +50,33 @@ def fdct(spark: SparkSession, sf: str) -> DataFrame:
     return kernels.fdct(_whole(spark, sf))
 
 
-def fwht(spark: SparkSession, sf: str) -> DataFrame:
-    """of the 16 DC values of four planes; 0 where there is none."""
+def _sixteen(spark: SparkSession, sf: str) -> DataFrame:
+    """mb and the 16 DC values of its four planes; 0 where there is none."""
     dc = kernels.block_dc(_whole(spark, sf)).select(F.floor(F.col("vec_id") / 4).alias("mb"), (F.col("vec_id") % 4).alias("i"), "dc")
     own = dc.groupBy("mb").agg(F.map_from_entries(F.collect_list(F.struct("i", "dc"))).alias("m"))  # four planes at most
     none = F.array_repeat(F.lit(0).cast("long"), 4)
-    return kernels.fwht(own.select("mb", F.flatten(F.array(*(F.coalesce(F.try_element_at("m", F.lit(i).cast("long")), none) for i in range(4)))).alias("dc")), "mb")
+    return own.select("mb", F.flatten(F.array(*(F.coalesce(F.try_element_at("m", F.lit(i).cast("long")), none) for i in range(4)))).alias("dc"))
+
+
+def fwht(spark: SparkSession, sf: str) -> DataFrame:
+    """of the 16 DC values of four planes."""
+    return kernels.fwht(_sixteen(spark, sf), "mb")
+
+
+def iwht(spark: SparkSession, sf: str) -> DataFrame:
+    """the DC values that come back from it."""
+    return kernels.iwht(_sixteen(spark, sf), "mb")
+
+
+def idct(spark: SparkSession, sf: str) -> DataFrame:
+    """the residuals that the levels come back as."""
+    return kernels.residuals(_whole(spark, sf), QUALITY)
+
+
+def pad_planes(spark: SparkSession, sf: str) -> DataFrame:
+    """parts of planes, of all sizes, made even and brought to the grid."""
+    w, h = (F.col("vec_id") % 8 + 1).cast("int"), (F.floor(F.col("vec_id") / 8) % 8 + 1).cast("int")
+    return kernels.padded(_whole(spark, sf).withColumn("w", w).withColumn("h", h))
 
 
 def quantize_levels(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,6 +132,11 @@ def mode_top3(spark: SparkSession, sf: str) -> DataFrame:
     return _modes(spark, sf).select("vec_id", F.posexplode(best).alias("rank", "b")).select("vec_id", "rank", F.col("b.mode").cast("int").alias("mode"), "b.sse")
 
 
+def predict_fours(spark: SparkSession, sf: str) -> DataFrame:
+    """The errors of the ten 4x4 modes of every block, edges of the frame among them."""
+    return kernels.small_mode_errors(_whole(spark, sf)).select("vec_id", "block", F.posexplode("sse").alias("mode", "sse"))
+
+
 def _rgb(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 256).alias("r"), (F.col("l_suppkey") % 256).alias("g"), F.col("l_quantity").cast("long").alias("b"))
 
@@ -309,6 +335,40 @@ def png_text(spark: SparkSession, sf: str) -> DataFrame:
     return t
 
 
+def riff_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers around page texts, with and without metadata, and their chunks as they are read back."""
+
+    def run(b: pa.RecordBatch) -> dict:
+        out = []
+        for i, html in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist(), strict=True):
+            raw = html.encode()
+            frame = b"\x10\2\0\x9d\1\x2a" + (1 + i % 5000).to_bytes(2, "little") + (1 + i % 300).to_bytes(2, "little") + raw
+            data = containers.webp(frame, None, raw[:7] if i % 3 == 1 else None, raw[:10] if i % 2 else None, None)
+            out += [(i, k, kind, len(x), hashlib.md5(x).hexdigest()) for k, (kind, x) in enumerate(containers.riff(data))]
+        cols = zip(("page_id", "seq", "type", "size", "md5"), zip(*out, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string()), strict=True)
+        return {n: pa.array(c, k) for n, c, k in cols}
+
+    return kernels.mapped(load(spark, sf, "pages").where("html IS NOT NULL").select("page_id", "html"), run, "page_id long, seq int, type string, size long, md5 string")
+
+
+def rgba_psnr(spark: SparkSession, sf: str) -> DataFrame:
+    """Decoded pictures against themselves in steps of 16, over all four channels."""
+
+    def run(b: pa.RecordBatch) -> dict:
+        a = [png.decode(x) for x in b.column("content").to_pylist()]
+        return {"vec_id": b.column("vec_id"), "psnr": pa.array([round(color.psnr(x, x >> 4 << 4), 6) for x in a], pa.float64())}
+
+    return kernels.mapped(pictures(spark, sf).select("vec_id", "content"), run, "vec_id long, psnr double")
+
+
+def quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Among pictures, files that are none fail one by one and come back as they were."""
+    pages = load(spark, sf, "pages").where("html IS NOT NULL").select(F.concat(F.lit("bad/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".jpg").otherwise(".png")).alias("rel"), F.col("html").cast("binary").alias("content"))
+    all_ = tiled(spark, sf).select("rel", "content").unionByName(pages)
+    bad = convert.quarantine(convert.convert(all_, min_psnr=None), all_)
+    return bad.select("rel", F.md5("content").alias("md5"))
+
+
 # --- entropy and lossless coding
 
 
@@ -511,9 +571,9 @@ def rlambda_two_pass(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        psnr_by_label, plane_histogram, run_lengths, fdct, fwht, quantize_levels, zigzag_last, nz_context, y2_context, predict_argmin, mode_top3, rgb_to_y, rgb_to_uv, quality_to_q, quant_matrix,
+        psnr_by_label, plane_histogram, run_lengths, fdct, fwht, iwht, idct, pad_planes, quantize_levels, zigzag_last, nz_context, y2_context, predict_argmin, mode_top3, predict_fours, rgb_to_y, rgb_to_uv, quality_to_q, quant_matrix,
         size_histogram, batch_assignment, batch_slices, raw_size_adam7, bucket_plan, byte_groups, byte_slices, size_gates, largest_group, skip_existing, delete_candidates, first_writer, path_collisions, corpus_union, meta_diff,
-        crc_sample, md5_check, adler32, format_sniff, png_headers, png_chunks, png_decode, png_text, entropy_bits, prefix_code, canonical_codes, huffman_lengths, huffman_bits, prob_update_fit, alpha_roundtrip,
+        crc_sample, md5_check, adler32, format_sniff, png_headers, png_chunks, png_decode, png_text, riff_chunks, rgba_psnr, quarantine, entropy_bits, prefix_code, canonical_codes, huffman_lengths, huffman_bits, prob_update_fit, alpha_roundtrip,
         xmp_build, xmp_parse, outcome_rollup, progress_window, verify_gate, keep_smaller, rate_scale, convert_corpus, outcome_sizes, rlambda_two_pass,
     )
 }
