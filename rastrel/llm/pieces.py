@@ -23,6 +23,7 @@ no round trip. Other columns are ignored. Models with a normalizer of their own
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from . import _blocks as B
 
 SPACE = "▁"
-GIANT, CHUNK, KEPT = 1 << 16, 1 << 14, 300_000
+GIANT, CHUNK, KEPT, TOGETHER = 1 << 16, 1 << 14, 300_000, 64
 NONE = float("-inf")
 
 
@@ -47,6 +48,148 @@ def starts(pieces: Iterable[str], bpe: bool) -> dict[str, int]:
     return {p[:n]: PART for p in pieces for n in range(1, len(p))} | dict.fromkeys(pieces, UNSEEN if bpe else PIECE)
 
 
+class _Hash:
+    """Whole numbers from 0 on, put and found by whole arrays; open addressing."""
+
+    def __init__(self, bits: int):
+        self.keys, self.values, self.shift, self.n = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32), np.uint64(64 - bits), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that it doesn't hold."""
+        at, left = self._slots(keys), np.arange(len(keys))
+        self.n += len(keys)
+        while len(left):
+            free = self.keys[at[left]] < 0
+            self.keys[at[left[free]]] = keys[left[free]]
+            won = self.keys[at[left]] == keys[left]
+            self.values[at[left[won]]] = values[left[won]]
+            left = left[~won]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, or -1."""
+        out, left, at = np.full(len(keys), -1, np.int32), np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            found = self.keys[at]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            go = ~hit & (found >= 0)
+            left, at = left[go], (at[go] + 1) & (len(self.keys) - 1)
+        return out
+
+
+class Lattice:
+    """The lattices of many words of a BPE model at once, as arrays: a trie of the pieces, and the weights between pieces as they are asked for."""
+
+    def __init__(self, m: Model):
+        self.m, self.size = m, len(m.text)
+        node = {"": 0}
+        for p in m.id:
+            for n in range(1, len(p) + 1):
+                node.setdefault(p[:n], len(node))
+        step = [(node[p[:-1]] << 21 | ord(p[-1]), k) for p, k in node.items() if p]
+        self.trie = _Hash(max(8, int(np.ceil(np.log2(2 * len(step) + 2)))))
+        self.trie.put(*(np.array(x, np.int64) for x in zip(*step, strict=True)))
+        self.piece = np.full(len(node), -1, np.int32)
+        # the order in which merges come, the last merge of each piece, and whether all before it came earlier
+        self.order = {p: k for k, p in enumerate(sorted(m.id, key=lambda p: (-m.rank[p], m.id[p])))}
+        self.parts: dict[str, tuple[str, str] | None] = {}
+        self.steady: dict[str, bool] = {}
+        for p in sorted(m.id, key=len):
+            if len(p) == 1:
+                self.parts[p], self.steady[p] = None, True
+                self.piece[node[p]] = m.id[p]
+                continue
+            last = m.merged(list(p), 2)
+            if len(last) == 2:
+                self.piece[node[p]] = m.id[p]
+                self.parts[p] = (last[0], last[1])
+                self.steady[p] = all(self.steady.get(x, False) and (len(x) == 1 or self.order[x] < self.order[p]) for x in last)
+        self.long = np.array([len(x) for x in m.text])
+        self.open = _Hash(16)
+        self.alone = re.compile(f"([^{re.escape(''.join(sorted({c for p in m.id for c in p})))}]+)")
+
+    def _open(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a.astype(np.int64) * self.size + b
+        out = self.open.get(keys)
+        new = np.unique(keys[out < 0])
+        if len(new):
+            if 2 * (self.open.n + len(new)) > len(self.open.keys):
+                old = self.open
+                self.open = _Hash(int(np.ceil(np.log2(4 * (old.n + len(new))))))
+                if old.n < 4 * KEPT:
+                    held = old.keys >= 0
+                    self.open.put(old.keys[held], old.values[held])
+            t = self.m.text
+            self.open.put(new, np.array([self._apart(t[k // self.size], t[k % self.size]) for k in new.tolist()], np.int32))
+            out = self.open.get(keys)
+        return out > 0
+
+    def _apart(self, a: str, b: str) -> bool:
+        """``Model.open`` by the last merges of the pieces, backwards along the border.
+
+        Two neighbours at the border join unless what either of them went into comes earlier (of equal merges the left one does).
+        """
+        if not (self.steady[a] and self.steady[b]):
+            return self.m.open(a, b)
+        order, parts, limit = self.order, self.parts, len(self.order)
+        while True:
+            c = order.get(a + b)
+            if c is not None and c < limit:
+                return False
+            x, y = parts[a], parts[b]
+            if x is not None and (y is None or order[a] > order[b]):
+                limit, a = order[a], x[1]
+            elif y is not None:
+                limit, b = order[b] + 1, y[0]
+            else:
+                return True
+
+    def paths(self, words: list[str]) -> list[list[int] | None]:
+        """The ids along each word's one open path (see ``only_path``); None for words with characters that are no piece."""
+        size = np.array([len(w) for w in words])
+        cp = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        text = np.zeros((len(words), size.max()), np.int64)
+        inside = np.arange(text.shape[1]) < size[:, None]
+        text[inside] = cp
+        ends = np.full((len(words), text.shape[1] + 1), -1, np.int32)
+        whole = np.ones(len(words), bool)
+        for i in range(text.shape[1]):
+            who = np.flatnonzero((size > i) & (ends[:, i] >= 0 if i else whole))
+            node, end = np.zeros(len(who), np.int64), i
+            while len(who):
+                node = self.trie.get(node << 21 | text[who, end])
+                end += 1
+                on = node >= 0
+                p = np.where(on, self.piece[node], -1)
+                if end == i + 1:
+                    whole[who[p < 0]] = False
+                to, b = who[p >= 0], p[p >= 0]
+                if i and len(to):
+                    ok = self._open(ends[to, i], b)
+                    to, b = to[ok], b[ok]
+                ends[to, end] = b
+                on &= size[who] > end
+                who, node = who[on], node[on].astype(np.int64)
+        at, rows, ids = size.copy(), [], []
+        who = np.flatnonzero(whole & (ends[np.arange(len(words)), size] >= 0))
+        good = np.zeros(len(words), bool)
+        good[who] = True
+        while len(who):  # back from the ends
+            b = ends[who, at[who]]
+            rows.append(who)
+            ids.append(b)
+            at[who] -= self.long[b]
+            who = who[at[who] > 0]
+        row, id_ = (np.concatenate(x[::-1]) for x in (rows, ids)) if rows else (np.empty(0, np.int64),) * 2
+        o = np.argsort(row, kind="stable")
+        flat, cut = id_[o].tolist(), np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(words)))]).tolist()
+        return [flat[a:z] if ok else None for a, z, ok in zip(cut, cut[1:], good.tolist(), strict=False)]
+
+
 class Model:
     """Pieces of a SentencePiece model file and the weights between them."""
 
@@ -73,15 +216,18 @@ class Model:
         self.after: dict[str, dict[str, bool]] = {}
         self.known = starts(self.id, self.bpe)
         self.words: dict[str, list[int]] = {}
+        self.lattice: Lattice | None = None
         raw = [bytes([int(p.piece[3:5], 16)]) if p.type == kind.BYTE else b"" if p.type in (kind.CONTROL, kind.UNKNOWN) else p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """What the merges make of symbols: the best scored pair first, from the left."""
+    def merged(self, symbols: list[str], until: int = 1) -> list[str]:
+        """What the merges make of symbols: the best scored pair first, from the left; until: stop at so many symbols, if they can be joined."""
         s, rank = list(symbols), self.rank.get
         gain = [rank(a + b, NONE) for a, b in zip(s, s[1:], strict=False)]
         while gain and (best := max(gain)) > NONE:
+            if len(s) == until:
+                return s
             k = gain.index(best)
             s[k : k + 2] = [s[k] + s[k + 1]]
             del gain[k]
@@ -146,6 +292,33 @@ class Model:
             got = self.words[w] = self.ids(only_path(self, w) if self.bpe else best_path(self, w, 0, len(w), None, None))
         return got
 
+    def learn(self, words: Iterable[str]) -> None:
+        """Puts words into the table that aren't there, many at a time."""
+        new = [w for w in set(words).difference(self.words) if w]
+        if not self.bpe or len(new) < TOGETHER:
+            return
+        if self.lattice is None:
+            self.lattice = Lattice(self)
+        if len(self.words) + len(new) > KEPT:
+            self.words.clear()
+        self.words.update(self._paths(new))
+        # characters that no piece holds stand for themselves, and what is between them is as words are
+        odd = {w: self.lattice.alone.split(w) for w in new if w not in self.words}
+        part = self._paths(list({x for xs in odd.values() for x in xs[::2] if x}))
+        for w, xs in odd.items():
+            own = [self.ids(list(x)) if k % 2 else part.get(x) if x else [] for k, x in enumerate(xs)]
+            if all(x is not None for x in own):
+                self.words[w] = [i for x in own for i in x]
+
+    def _paths(self, words: list[str]) -> dict[str, list[int]]:
+        """Words and the ids of those that the arrays can tell."""
+        words.sort(key=len)
+        out = {}
+        for k in range(0, len(words), 1 << 14):
+            some = words[k : k + (1 << 14)]
+            out.update((w, x) for w, x in zip(some, self.lattice.paths(some), strict=True) if x is not None)
+        return out
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids, without the space put before it."""
         n = self.raw_at[ids + 1] - self.raw_at[ids]
@@ -265,13 +438,21 @@ def prepared(m: Model, text: str) -> str:
     return (SPACE if m.prefix and text else "") + text.replace(" ", SPACE)
 
 
+def encode_all(m: Model, texts: list[str]) -> list[np.ndarray]:
+    """The ids of texts that are not giant: each is one chunk with a single state on either side."""
+    cut = [words(prepared(m, t)) for t in texts]
+    m.learn(w for ws in cut for w in ws)
+    out, table = [], m.words
+    for ws in cut:
+        ids: list[int] = []
+        for w in ws:
+            ids += table.get(w) or m.word(w)
+        out.append(np.array(ids, np.int32))
+    return out
+
+
 def encode(m: Model, text: str) -> np.ndarray:
-    """The ids of a text that is not giant."""
-    table = m.words
-    out: list[int] = []
-    for w in words(prepared(m, text)):
-        out += table.get(w) or m.word(w)
-    return np.array(out, np.int32)
+    return encode_all(m, [text])[0]
 
 
 class Chunk:
@@ -336,7 +517,9 @@ class Chunk:
         if self.head is None:
             return m.ids(best_path(m, self.text, self.a, self.z, left, r))
         out = m.ids(best_path(m, self.text, self.a, self.head, left, None)) if self.head > self.a else []
-        for w in words(self.text[self.head : self.tail]) if self.tail > self.head else []:
+        inner = words(self.text[self.head : self.tail]) if self.tail > self.head else []
+        m.learn(inner)
+        for w in inner:
             out += m.word(w)
         if self.tail < self.z:
             out += m.ids(best_path(m, self.text, self.tail, self.z, None, r))
@@ -404,7 +587,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str, giant: int
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 raw = [t or b"" for t in part.column("text").to_pylist()]
-                ids = [encode(m, t.decode("utf-8", "replace")) for t in raw]
+                ids = encode_all(m, [t.decode("utf-8", "replace") for t in raw])
                 yield _rows(part.column("doc_id"), ids, [m.decode(i) == t for i, t in zip(ids, raw, strict=True)])
 
     short = plain.where(~is_giant).mapInArrow(small, out_kind)

@@ -393,6 +393,25 @@ def test_chunks_encode_as_the_library(sp, corpus, size):
         assert m.decode(pieces.encode(m, t)).decode() == t.replace("▁", " ")
 
 
+def test_lattices_of_many_words_are_those_of_one(corpus, sp):
+    """Words with and without characters that are pieces, long and short, against the one-by-one path and the library."""
+    rng = random.Random(6)
+    some = [w for t in [*ODD, *(r[1] for r in corpus if r[1])] for w in pieces.words(t.replace(" ", pieces.SPACE)) if w]
+    some += [pieces.SPACE + "".join(rng.choice("etaoinshrdlucmfwypvbgk" * 3 + "EA.,'-0é日😀\n") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    some = sorted(set(some))
+    m = pieces.Model(P.path("piece_bpe_32k.model"))
+    lattice = pieces.Lattice(m)
+    got = lattice.paths(some)
+    assert sum(x is not None for x in got) > 2500 and any(x is None for x in got)
+    assert all(x is None or x == m.ids(pieces.only_path(m, w)) for w, x in zip(some, got, strict=True))
+    sound = [p for p, x in lattice.parts.items()]
+    pairs = [(rng.choice(sound), rng.choice(sound)) for _ in range(20_000)] + [(w[:k], w[k:]) for w in some for k in (2, 3) if w[:k] in lattice.parts and w[k:] in lattice.parts]
+    assert all(lattice._apart(a, b) == m.open(a, b) for a, b in pairs) and 0.2 < np.mean([lattice._apart(a, b) for a, b in pairs])
+    m.learn(some)
+    for w in some[::7]:
+        assert m.word(w) == m.ids(pieces.only_path(m, w)) == m.ids(m.merged(list(w)))
+
+
 def test_documents(spark, docs, corpus, empty, sp):
     got = pieces.encode_documents(spark, docs, P.path("piece_bpe_32k.model"), giant=400, chunk=100)
     rows = got.collect()
@@ -406,7 +425,7 @@ def test_documents(spark, docs, corpus, empty, sp):
 def test_max_plus_finds_the_best_unigram_path():
     m = pieces.Model.__new__(pieces.Model)
     rng = random.Random(1)
-    m.bpe, m.prefix, m.byte, m.unknown, m.words = False, False, {}, 0, {}
+    m.bpe, m.prefix, m.byte, m.unknown, m.words, m.lattice = False, False, {}, 0, {}, None
     m.text = ["?", *sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(20)} | {"a", "b"})]
     m.score = [-20.0, *(-rng.random() * 5 for _ in m.text[1:])]
     m.id = {p: i for i, p in enumerate(m.text) if i}
