@@ -398,13 +398,13 @@ def _read_block(code, p: list, ctx: int, first: int, out: np.ndarray) -> int:
     return some
 
 
-def _read_tokens(code, probs: list, small: np.ndarray, skip: np.ndarray) -> Levels:
-    """All blocks of a frame; small and skip: (mh, mw)."""
+def _read_tokens(codes: list, probs: list, small: np.ndarray, skip: np.ndarray) -> Levels:
+    """All blocks of a frame; small and skip: (mh, mw). Rows of macroblocks take turns in the partitions, of which codes has one reader each."""
     mh, mw = small.shape
     out = Levels(*(np.zeros((mh, mw, *s), np.int64) for s in ((16,), (16, 16), (8, 16))))
     above = [[0] * 9 for _ in range(mw)]
     for r in range(mh):
-        lf = [0] * 9
+        lf, code = [0] * 9, codes[r % len(codes)]
         for c in range(mw):
             up, four = above[c], bool(small[r, c])
             if skip[r, c]:
@@ -445,8 +445,8 @@ def _last_valid(x: np.ndarray, valid: np.ndarray, axis: int) -> np.ndarray:
     return np.moveaxis(out, 0, axis)
 
 
-def tokens(small: np.ndarray, skip: np.ndarray, lv: Levels) -> tuple[np.ndarray, np.ndarray]:
-    """The bits of all blocks of a frame in order, and the slots of their probabilities.
+def tokens(small: np.ndarray, skip: np.ndarray, lv: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bits of all blocks of a frame in order, the slots of their probabilities, and their rows of macroblocks.
 
     Contexts come from whole planes of flags. Every place of a block that is sent has a row of at most nineteen bits,
     of which those that apply are taken.
@@ -506,7 +506,8 @@ def tokens(small: np.ndarray, skip: np.ndarray, lv: Levels) -> tuple[np.ndarray,
         for k, p in enumerate(probs):
             put(7 + k, when, (size - base) >> (len(probs) - 1 - k) & 1, p)
     put(18, size > 0, value < 0, 128)
-    return bits[on], at[on]
+    row = np.repeat(np.arange(mh), 25 * mw)[sent]
+    return bits[on], at[on], np.repeat(row[b], on.sum(1))
 
 
 def _walk_modes(coder, t: Tables, modes: Modes | None, skip: np.ndarray | None, prob_skip: int | None, mh: int, mw: int) -> tuple[Modes, np.ndarray]:
@@ -553,8 +554,8 @@ def fit_probabilities(n0: np.ndarray, n1: np.ndarray, old: np.ndarray, update: n
     return new, (n >= 24) & (bits(old) - bits(new) > np.maximum(14, send))
 
 
-def write_frame(h: int, w: int, modes: Modes, levels: Levels, index: int, t: Tables | None = None, adapt: bool = True) -> bytes:
-    """One image's key frame. With adapt, fitted probabilities are sent if the frame gets smaller so.
+def write_frame(h: int, w: int, modes: Modes, levels: Levels, index: int, t: Tables | None = None, adapt: bool = True, partitions: int = 1) -> bytes:
+    """One image's key frame, with 1, 2, 4 or 8 partitions of tokens. With adapt, fitted probabilities are sent if the frame gets smaller so.
 
     The tokens are bits with the slots of their probabilities; counts by slot give the fitted probabilities and the
     bits that either choice takes.
@@ -566,7 +567,7 @@ def write_frame(h: int, w: int, modes: Modes, levels: Levels, index: int, t: Tab
     prob_skip = prob if prob < 250 and skip.any() else None
     if prob_skip is None:
         skip = np.zeros_like(skip)
-    one, at = tokens(modes.small, skip, levels)
+    one, at, row = tokens(modes.small, skip, levels)
     n1 = np.bincount(at[one], minlength=256 + SLOTS.size)[256:].reshape(SLOTS.shape)
     n0 = np.bincount(at, minlength=256 + SLOTS.size)[256:].reshape(SLOTS.shape) - n1
     fitted = None
@@ -576,24 +577,31 @@ def write_frame(h: int, w: int, modes: Modes, levels: Levels, index: int, t: Tab
         flags = np.where(send, 8 - np.log2(1 - t.update / 256), 0).sum() + np.log2(t.update / 256)[send].sum()
         if cost(np.where(send, new, t.coeff)) + flags < cost(t.coeff):
             fitted = new, send
-    head, body = boolcoder.Writer(), boolcoder.Writer()
-    probs, _ = _walk_header(head, index, t, fitted, prob_skip)
+    if partitions not in (1, 2, 4, 8):
+        raise ValueError("1, 2, 4 or 8 partitions")
+    head, bodies = boolcoder.Writer(), [boolcoder.Writer() for _ in range(partitions)]
+    probs, _ = _walk_header(head, index, t, fitted, prob_skip, partitions)
     _walk_modes(head, t, modes, skip, prob_skip, mh, mw)
-    body.run(one.tolist(), np.concatenate([np.arange(256), probs.ravel()])[at].tolist())
-    first, second = head.finish(), body.finish()
+    prob = np.concatenate([np.arange(256), probs.ravel()])[at]
+    for k, body in enumerate(bodies):
+        mine = row % partitions == k
+        body.run(one[mine].tolist(), prob[mine].tolist())
+    first, parts = head.finish(), [body.finish() for body in bodies]
+    second = b"".join([*(len(x).to_bytes(3, "little") for x in parts[:-1]), *parts])
     tag = (1 << 4) | (len(first) << 5)
     out = tag.to_bytes(3, "little") + START + (w & 0x3FFF).to_bytes(2, "little") + (h & 0x3FFF).to_bytes(2, "little") + first + second
     return out + bytes(len(out) % 2)
 
 
-def _walk_header(coder, index, t: Tables, fitted, prob_skip) -> tuple[np.ndarray, dict]:
+def _walk_header(coder, index, t: Tables, fitted, prob_skip, partitions: int = 1) -> tuple[np.ndarray, dict]:
     """The frame header; returns the coefficient probabilities and what was read."""
     lit, code, writing = coder.literal, coder.code, isinstance(coder, boolcoder.Writer)
     got = {}
     lit(0, 1), lit(0, 1), lit(0, 1)  # colour space, clamping, segments
     got["simple"] = lit(1, 1)
     got["level"] = lit(quant.filter_level(index) if writing else None, 6)
-    lit(0, 3), lit(0, 1), lit(0, 2)  # sharpness, filter deltas, partitions
+    lit(0, 3), lit(0, 1)  # sharpness, filter deltas
+    got["partitions"] = 1 << lit(partitions.bit_length() - 1, 2)
     got["index"] = lit(index, 7)
     for delta in (0, 0, 0, -2, 0):  # y1 dc, y2 dc, y2 ac, uv dc, uv ac
         if lit(int(delta != 0), 1):
@@ -624,7 +632,14 @@ def read_frame(data: bytes, t: Tables | None = None) -> tuple[np.ndarray, np.nda
     head = boolcoder.Reader(data[10 : 10 + size])
     probs, got = _walk_header(head, None, t, None, None)
     modes, skip = _walk_modes(head, t, None, None, got.get("skip"), mh, mw)
-    levels = _read_tokens(boolcoder.Reader(data[10 + size :]).code, probs.tolist(), modes.small, skip)
+    n, at = got["partitions"], 10 + size
+    cuts = [at + 3 * (n - 1)]
+    for k in range(n - 1):
+        cuts.append(cuts[-1] + int.from_bytes(data[at + 3 * k : at + 3 * k + 3], "little"))
+    if cuts[-1] > len(data):
+        raise ValueError("a broken frame")
+    codes = [boolcoder.Reader(data[a:z]).code for a, z in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+    levels = _read_tokens(codes, probs.tolist(), modes.small, skip)
     planes = _restore(modes, levels, got["index"])
     if got["level"]:
         _filter(planes[0], modes, levels, got["level"])
@@ -670,7 +685,7 @@ def _stacked(planes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def encode_rgb(images: list[np.ndarray], quality: float = 90, t: Tables | None = None, adapt: bool = True, strength: float | np.ndarray = 0.0) -> list[tuple[bytes, float]]:
+def encode_rgb(images: list[np.ndarray], quality: float = 90, t: Tables | None = None, adapt: bool = True, strength: float | np.ndarray = 0.0, partitions: int = 1) -> list[tuple[bytes, float]]:
     """Frames of images (h, w, 3), and the PSNR of each one's planes before the loop filter. strength: one, or one for each image."""
     t = t or _plain()
     index = quant.quality_index(quality)
@@ -687,7 +702,7 @@ def encode_rgb(images: list[np.ndarray], quality: float = 90, t: Tables | None =
         lv = Levels(levels.y2[own], levels.y[own], levels.uv[own])
         sse = sum(int(((a[i] - b[i])[:hh, :ww] ** 2).sum()) for a, b, hh, ww in zip((y, u, v), rebuilt, (h, h // 2, h // 2), (w, w // 2, w // 2), strict=True))
         mse = sse / (h * w + 2 * (h // 2) * (w // 2))
-        out.append((write_frame(h, w, one, lv, index, t, adapt), 99.0 if mse <= 0 else 10 * math.log10(65025 / mse)))
+        out.append((write_frame(h, w, one, lv, index, t, adapt, partitions), 99.0 if mse <= 0 else 10 * math.log10(65025 / mse)))
     return out
 
 

@@ -305,7 +305,7 @@ def test_tokens_of_all_sizes_are_read_back():
         head = boolcoder.Reader(frame[10 : 10 + size])
         probs, got = vp8._walk_header(head, None, t, None, None)
         back, skip = vp8._walk_modes(head, t, None, None, got.get("skip"), mh, mw)
-        read = vp8._read_tokens(boolcoder.Reader(frame[10 + size :]).code, probs.tolist(), back.small, skip)
+        read = vp8._read_tokens([boolcoder.Reader(frame[10 + size :]).code], probs.tolist(), back.small, skip)
         assert all((a == b).all() for a, b in ((read.y2, lv.y2), (read.y, lv.y), (read.uv, lv.uv), (back.small, small)))
 
 
@@ -342,3 +342,16 @@ def test_trellis_finds_the_cheapest_levels():
                 price = lambda lv: weight * rate(lv, kind, first) + 256 * float(((size - lv * step)[first:] ** 2).sum())  # noqa: B023, E731
                 best = min(price(np.where(np.arange(16) <= last, low + np.array([choice >> i & 1 if i < 7 else 0 for i in range(16)]), 0) * (np.arange(16) >= first)) for last in range(-1, 16) for choice in range(128))
                 assert price(mine) <= best + 1e-6
+
+
+def test_partitions_hold_the_same_picture():
+    rng = np.random.default_rng(4)
+    a = np.clip(np.add.outer(np.arange(150), np.arange(90) * 2)[..., None] / 2 + rng.normal(0, 9, (150, 90, 3)), 0, 255).astype(np.uint8)
+    frames = {n: vp8.encode_rgb([a], 80, partitions=n)[0][0] for n in (1, 2, 4, 8)}
+    assert len(set(frames.values())) == 4
+    want = vp8.decode_rgb(frames[1])
+    assert all((vp8.decode_rgb(f) == want).all() for f in frames.values())
+    with pytest.raises(ValueError):
+        vp8.encode_rgb([a], 80, partitions=3)
+    with pytest.raises(ValueError):
+        vp8.decode_rgb(frames[8][: len(frames[8]) // 2])
