@@ -477,10 +477,12 @@ def _labels(spark: SparkSession, docs: DataFrame, n: int, percent: int, block_by
     bits = min(64, max(32, int(np.ceil(np.log2(max(2, total / 4)))) + 13))
     n_buckets = max(8, n_blocks // 4)
     n_meet = max(24, n_blocks // 8)  # an edge may be found in each of these
+    n_files = max(8, n_blocks // 4)
+    blocks = blocks.repartition(n_files, "block")  # as the table of prefixes is bucketed: a task writes one file
     asked = blocks.groupBy("block").applyInArrow(B.trimmed(_count(bits, n_buckets, n)), "bucket int, block int, blob binary")
-    told = asked.groupBy("bucket").applyInArrow(B.trimmed(_frequency), "block int, bucket int, blob binary")
+    told = asked.groupBy("bucket").applyInArrow(B.trimmed(_frequency), "block int, bucket int, blob binary").repartition(n_files, "block")
     found = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(B.trimmed(_prefixes(bits, n_buckets, n_meet, n, percent)), FOUND)
-    with B.bucketed(spark, found, "prefixes", "block", max(8, n_blocks // 4)) as (found, plain):
+    with B.bucketed(spark, found, "prefixes", "block", n_files) as (found, plain):
         edges = found.where("kind = 'post'").select("bucket", "blob").groupBy("bucket").applyInArrow(_meet, "a long, b long")
         group = components(edges)
         cand = found.where("kind = 'doc' AND cand IS NOT NULL")

@@ -1,5 +1,6 @@
 import random
 import re
+from contextlib import contextmanager
 
 import numpy as np
 import pytest
@@ -119,3 +120,27 @@ def test_representatives(spark, docs, corpus, empty):
     assert len(kept) == len(groups)
     assert sorted(str(k[0]) for k in kept) == sorted(str(min((r[0] for r in g if r[0] is not None), default=None)) for g in groups.values())
     assert J.representatives(spark, empty).collect() == []
+
+
+def test_a_task_writes_one_file_of_prefixes(spark, docs, corpus, monkeypatch):
+    # the executor's JVM starts three processes (chmod) for each task that writes and each further file of it
+    made, bucketed = [], J.B.bucketed
+
+    @contextmanager
+    def counted(spark, df, name, key, n):
+        with bucketed(spark, df, name, key, n) as (found, plain):
+            made.append((len(plain.inputFiles()), n))
+            yield found, plain
+
+    monkeypatch.setattr(J.B, "bucketed", counted)
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(old, ("7", "false"), strict=True):
+            spark.conf.set(k, v)
+        got = J.classes(spark, docs, block_bytes=1000).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    files, n = made[0]
+    assert n > 8 and files <= n
+    assert sorted(map(tuple, got), key=str) == brute(corpus)
